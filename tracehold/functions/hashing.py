@@ -47,8 +47,10 @@ def sample_key(seed: int, *columns: Column) -> Column:
 def vectors_for(seeds: np.ndarray, width: int = fv.FEATURE_WIDTH) -> np.ndarray:
     """One row of uniform float32 draws per seed (Mersenne Twister, 24-bit draws)."""
     rows = np.empty((len(seeds), width), dtype=np.float32)
+    generator = np.random.RandomState()
     for i, seed in enumerate(seeds):
-        words = np.random.RandomState(int(seed)).randint(0, 2**32, width, dtype=np.uint32)
+        generator.seed(int(seed))
+        words = generator.randint(0, 2**32, width, dtype=np.uint32)
         rows[i] = (words & 0xFFFFFF) / np.float64(2**24)
     return rows
 

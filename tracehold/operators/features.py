@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracehold.functions import fixed_values as fv
-from tracehold.functions.hashing import feature_seed, seed_vectors
+from tracehold.functions.hashing import broadcast_vectors, feature_seed
 from tracehold.functions.text import or_default
 from tracehold.operators.normalize import log_command
 from tracehold.session import materialize
@@ -62,11 +65,21 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_features(index: DataFrame) -> DataFrame:
-    """(idx, x0..x15): the vector of each node's seed.
+    """(idx, x0..x15): the vector of each node's seed. Row-local.
 
-    The dictionary has a fixed 100,000 rows (6.4 MB), so it is broadcast.
+    The dictionary has a fixed 100,000 rows (6.4 MB) and is broadcast.
     """
-    return index.join(F.broadcast(seed_vectors(index.sparkSession)), "seed").drop("id", "seed")
+    table = broadcast_vectors(index.sparkSession)
+    names = [f"x{i}" for i in range(fv.FEATURE_WIDTH)]
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame(table.value[batch["seed"].to_numpy()], columns=names)
+            out.insert(0, "idx", batch["idx"].to_numpy())
+            yield out
+
+    schema = "idx long, " + ", ".join(f"{n} float" for n in names)
+    return index.select("idx", "seed").mapInPandas(fill, schema)
 
 
 def parent_text() -> Column:

@@ -68,14 +68,15 @@ def spread_sum(
     ``hot`` are the hot sending nodes, counted here if None.
     """
     sender, receiver = ("dst", "src") if reverse else ("src", "dst")
-    table = values.select(F.col("idx").alias("_n"), *names)
-    sent = lookup(edges.select(sender, receiver), sender, table, "_n", "inner", hot).select(
-        F.col(receiver).alias("idx"), *names, *[F.lit(0.0).alias(c) for c in carry]
+    table = values.selectExpr("idx AS _n", *names)
+    sent = lookup(edges.select(sender, receiver), sender, table, "_n", "inner", hot).selectExpr(
+        f"{receiver} AS idx", *names, *[f"0.0D AS {c}" for c in carry]
     )
-    kept = values.select(
-        "idx", *[F.col(o).alias(n) for o, n in zip(own or names, names)], *carry
+    kept = values.selectExpr(
+        "idx", *[f"{o} AS {n}" for o, n in zip(own or names, names)], *carry
     )
-    return sent.unionAll(kept).groupBy("idx").agg(*[F.sum(c).alias(c) for c in (*names, *carry)])
+    sums = [F.expr(f"sum({c}) AS {c}") for c in (*names, *carry)]
+    return sent.unionAll(kept).groupBy("idx").agg(*sums)
 
 
 def propagate(edges: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:

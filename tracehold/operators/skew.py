@@ -42,6 +42,8 @@ def lookup(
     dropped. ``hot`` comes from ``hot_keys``, counted here if not given.
     """
     hot = hot_keys(rows, key) if hot is None else hot
+    if how == "inner" and not hot:
+        return rows.join(table, F.col(key) == F.col(table_key))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
     one, many = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
     is_spread, copies = F.col(key).isNull(), one

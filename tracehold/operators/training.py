@@ -63,6 +63,7 @@ class TrainingGraph:
 def prepare(index: DataFrame, edges: DataFrame, features: DataFrame | None = None) -> TrainingGraph:
     """Propagate the features once and store the static tables."""
     features = node_features(index) if features is None else features
+    features = materialize(features, "fit-features")
     names = [c for c in features.columns if c != "idx"]
     all_edges = materialize(edges.select("src", "dst"), "fit-edges")
     straight = gcn.loopless(all_edges)
@@ -122,45 +123,38 @@ def embed(graph: TrainingGraph, weights: Weights) -> DataFrame:
     sums = gcn.spread_sum(
         graph.edges, out, g, graph.hot_sources, own=o, carry=["scale"]
     )
-    return sums.select(
-        "idx", "scale", *[(F.col(a) * F.col("scale")).alias(b) for a, b in zip(g, z)]
-    )
+    return sums.selectExpr("idx", "scale", *[f"{a} * scale AS {b}" for a, b in zip(g, z)])
 
 
 def score_pairs(graph: TrainingGraph, embedded: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add both endpoint embeddings (s0.., t0..) and their dot product to (src, dst, ...)."""
-    z = [c for c in embedded.columns if c.startswith("z")]
-    s, t = [f"s{c[1:]}" for c in z], [f"t{c[1:]}" for c in z]
-    left = embedded.select(F.col("idx").alias("_s"), *[F.col(c).alias(n) for c, n in zip(z, s)])
-    right = embedded.select(F.col("idx").alias("_t"), *[F.col(c).alias(n) for c, n in zip(z, t)])
-    both = lookup(
-        lookup(pairs, "src", left, "_s", "inner", graph.hot_sources).drop("_s"),
-        "dst", right, "_t", "inner", graph.hot_targets,
-    ).drop("_t")
-    score = sum((F.col(a) * F.col(b) for a, b in zip(s[1:], t[1:])), F.col(s[0]) * F.col(t[0]))
-    return both.withColumn("score", score)
+    """Add both endpoint embeddings (s0.., t0..) and their dot product to (src, dst, y) pairs."""
+    width = sum(c.startswith("z") for c in embedded.columns)
+    z, s, t = (gcn.columns(p, width) for p in "zst")
+    left = embedded.selectExpr("idx AS _s", *[f"{c} AS {n}" for c, n in zip(z, s)])
+    right = embedded.selectExpr("idx AS _t", *[f"{c} AS {n}" for c, n in zip(z, t)])
+    one = lookup(pairs, "src", left, "_s", "inner", graph.hot_sources)
+    both = lookup(one, "dst", right, "_t", "inner", graph.hot_targets)
+    dot = " + ".join(f"{a} * {b}" for a, b in zip(s, t))
+    return both.selectExpr("src", "dst", "y", *s, *t, f"{dot} AS score")
 
 
 def _embedding_gradient(scored: DataFrame, n_positive: int, n_negative: int, width: int) -> DataFrame:
     """(idx, d0.., loss): gradient of the loss by each node's embedding."""
-    size = F.when(F.col("y") == 1.0, F.lit(float(max(n_positive, 1)))).otherwise(
-        F.lit(float(max(n_negative, 1)))
-    )
-    pull = (sigmoid(F.col("score")) - F.col("y")) / size
-    loss = bce_with_logits(F.col("score"), F.col("y")) / size
+    size = F.when(F.col("y") == 1.0, float(max(n_positive, 1))).otherwise(float(max(n_negative, 1)))
+    pulled = scored.withColumns({
+        "pull": (sigmoid(F.col("score")) - F.col("y")) / size,
+        "part": bce_with_logits(F.col("score"), F.col("y")) / size,
+    })
     d = gcn.columns("d", width)
 
-    def end(key, other, loss_part):
-        return F.struct(
-            F.col(key).alias("idx"),
-            *[(F.col("pull") * F.col(f"{other}{i}")).alias(c) for i, c in enumerate(d)],
-            loss_part.alias("loss"),
-        )
+    def end(key: str, other: str, part: str) -> str:
+        pulls = ", ".join(f"pull * {other}{i} AS {c}" for i, c in enumerate(d))
+        return f"struct({key} AS idx, {pulls}, {part} AS loss)"
 
-    ends = scored.withColumn("pull", pull).withColumn("loss", loss).select(
-        F.inline(F.array(end("src", "t", F.col("loss")), end("dst", "s", F.lit(0.0))))
+    ends = pulled.selectExpr(
+        f"inline(array({end('src', 't', 'part')}, {end('dst', 's', '0.0D')}))"
     )
-    return ends.groupBy("idx").agg(*[F.sum(c).alias(c) for c in (*d, "loss")])
+    return ends.groupBy("idx").agg(*[F.expr(f"sum({c}) AS {c}") for c in (*d, "loss")])
 
 
 def _weight_gradient(rows: DataFrame, weights: Weights, inputs: int) -> DataFrame:
@@ -200,8 +194,8 @@ def gradient(graph: TrainingGraph, weights: Weights, negatives: DataFrame, n_neg
     scored = score_pairs(graph, embedded, pairs)
     by_node = _embedding_gradient(scored, graph.n_edges, n_negative, width)
     scale = graph.nodes.select("idx", "scale")
-    scaled = by_node.join(scale, "idx").select(
-        "idx", "loss", *d, *[(F.col(c) * F.col("scale")).alias(n) for c, n in zip(d, q)]
+    scaled = by_node.join(scale, "idx").selectExpr(
+        "idx", "loss", *d, *[f"{c} * scale AS {n}" for c, n in zip(d, q)]
     ).persist(StorageLevel.MEMORY_AND_DISK)
     back = gcn.spread_sum(
         graph.edges, scaled, q, graph.hot_targets, reverse=True, carry=[*d, "loss"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +26,26 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, once per application.
+
+    Not needed where the package is installed on the executors or passed with
+    ``--py-files``; harmless there.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="tracehold-"), "tracehold"), "zip",
+            os.path.dirname(package), os.path.basename(package),
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 _own_folders: dict[str, str] = {}
 
 

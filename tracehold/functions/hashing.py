@@ -15,15 +15,16 @@ from tracehold.functions.text import or_default
 def hex_mod(hex64: Column, modulus: int) -> Column:
     """A 64-digit hex number modulo a small integer, without big integers.
 
-    The number is eight 32-bit digits; each digit times its place value modulo
-    ``modulus`` stays below 2**63, so one sum and one modulo are enough.
+    The number is cut into pieces of at most 13 hex digits, which fit a long; each
+    piece modulo ``modulus`` times its place value modulo ``modulus`` stays small.
     """
-    if modulus > 2**27:
+    if modulus > 2**30:
         raise ValueError("modulus too large for 64-bit sums")
     total = None
-    for i in range(8):
-        digit = F.conv(F.substring(hex64, 8 * i + 1, 8), 16, 10).cast("long")
-        term = digit * F.lit(pow(2**32, 7 - i, modulus))
+    for start in range(0, 64, 13):
+        end = min(start + 13, 64)
+        piece = F.conv(F.substring(hex64, start + 1, end - start), 16, 10).cast("long")
+        term = (piece % F.lit(modulus)) * F.lit(pow(16, 64 - end, modulus))
         total = term if total is None else total + term
     return total % F.lit(modulus)
 

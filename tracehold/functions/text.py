@@ -16,7 +16,7 @@ def blank_to_null(column: Column) -> Column:
 
 def or_default(column: Column, default: str) -> Column:
     """The text, or the default where it is NULL or empty."""
-    return F.coalesce(F.nullif(column, F.lit("")), F.lit(default))
+    return F.coalesce(F.when(column != "", column), F.lit(default))
 
 
 def strip(column: Column) -> Column:
@@ -48,4 +48,5 @@ def contains_any(column: Column, words, whole_words: bool = False) -> Column:
 
 
 def two_decimals(column: Column) -> Column:
-    return F.format_string("%.2f", column)
+    """The number with two decimals, as text."""
+    return F.round(column, 2).cast("decimal(38,2)").cast("string")

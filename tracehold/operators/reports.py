@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracehold.functions import fixed_values as fv
 from tracehold.functions.text import strip, strip_fences
 from tracehold.operators import prompts as p
+from tracehold.session import materialize
 
 # What the command audit looks for, per line.
 ROOT_DELETE_PATTERN = (
@@ -30,7 +31,10 @@ def verdicts_of(
     **options,
 ) -> DataFrame:
     """Two-stage chain: rows with ``context`` get the model's ``analysis``."""
-    start = rows.withColumn("error", F.lit(None).cast("string")).withColumn("seconds", F.lit(0.0))
+    start = materialize(
+        rows.withColumn("error", F.lit(None).cast("string")).withColumn("seconds", F.lit(0.0)),
+        "verdict-rows",
+    )
     prompt = p.messages(template, log=log, context=F.col("context"))
     return p.ask_once(start, key, prompt, connect, "analysis", **options)
 
@@ -44,7 +48,11 @@ def incident_reports(
     prompts depend on nothing else, so each process is asked about once however
     many alerts it raised. A failed stage ends that process's chain with ``error``.
     """
-    rows = contexts.withColumn("error", F.lit(None).cast("string")).withColumn("seconds", F.lit(0.0))
+    # Stored first: every stage reads the rows again.
+    rows = materialize(
+        contexts.withColumn("error", F.lit(None).cast("string")).withColumn("seconds", F.lit(0.0)),
+        "report-rows",
+    )
     pid = F.col("process_id")
 
     def stage(frame, template, name, **fields):

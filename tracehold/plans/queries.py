@@ -557,7 +557,7 @@ def echo_model():
 @query
 def model_verdicts(spark, folder):
     """Two-stage chain per process: context, then a (stand-in) model's verdict."""
-    contexts = materialize(ancestry.short_contexts(*_stored_graph(spark, folder)), "contexts")
+    contexts = ancestry.short_contexts(*_stored_graph(spark, folder))
     done = reports.verdicts_of(contexts, "id", F.lit("{}"), rule_analyst)
     graded = evaluate.says_malicious(F.col("analysis"))
     return done.select("id", "analysis", "error", graded.alias("predicted"))
@@ -567,7 +567,7 @@ def model_verdicts(spark, folder):
 def model_reports(spark, folder):
     """Four-stage chain per process with a (stand-in) model."""
     contexts = ancestry.short_contexts(*_stored_graph(spark, folder))
-    rows = materialize(contexts.withColumnRenamed("id", "process_id"), "contexts")
+    rows = contexts.withColumnRenamed("id", "process_id")
     return reports.incident_reports(rows, echo_model).select("process_id", "report", "error")
 
 

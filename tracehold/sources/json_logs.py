@@ -177,17 +177,24 @@ def good_records(decoded: DataFrame, whole_files_only: bool = False) -> DataFram
 
 def parse_json(records: DataFrame, schema: T.StructType = RAW_LOG_SCHEMA) -> DataFrame:
     """Input position, the schema's columns, and ``rejected`` (text that is no object)."""
-    full = T.StructType(schema.fields + [T.StructField("_bad", T.StringType())])
-    parsed = F.from_json(
-        "record", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    # Parsed as an array of one, so that text after the object makes it invalid; the
+    # parser alone would stop at the object's end and drop the rest unseen.
+    values = F.from_json(
+        F.concat(F.lit("["), "record", F.lit("]")),
+        T.ArrayType(schema),
+        {"allowSingleQuotes": "false"},
     )
     is_object = F.ltrim("record").startswith("{")
     return records.select(
-        *INPUT_ORDER, "record", F.when(is_object, parsed).alias("p")
+        *INPUT_ORDER, "record", F.when(is_object, values).alias("_values")
+    ).select(
+        *INPUT_ORDER,
+        "record",
+        F.when(F.size("_values") == 1, F.col("_values")[0]).alias("p"),
     ).select(
         *INPUT_ORDER,
         *[F.col(f"p.{f.name}").alias(f.name) for f in schema.fields],
-        F.when(F.col("p").isNull() | F.col("p._bad").isNotNull(), F.col("record")).alias("rejected"),
+        F.when(F.col("p").isNull(), F.col("record")).alias("rejected"),
     )
 
 

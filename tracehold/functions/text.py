@@ -41,10 +41,18 @@ def bytes_to_text(column: Column) -> Column:
 
 def contains_any(column: Column, words, whole_words: bool = False) -> Column:
     """True where the lower-cased text holds one of the words; NULL text holds none."""
-    low = F.lower(F.coalesce(column, F.lit("")))
-    if whole_words:
-        return low.rlike("|".join(rf"(?<!\w)\Q{word}\E(?!\w)" for word in words))
-    return reduce(lambda a, b: a | b, (low.contains(word) for word in words))
+    form = r"(?<!\w)\Q{}\E(?!\w)" if whole_words else r"\Q{}\E"
+    pattern = "|".join(form.format(word) for word in words)
+    return F.lower(F.coalesce(column, F.lit(""))).rlike(pattern)
+
+
+def once(column: Column) -> Column:
+    """The value as a generated column, computed once per row.
+
+    The optimizer copies an expensive expression into every filter and column
+    that uses it, but never through a generator. Only for use in ``select``.
+    """
+    return F.explode(F.array(column))
 
 
 def two_decimals(column: Column) -> Column:

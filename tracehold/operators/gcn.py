@@ -162,8 +162,10 @@ def smallest_cut(frame: DataFrame, column: str, n: int, buckets: int = 1024) ->
     or holds all rows.
     """
     low, high, total = frame.agg(F.min(column), F.max(column), F.count("*")).first()
+    if total == 0 or n <= 0:
+        return (0 if total == 0 else low), 0
     if total <= n:
-        return (0 if total == 0 else high + 1), total
+        return high + 1, total
     start, end, below = low, high + 1, 0
     while end - start > 1:
         width = -(-(end - start) // buckets)

@@ -62,22 +62,47 @@ def process_nodes(logs: DataFrame, order: Sequence[str] = INPUT_ORDER, keep: str
     return rows.groupBy("id").agg(first.alias("p")).select("id", "p.*")
 
 
-def latest_nodes(logs: DataFrame, order: Sequence[str] = INPUT_ORDER) -> DataFrame:
-    """Mergeable form of ``keep='last'``: (id, cmd_line, at), ``at`` NULL for stubs."""
-    rows = _node_rows(logs, order, {"cmd_line": node_command()}, parent_key())
-    at = F.when(F.col("role") == 0, F.col("at"))
-    return rows.select("id", "cmd_line", at.alias("at")).groupBy("id").agg(
-        F.max_by("cmd_line", "at").alias("cmd_line"), F.max("at").alias("at")
+def spawn_links(logs: DataFrame, order: Sequence[str] = INPUT_ORDER) -> DataFrame:
+    """(src, dst, cmd_line, at): each parent-child pair with the child's last command
+    seen there; ``src`` is NULL for logs without a parent.
+
+    The one pass over the logs that both nodes and edges are made from: its size is
+    that of the graph, and rows of several loads merge with ``merge_links``.
+    """
+    rows = logs.select(
+        parent_key().alias("src"),
+        process_key().alias("dst"),
+        node_command().alias("cmd_line"),
+        _position(order).alias("at"),
     )
+    return merge_links(rows)
 
 
-def merge_latest(node_sets: DataFrame) -> DataFrame:
-    """Merge rows of ``latest_nodes`` from several loads into one row per process."""
-    return node_sets.groupBy("id").agg(
+def merge_links(links: DataFrame) -> DataFrame:
+    """One row per (src, dst), the last command by input position."""
+    return links.groupBy("src", "dst").agg(
         F.max_by("cmd_line", "at").alias("cmd_line"), F.max("at").alias("at")
     )
 
 
+def nodes_of(links: DataFrame) -> DataFrame:
+    """Process nodes (id, cmd_line) of links: every child and every parent, once."""
+    child = F.struct(F.col("dst").alias("id"), "cmd_line", "at")
+    parent = F.struct(
+        F.col("src").alias("id"), F.lit(None).alias("cmd_line"), F.lit(None).alias("at")
+    )
+    return (
+        links.select(F.inline(F.array(child, parent)))
+        .filter(F.col("id").isNotNull())
+        .groupBy("id").agg(F.max_by("cmd_line", "at").alias("cmd_line"))
+    )
+
+
+def edges_of(links: DataFrame) -> DataFrame:
+    """Spawn edges (src, dst) of links that are unique by pair."""
+    return links.filter(F.col("src").isNotNull()).select("src", "dst")
+
+
 def spawn_edges(logs: DataFrame) -> DataFrame:
     """Distinct (src, dst) parent-to-child edges; self-edges are kept."""
     return (

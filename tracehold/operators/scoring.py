@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracehold.functions import fixed_values as fv
 from tracehold.functions.hashing import broadcast_vectors
-from tracehold.functions.text import contains_any, two_decimals
+from tracehold.functions.text import contains_any, once, two_decimals
 from tracehold.operators.features import shown_command, with_seeds
 from tracehold.operators.normalize import log_command, process_key
 from tracehold.sources.json_logs import INPUT_ORDER
@@ -70,7 +70,8 @@ def boosted(score: Column, risky: Column) -> Column:
 
 def with_score(logs: DataFrame, base: Column, whole_words: bool = False) -> DataFrame:
     """Add ``score`` from a base-score column."""
-    return logs.withColumn("score", boosted(base, is_risky(whole_words=whole_words)))
+    score = boosted(base, is_risky(whole_words=whole_words))
+    return logs.select("*", once(score).alias("score"))
 
 
 def score_logs(logs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:

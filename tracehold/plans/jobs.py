@@ -22,9 +22,13 @@ def load_logs(spark: SparkSession, path, layout: str = "files") -> DataFrame:
 
 
 def build_graph(logs: DataFrame, path: str, order: Sequence[str] = INPUT_ORDER) -> tuple[DataFrame, DataFrame]:
-    """Rebuild the stored process graph from logs; returns (nodes, edges)."""
+    """Rebuild the stored process graph from logs; returns (nodes, edges).
+
+    The logs are read once: links are stored first, nodes and edges come from them.
+    """
     spark = logs.sparkSession
-    graph_store.write_graph(graph.process_nodes(logs, order), graph.spawn_edges(logs), path)
+    links = materialize(graph.spawn_links(logs, order), "links")
+    graph_store.write_graph(graph.nodes_of(links), graph.edges_of(links), path)
     return graph_store.read_nodes(spark, path), graph_store.read_edges(spark, path)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracehold.functions.text import once
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -21,7 +23,7 @@ def process_logs(spark: SparkSession, folder: str) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("user_id").alias("u"),
         F.col("event_type").alias("e"),
-        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        once(F.get_json_object("props", "$.k").cast("long")).alias("k"),
     )
     u, e, k = F.col("u"), F.col("e"), F.col("k")
     text = lambda column: column.cast("string")

@@ -22,6 +22,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tracehold.functions.text import once
+
 INPUT_ORDER = ("src_file", "src_block", "src_row")
 
 # Every field as text: ids come as numbers or strings, args as text or list.
@@ -186,7 +188,7 @@ def parse_json(records: DataFrame, schema: T.StructType = RAW_LOG_SCHEMA) -> Dat
     )
     is_object = F.ltrim("record").startswith("{")
     return records.select(
-        *INPUT_ORDER, "record", F.when(is_object, values).alias("_values")
+        *INPUT_ORDER, "record", once(F.when(is_object, values)).alias("_values")
     ).select(
         *INPUT_ORDER,
         "record",

@@ -70,9 +70,8 @@ def upsert_graph(
 ) -> DataStreamWriter:
     """Add each micro-batch to a growing graph.
 
-    A batch writes only its own reduced nodes and edges, one folder per batch,
-    so the cost is that of the batch and a retry replaces its own folder. Readers
-    merge (``read_grown_graph``); ``compact_graph`` folds the folders into one.
+    A batch writes only its own reduced links, one folder per batch, so the cost
+    is that of the batch and a retry replaces its own folder. Readers merge (``read_grown_graph``); ``compact_graph`` folds the folders into one.
     "Last" is by arrival, or by ``order`` where the logs carry their own order.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -88,22 +87,22 @@ def upsert_graph(
 
 
 def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER) -> None:
-    """Write one load's reduced nodes and edges; the same load twice changes nothing."""
-    at = graph.latest_nodes(logs, order)
-    at.write.mode("overwrite").parquet(f"{path}/nodes/batch={batch_id}")
-    graph.spawn_edges(logs).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+    """Write one load's links; the same load twice changes nothing."""
+    links = graph.spawn_links(logs, order)
+    links.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """Links of all loads so far, merged: the last command by input position wins."""
+    return graph.merge_links(spark.read.parquet(path).drop("batch"))
 
 
 def read_grown_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) over all loads so far: last command by input position wins."""
-    nodes = graph.merge_latest(spark.read.parquet(f"{path}/nodes").drop("batch"))
-    edges = spark.read.parquet(f"{path}/edges").select("src", "dst").distinct()
-    return nodes.select("id", "cmd_line"), edges
+    """(nodes, edges) over all loads so far."""
+    links = read_links(spark, path)
+    return graph.nodes_of(links), graph.edges_of(links)
 
 
 def compact_graph(spark: SparkSession, path: str, new_path: str) -> None:
     """Fold all loads into batch -1 of a new folder; later loads go on from there."""
-    nodes = graph.merge_latest(spark.read.parquet(f"{path}/nodes").drop("batch"))
-    nodes.write.mode("overwrite").parquet(f"{new_path}/nodes/batch=-1")
-    edges = spark.read.parquet(f"{path}/edges").select("src", "dst").distinct()
-    edges.write.mode("overwrite").parquet(f"{new_path}/edges/batch=-1")
+    read_links(spark, path).write.mode("overwrite").parquet(f"{new_path}/batch=-1")

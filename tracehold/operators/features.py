@@ -11,6 +11,7 @@ from tracehold.functions import fixed_values as fv
 from tracehold.functions.hashing import broadcast_vectors, feature_seed
 from tracehold.functions.text import or_default
 from tracehold.operators.normalize import log_command
+from tracehold.operators.skew import join_ends
 from tracehold.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
@@ -48,20 +49,18 @@ def node_index(nodes: DataFrame, path: str | None = None) -> DataFrame:
 
 def edge_index(edges: DataFrame, index: DataFrame) -> DataFrame:
     """(src, dst) as node numbers; edges with an endpoint that is no node drop out."""
-    source = index.select(F.col("id").alias("src"), F.col("idx").alias("_s"))
-    target = index.select(F.col("id").alias("dst"), F.col("idx").alias("_d"))
-    return (
-        edges.select("src", "dst").join(source, "src").join(target, "dst")
-        .select(F.col("_s").alias("src"), F.col("_d").alias("dst"))
+    source = index.select(F.col("id").alias("_a"), F.col("idx").alias("_s"))
+    target = index.select(F.col("id").alias("_b"), F.col("idx").alias("_d"))
+    return join_ends(edges.select("src", "dst"), source, "_a", target, "_b").select(
+        F.col("_s").alias("src"), F.col("_d").alias("dst")
     )
 
 
 def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two endpoints are nodes, with their text ids."""
-    ids = nodes.select("id")
-    return edges.join(ids, F.col("src") == F.col("id"), "left_semi").join(
-        ids, F.col("dst") == F.col("id"), "left_semi"
-    )
+    source = nodes.select(F.col("id").alias("_a"))
+    target = nodes.select(F.col("id").alias("_b"))
+    return join_ends(edges, source, "_a", target, "_b").select(*edges.columns)
 
 
 def node_features(index: DataFrame) -> DataFrame:

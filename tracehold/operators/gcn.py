@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracehold.functions.hashing import draw
 from tracehold.functions.numeric import bce_with_logits, dot, sigmoid
-from tracehold.operators.skew import hot_keys, lookup
+from tracehold.functions.text import once
+from tracehold.operators.skew import hot_keys, join_ends, lookup
 from tracehold.session import materialize
 
 
@@ -43,11 +44,11 @@ def in_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def edge_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, weight): the normalised adjacency, self-loops included."""
     degree = in_degree(edges, nodes)
-    source = degree.withColumnsRenamed({"idx": "src", "degree": "_ds"})
-    target = degree.withColumnsRenamed({"idx": "dst", "degree": "_dd"})
-    return (
-        with_self_loops(edges, nodes).join(source, "src").join(target, "dst")
-        .select("src", "dst", (1.0 / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("weight"))
+    source = degree.select(F.col("idx").alias("_s"), F.col("degree").alias("_ds"))
+    target = degree.select(F.col("idx").alias("_t"), F.col("degree").alias("_dt"))
+    weight = 1.0 / F.sqrt(F.col("_ds") * F.col("_dt"))
+    return join_ends(with_self_loops(edges, nodes), source, "_s", target, "_t").select(
+        "src", "dst", weight.alias("weight")
     )
 
 
@@ -100,14 +101,10 @@ def edge_scores(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) ->
     """Add ``score`` (dot product of endpoint vectors) and ``anomaly`` to (src, dst) pairs."""
     source = vectors.select(F.col(key).alias("_s"), F.col(vector).alias("_vs"))
     target = vectors.select(F.col(key).alias("_d"), F.col(vector).alias("_vd"))
-    one = lookup(pairs, "src", source, "_s", "inner").drop("_s")
-    both = lookup(one, "dst", target, "_d", "inner", hot_keys(pairs, "dst")).drop("_d")
-    score = dot(F.col("_vs"), F.col("_vd"))
-    return (
-        both.withColumn("score", score)
-        .withColumn("anomaly", 1.0 - sigmoid(F.col("score")))
-        .drop("_vs", "_vd")
-    )
+    both = join_ends(pairs, source, "_s", target, "_d")
+    return both.select(
+        *pairs.columns, once(dot(F.col("_vs"), F.col("_vd"))).alias("score")
+    ).withColumn("anomaly", 1.0 - sigmoid(F.col("score")))
 
 
 def labelled_edges(positive: DataFrame, negative: DataFrame) -> DataFrame:

@@ -25,6 +25,18 @@ def hot_keys(
     return [row[0] for row in hot.select(key).collect()]
 
 
+def join_ends(
+    edges: DataFrame, source: DataFrame, source_key: str, target: DataFrame, target_key: str
+) -> DataFrame:
+    """Inner join of (src, dst) rows to one table per end, each unique by its key.
+
+    Hub nodes of either end are counted on the edges themselves and spread.
+    """
+    hot_targets = hot_keys(edges, "dst")
+    one = lookup(edges, "src", source, source_key, "inner")
+    return lookup(one, "dst", target, target_key, "inner", hot_targets)
+
+
 def lookup(
     rows: DataFrame,
     key: str,

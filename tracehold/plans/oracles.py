@@ -1,12 +1,16 @@
 """SQL equivalents of the registered queries, for DuckDB over the same tables.
 
 Written apart from the DataFrame code: ancestry, for example, joins out all rows
-and ranks them, where the Spark side never builds them. Queries without an entry
-depend on the generator of feature vectors, which SQL does not have.
+and ranks them, where the Spark side never builds them. Only the iterative fit has
+no entry.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
+from tracehold.operators.training import initial_weights
+
 _LOGS = """
 raw AS (
   SELECT event_id AS pos, epoch_us(ts) AS us, user_id AS u, event_type AS e,
@@ -216,6 +220,93 @@ def _draw(label: str, modulus: str) -> str:
     return f"('0x' || substr(sha256('{label}:' || CAST(slot AS VARCHAR)), 1, 13))::BIGINT % {modulus}"
 
 
+# Feature vectors of the seeds in table ``seeds``: the generator's first draws, step by
+# step. State word i follows from word i-1; the first 16 outputs need words 0 to 412.
+_DRAWS = """
+state AS (
+  SELECT seed, 0 AS i, seed AS word FROM seeds
+  UNION ALL
+  SELECT seed, i + 1, (1812433253 * xor(word, word >> 30) + i + 1) & 4294967295
+  FROM state WHERE i < 412
+),
+words AS (SELECT seed, list(word ORDER BY i) AS w FROM state GROUP BY seed),
+mixed AS (
+  SELECT seed, list_transform(range(1, 17), lambda k:
+    xor(xor(w[k + 397], ((w[k] & 2147483648) | (w[k + 1] & 2147483647)) >> 1),
+        CASE WHEN w[k + 1] % 2 = 1 THEN 2567483615 ELSE 0 END)) AS v FROM words
+),
+tempered1 AS (SELECT seed, list_transform(v, lambda y: xor(y, y >> 11)) AS v FROM mixed),
+tempered2 AS (SELECT seed, list_transform(v, lambda y: xor(y, (y << 7) & 2636928640)) AS v FROM tempered1),
+tempered3 AS (SELECT seed, list_transform(v, lambda y: xor(y, (y << 15) & 4022730752)) AS v FROM tempered2),
+vectors AS (
+  SELECT seed, list_transform(v, lambda y: (xor(y, y >> 18) & 16777215) / 16777216.0::DOUBLE) AS x
+  FROM tempered3
+)"""
+
+
+def _numbers(values: np.ndarray) -> str:
+    return "[" + ", ".join(repr(float(v)) + "::DOUBLE" for v in values) + "]"
+
+
+def _matrix(columns: np.ndarray) -> str:
+    return "[" + ", ".join(_numbers(c) for c in columns) + "]"
+
+
+def _weights() -> str:
+    """The initial weight matrices by column; initial biases are zero."""
+    w = initial_weights(0)
+    return f"weights AS (SELECT {_matrix(w['W1'].T)} AS w1, {_matrix(w['W2'].T)} AS w2)"
+
+
+def _spread(rows: str) -> str:
+    """One propagation round over the vectors ``x`` of ``rows``: (idx, x)."""
+    return f"""(
+  SELECT idx, list(v ORDER BY k) AS x FROM (
+    SELECT l.dst AS idx, k, sum(r.x[k] / sqrt(CAST(s.degree * d.degree AS DOUBLE))) AS v
+    FROM looped l JOIN degree s ON s.idx = l.src JOIN degree d ON d.idx = l.dst
+    JOIN {rows} r ON r.idx = l.src, (SELECT unnest(range(1, 17)) AS k)
+    GROUP BY l.dst, k
+  ) GROUP BY idx
+)"""
+
+
+def _embeddings() -> str:
+    """Table ``embedded`` (idx, x): two propagation rounds with the layers between."""
+    return f"""
+seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
+seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}, {_weights()},
+features AS (SELECT idx, x FROM seeded JOIN vectors USING (seed)),
+spread AS {_spread('features')},
+hidden AS (
+  SELECT idx, w2, list_transform(w1, lambda a: greatest(list_dot_product(x, a), 0)) AS h
+  FROM spread, weights
+),
+middle AS (SELECT idx, list_transform(w2, lambda a: list_dot_product(h, a)) AS x FROM hidden),
+embedded AS {_spread('middle')}"""
+
+
+def _pair_scores() -> str:
+    """Scores of table ``pairs`` (p, c) with the vectors ``xp`` and ``xc``, layer by layer."""
+    return f"""
+{_weights()},
+layer1 AS (
+  SELECT p, c, w2, list_transform(w1, lambda a: list_dot_product(xp, a)) AS sp,
+         list_transform(w1, lambda a: list_dot_product(xc, a)) AS sc FROM pairs, weights
+),
+hidden AS (
+  SELECT p, c, w2, list_transform(sp, lambda a: greatest(a, 0)) AS hp,
+    list_transform(range(1, 33), lambda k: greatest(sc[k] / 2 + sp[k] / sqrt(2), 0)) AS hc FROM layer1
+),
+layer2 AS (
+  SELECT p, c, list_transform(w2, lambda a: list_dot_product(hp, a)) AS zp,
+         list_transform(w2, lambda a: list_dot_product(hc, a)) AS yc FROM hidden
+),
+pair_scores AS (
+  SELECT p, c, 1 / (1 + exp(list_sum(list_transform(range(1, 17), lambda k:
+    zp[k] * (yc[k] / 2 + zp[k] / sqrt(2)))))) AS base_score FROM layer2
+)"""
+
+
 _VECTORS = """
 n AS (SELECT count(*) AS n FROM embeddings),
 strided AS (SELECT vec_id AS src, (vec_id * 7 + 1) % n AS dst FROM embeddings, n)"""
@@ -360,6 +451,35 @@ fresh AS (
   GROUP BY src, dst
 )
 SELECT src, dst FROM fresh QUALIFY row_number() OVER (ORDER BY slot) <= (SELECT e FROM size)""",
+    "node_features": f"""WITH RECURSIVE {_INDEX},
+seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
+seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}
+SELECT idx, {', '.join(f'CAST(x[{i + 1}] AS FLOAT) AS x{i}' for i in range(16))}
+FROM seeded JOIN vectors USING (seed)""",
+    "log_scores": f"""WITH RECURSIVE {_SCORED},
+texts AS (
+  SELECT pos, risky, coalesce(parent_process_id, 'unknown_parent') AS parent_text,
+    coalesce(process_name, 'unknown') || '_' || coalesce(args, '') || '_' || user_id AS child_text
+  FROM scored
+),
+parent_seeds AS (SELECT parent_text, {_seed('parent_text')} AS p FROM (SELECT DISTINCT parent_text FROM texts)),
+child_seeds AS (SELECT child_text, {_seed('child_text')} AS c FROM (SELECT DISTINCT child_text FROM texts)),
+seeds AS (SELECT p AS seed FROM parent_seeds UNION SELECT c FROM child_seeds), {_DRAWS},
+seeded AS (
+  SELECT pos, risky, p, c FROM texts JOIN parent_seeds USING (parent_text) JOIN child_seeds USING (child_text)
+),
+pairs AS (
+  SELECT p, c, a.x AS xp, b.x AS xc FROM (SELECT DISTINCT p, c FROM seeded)
+  JOIN vectors a ON a.seed = p JOIN vectors b ON b.seed = c
+), {_pair_scores()}
+SELECT pos, round(base_score, 6) AS base_score,
+  round(least(0.99, base_score + CASE WHEN risky THEN 0.90 ELSE 0.0 END), 6) AS score
+FROM seeded JOIN pair_scores USING (p, c)""",
+    "node_embeddings": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}
+SELECT idx, {', '.join(f'round(x[{i + 1}], 6) AS z{i}' for i in range(16))} FROM embedded""",
+    "edge_anomalies": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}
+SELECT src, dst, round(1 - 1 / (1 + exp(-list_dot_product(s.x, d.x))), 6) AS anomaly
+FROM pairs JOIN embedded s ON s.idx = src JOIN embedded d ON d.idx = dst""",
     # alerts
     "boosted_scores": f"WITH {_SCORED} SELECT pos, risky, round(score, 6) AS score FROM scored",
     "boosted_scores_whole_words": f"""WITH {_SCORED}

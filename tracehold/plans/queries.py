@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracehold.functions import fixed_values as fv
 from tracehold.functions.hashing import feature_seed
+from tracehold.functions.numeric import sigmoid
 from tracehold.functions.text import strip_fences, two_decimals
 from tracehold.operators import (
     ancestry, evaluate, features, gcn, graph, normalize, prompts, reports, scoring, training,
@@ -356,6 +357,26 @@ def log_scores(spark, folder):
     return _rounded(scored.select("pos", "base_score", "score"), "base_score", "score")
 
 
+@query
+def node_embeddings(spark, folder):
+    """Embedding of every node under the initial weights."""
+    graph_tables = training.prepare(*_indexed_graph(spark, folder))
+    embedded = training.embed(graph_tables, training.initial_weights(0)).drop("scale")
+    return _rounded(embedded, *[c for c in embedded.columns if c != "idx"])
+
+
+@query
+def edge_anomalies(spark, folder):
+    """Anomaly of every graph edge under the initial weights."""
+    graph_tables = training.prepare(*_indexed_graph(spark, folder))
+    embedded = training.embed(graph_tables, training.initial_weights(0))
+    pairs = graph_tables.all_edges.withColumn("y", F.lit(1.0))
+    scored = training.score_pairs(graph_tables, embedded, pairs)
+    return _rounded(
+        scored.select("src", "dst", (1.0 - sigmoid(F.col("score"))).alias("anomaly")), "anomaly"
+    )
+
+
 @query
 def fit_losses(spark, folder):
     """Loss per epoch of a short fit on the whole graph."""

@@ -252,6 +252,25 @@ def _matrix(columns: np.ndarray) -> str:
     return "[" + ", ".join(_numbers(c) for c in columns) + "]"
 
 
+def _negatives(label: str) -> str:
+    """Table ``non_edges`` (src, dst): as many sampled non-edges as there are edges."""
+    return f"""
+size AS (SELECT (SELECT count(*) FROM idx) AS n, (SELECT count(*) FROM pairs) AS e),
+slots AS (
+  SELECT unnest(range(0, CAST(floor(e / greatest(greatest(n * (n - 1) - e, 1) / (n * n), 0.02) * 1.25) AS BIGINT) + 64)) AS slot, n
+  FROM size
+),
+drawn AS (SELECT {_draw(label + ':src', 'n')} AS src, {_draw(label + ':dst', 'n')} AS dst, slot FROM slots),
+fresh AS (
+  SELECT src, dst, min(slot) AS slot FROM drawn d
+  WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.src = d.src AND p.dst = d.dst)
+  GROUP BY src, dst
+),
+non_edges AS (
+  SELECT src, dst FROM fresh QUALIFY row_number() OVER (ORDER BY slot) <= (SELECT e FROM size)
+)"""
+
+
 def _weights() -> str:
     """The initial weight matrices by column; initial biases are zero."""
     w = initial_weights(0)
@@ -438,43 +457,17 @@ means AS (
 )
 SELECT round(edge_loss, 6) AS edge_loss, round(non_edge_loss, 6) AS non_edge_loss,
   round(edge_loss + non_edge_loss, 6) AS loss FROM means""",
-    "negative_edges": f"""WITH {_INDEX},
-size AS (SELECT (SELECT count(*) FROM idx) AS n, (SELECT count(*) FROM pairs) AS e),
-slots AS (
-  SELECT unnest(range(0, CAST(floor(e / greatest(greatest(n * (n - 1) - e, 1) / (n * n), 0.02) * 1.25) AS BIGINT) + 64)) AS slot, n
-  FROM size
+    "negative_edges": f"WITH {_INDEX}, {_negatives('0:1')} SELECT src, dst FROM non_edges",
+    "first_epoch_loss": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}, {_negatives('0:1')},
+logits AS (
+  SELECT y, list_dot_product(s.x, d.x) AS score FROM (
+    SELECT src, dst, 1.0 AS y FROM pairs UNION ALL SELECT src, dst, 0.0 FROM non_edges
+  ) JOIN embedded s ON s.idx = src JOIN embedded d ON d.idx = dst
 ),
-drawn AS (SELECT {_draw('0:1:src', 'n')} AS src, {_draw('0:1:dst', 'n')} AS dst, slot FROM slots),
-fresh AS (
-  SELECT src, dst, min(slot) AS slot FROM drawn d
-  WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.src = d.src AND p.dst = d.dst)
-  GROUP BY src, dst
+losses AS (
+  SELECT y, greatest(score, 0.0) + ln(1 + exp(-abs(score))) - y * score AS loss FROM logits
 )
-SELECT src, dst FROM fresh QUALIFY row_number() OVER (ORDER BY slot) <= (SELECT e FROM size)""",
-    "node_features": f"""WITH RECURSIVE {_INDEX},
-seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
-seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}
-SELECT idx, {', '.join(f'CAST(x[{i + 1}] AS FLOAT) AS x{i}' for i in range(16))}
-FROM seeded JOIN vectors USING (seed)""",
-    "log_scores": f"""WITH RECURSIVE {_SCORED},
-texts AS (
-  SELECT pos, risky, coalesce(parent_process_id, 'unknown_parent') AS parent_text,
-    coalesce(process_name, 'unknown') || '_' || coalesce(args, '') || '_' || user_id AS child_text
-  FROM scored
-),
-parent_seeds AS (SELECT parent_text, {_seed('parent_text')} AS p FROM (SELECT DISTINCT parent_text FROM texts)),
-child_seeds AS (SELECT child_text, {_seed('child_text')} AS c FROM (SELECT DISTINCT child_text FROM texts)),
-seeds AS (SELECT p AS seed FROM parent_seeds UNION SELECT c FROM child_seeds), {_DRAWS},
-seeded AS (
-  SELECT pos, risky, p, c FROM texts JOIN parent_seeds USING (parent_text) JOIN child_seeds USING (child_text)
-),
-pairs AS (
-  SELECT p, c, a.x AS xp, b.x AS xc FROM (SELECT DISTINCT p, c FROM seeded)
-  JOIN vectors a ON a.seed = p JOIN vectors b ON b.seed = c
-), {_pair_scores()}
-SELECT pos, round(base_score, 6) AS base_score,
-  round(least(0.99, base_score + CASE WHEN risky THEN 0.90 ELSE 0.0 END), 6) AS score
-FROM seeded JOIN pair_scores USING (p, c)""",
+SELECT 1 AS epoch, round(avg(loss) FILTER (y = 1.0) + avg(loss) FILTER (y = 0.0), 6) AS loss FROM losses""",
     "node_embeddings": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}
 SELECT idx, {', '.join(f'round(x[{i + 1}], 6) AS z{i}' for i in range(16))} FROM embedded""",
     "edge_anomalies": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}

@@ -377,16 +377,26 @@ def edge_anomalies(spark, folder):
     )
 
 
-@query
-def fit_losses(spark, folder):
-    """Loss per epoch of a short fit on the whole graph."""
+def _losses(spark, folder, epochs):
     index, edges = _indexed_graph(spark, folder)
-    _, losses = training.fit(index, edges, epochs=3)
+    _, losses = training.fit(index, edges, epochs=epochs)
     return spark.createDataFrame(
-        [(i, float(loss)) for i, loss in enumerate(losses, 1)], "epoch int, loss double"
+        [(i, round(loss, 6)) for i, loss in enumerate(losses, 1)], "epoch int, loss double"
     )
 
 
+@query
+def first_epoch_loss(spark, folder):
+    """Loss of the initial weights on the whole graph and its sampled non-edges."""
+    return _losses(spark, folder, 1)
+
+
+@query
+def fit_losses(spark, folder):
+    """Loss per epoch of a short fit on the whole graph."""
+    return _losses(spark, folder, 3)
+
+
 # --- alerts --------------------------------------------------------------
 
 

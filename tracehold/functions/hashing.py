@@ -29,9 +29,23 @@ def hex_mod(hex64: Column, modulus: int) -> Column:
     return total % F.lit(modulus)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text as hex; NULL and empty count as 'unknown'."""
+    return F.sha2(or_default(text, fv.UNKNOWN_TEXT), 256)
+
+
 def feature_seed(text: Column) -> Column:
-    """Seed of a text's feature vector; NULL and empty count as 'unknown'."""
-    return hex_mod(F.sha2(or_default(text, fv.UNKNOWN_TEXT), 256), fv.SEED_COUNT)
+    """Seed of a text's feature vector."""
+    return hex_mod(text_digest(text), fv.SEED_COUNT)
+
+
+def seeds_of_digests(digests: pd.Series) -> np.ndarray:
+    """Seeds of 32-byte digests, a whole batch at once (for use inside tasks)."""
+    words = np.frombuffer(b"".join(digests), dtype=">u4").reshape(-1, 8).astype(np.uint64)
+    seeds = np.zeros(len(words), dtype=np.uint64)
+    for word in words.T:
+        seeds = ((seeds << np.uint64(32)) + word) % np.uint64(fv.SEED_COUNT)
+    return seeds.astype(np.int64)
 
 
 def draw(label: str, row: Column, modulus: Column) -> Column:

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracehold.functions import fixed_values as fv
-from tracehold.functions.hashing import broadcast_vectors
+from tracehold.functions.hashing import broadcast_vectors, seeds_of_digests, text_digest
 from tracehold.functions.text import contains_any, once, two_decimals
-from tracehold.operators.features import shown_command, with_seeds
+from tracehold.operators.features import fingerprint, parent_text, shown_command
 from tracehold.operators.normalize import log_command, process_key
 from tracehold.sources.json_logs import INPUT_ORDER
 
@@ -34,20 +34,21 @@ def pair_scores(parent: np.ndarray, child: np.ndarray, weights: dict[str, np.nda
 
 
 def base_score(spark: SparkSession, weights: dict[str, np.ndarray]):
-    """Vectorised column function (parent_seed, child_seed) -> anomaly in [0, 1].
+    """Vectorised column function (parent_digest, child_digest) -> anomaly in [0, 1].
 
-    Row-local: two seeds in, one number out; no join and no shuffle. The feature
-    dictionary is a fixed 6.4 MB broadcast.
+    Row-local: two 32-byte digests in, one number out; no join and no shuffle. The
+    feature dictionary is a fixed 6.4 MB broadcast. Digests come from the JVM; their
+    remainder is taken here, where a batch of them costs eight array operations.
     """
     table = broadcast_vectors(spark)
     fixed = {name: np.asarray(value, dtype=np.float64) for name, value in weights.items()}
 
     @F.pandas_udf("double")
-    def score(parent_seed: pd.Series, child_seed: pd.Series) -> pd.Series:
+    def score(parent_digest: pd.Series, child_digest: pd.Series) -> pd.Series:
         vectors = table.value
         return pd.Series(pair_scores(
-            vectors[parent_seed.to_numpy()].astype(np.float64),
-            vectors[child_seed.to_numpy()].astype(np.float64),
+            vectors[seeds_of_digests(parent_digest)].astype(np.float64),
+            vectors[seeds_of_digests(child_digest)].astype(np.float64),
             fixed,
         ))
 
@@ -77,8 +78,8 @@ def with_score(logs: DataFrame, base: Column, whole_words: bool = False) -> Data
 def score_logs(logs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """Add ``score`` from the trained model. Works on batch and streaming frames."""
     model = base_score(logs.sparkSession, weights)
-    scored = with_seeds(logs).withColumn("base_score", model("parent_seed", "child_seed"))
-    return with_score(scored, F.col("base_score")).drop("parent_seed", "child_seed")
+    digests = [F.unhex(text_digest(text)) for text in (parent_text(), fingerprint())]
+    return with_score(logs.withColumn("base_score", model(*digests)), F.col("base_score"))
 
 
 def is_alert(threshold: float = fv.ALERT_THRESHOLD) -> Column:

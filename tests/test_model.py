@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracehold.functions.hashing import feature_seed, seed_vectors, vectors_for
 from tracehold.operators import features, gcn, scoring, training
 from tracehold.operators.normalize import canonical_logs
+from tracehold.plans import jobs
 from tracehold.sources import graph_store
 
 
@@ -143,6 +144,13 @@ def test_dense_index(spark):
     assert sorted(rows) == [(v, i) for i, v in enumerate(sorted(v for v, _ in rows))]
 
 
+def test_train_job(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"p{i}", f"c{i}") for i in range(15)], "id string, cmd_line string")
+    edges = spark.createDataFrame([(f"p{i}", f"p{(i * 4 + 1) % 15}") for i in range(15)], "src string, dst string")
+    weights, losses = jobs.train(nodes, edges, epochs=2)
+    assert len(losses) == 2 and weights["W1"].shape == (16, 32)
+
+
 def test_edges_to_unknown_nodes_drop(spark):
     index = features.node_index(spark.createDataFrame([("a", "x"), ("b", None)], "id string, cmd_line string"))
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "a"), ("b", "b")], "src string, dst string")

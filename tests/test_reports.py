@@ -156,3 +156,5 @@ def test_compare_models(spark):
     rows = {r.model: r for r in result.collect()}
     assert (rows["a"].tp, rows["a"].fp, rows["a"].tn, rows["a"].fn, rows["a"].n) == (1, 1, 2, 4, 8)
     assert rows["b"].n == 8 and rows["a"].seconds >= 0
+    one = jobs.evaluate_model(logs, contexts, rule_analyst, "pos", F.col("args"), n=2).first()
+    assert (one.n, one.tp + one.fn, one.fp + one.tn) == (4, 2, 2)

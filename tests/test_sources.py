@@ -4,6 +4,7 @@ import json
 import pytest
 
 from tracehold.operators.normalize import canonical_logs
+from tracehold.plans import jobs
 from tracehold.plans.jobs import load_logs
 from tracehold.sinks.logs import write_logs
 from tracehold.sources import archives, json_logs, labelled_csv
@@ -194,6 +195,31 @@ def test_archives(spark, tmp_path):
     assert json_logs.file_errors(decoded).count() == 1
 
 
+def test_extraction_job(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("host.bin.3.gz", archive(EVENTS)), ("host.bin.36.gz", archive(EVENTS[:1])),
+                       ("host.bin.99.gz", archive(EVENTS)), ("host.bin.4.gz", gzip.compress(b'{"type": "x"}\n{"a'))):
+        write(folder, name, data)
+    out = str(tmp_path / "out")
+    counts, errors = jobs.extract_archives(spark, str(folder), out, archives.decode_json_gzip)
+    assert {(r.split, r.n_logs) for r in counts.collect()} == {("Training", 2), ("Testing", 1)}
+    assert [r.src_file.rsplit("/", 1)[1] for r in errors.collect()] == ["host.bin.4.gz"]
+    text = spark.read.text(out).filter("split = 'Testing'").first().value
+    assert json.loads(text) == {"timestamp_ns": 5, "event_type": "EVENT_OPEN", "thread_id": "t1", "cmdLine": "cat",
+                                "file_path": "/etc/x", "remote_ip": "1.2.3.4", "remote_port": "80"}
+
+
+def test_csv_job(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, "a.csv", CSV)
+    counts = jobs.convert_labelled_csv(spark, str(folder), str(tmp_path / "out"), {"Training": "a.csv"})
+    assert [(r.split, r.n_logs) for r in counts.collect()] == [("Training", 4)]
+    logs = jobs.load_logs(spark, str(tmp_path / "out"), "lines").collect()
+    assert sorted(r.process_id for r in logs) == ["382", "383", "388", "389"]
+
+
 def test_event_exports_are_read_natively(spark, tmp_path):
     path = write(tmp_path, "host.json.gz", archive(EVENTS))
     logs = archives.extract_logs(json_logs.accepted(archives.read_event_exports(spark, path)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,9 +11,11 @@ from tracehold.operators import ancestry, evaluate, features, graph, prompts, re
 from tracehold.operators.normalize import canonical_logs, process_key
 from tracehold.operators.skew import lookup
 from tracehold.operators.training import fit
-from tracehold.session import materialize
-from tracehold.sources import graph_store
-from tracehold.sources.json_logs import INPUT_ORDER, read_logs
+from tracehold.session import materialize, new_folder
+from tracehold.sinks.logs import write_logs
+from tracehold.sources import archives, graph_store
+from tracehold.sources.json_logs import INPUT_ORDER, file_errors, good_records, read_logs
+from tracehold.sources.labelled_csv import read_labelled_splits
 
 
 def load_logs(spark: SparkSession, path, layout: str = "files") -> DataFrame:
@@ -21,6 +23,32 @@ def load_logs(spark: SparkSession, path, layout: str = "files") -> DataFrame:
     return canonical_logs(read_logs(spark, path, layout))
 
 
+def extract_archives(
+    spark: SparkSession,
+    path,
+    out: str,
+    decode: Callable[[bytes], Iterator[str]] = archives.decode_avro_gzip,
+) -> tuple[DataFrame, DataFrame]:
+    """Event archives to JSON-lines logs, one folder per split.
+
+    Files that belong to no split are left out. Returns (rows per split and file,
+    files that failed); a failed file adds no rows. Decoding is the costly step
+    and cannot be split within a file, so its output is stored once.
+    """
+    decoded = materialize(archives.read_archives(spark, path, decode), "decoded")
+    records = good_records(decoded, whole_files_only=True)
+    logs = archives.extract_logs(archives.parse_events(records)).filter(F.col("split").isNotNull())
+    write_logs(logs, out)
+    return archives.split_counts(logs), file_errors(decoded)
+
+
+def convert_labelled_csv(spark: SparkSession, folder: str, out: str, files: Mapping | None = None) -> DataFrame:
+    """Labelled CSV files to JSON-lines logs, one folder per split; returns row counts."""
+    logs = read_labelled_splits(spark, folder, files)
+    write_logs(logs, out)
+    return archives.split_counts(logs)
+
+
 def build_graph(logs: DataFrame, path: str, order: Sequence[str] = INPUT_ORDER) -> tuple[DataFrame, DataFrame]:
     """Rebuild the stored process graph from logs; returns (nodes, edges).
 
@@ -34,11 +62,19 @@ def build_graph(logs: DataFrame, path: str, order: Sequence[str] = INPUT_ORDER)
 
 def train(nodes: DataFrame, edges: DataFrame, weights_path: str | None = None, **options):
     """Index the graph and fit the autoencoder; returns (weights, losses)."""
-    index = features.node_index(nodes)
-    pairs = features.edge_index(edges, index)
+    path = new_folder(nodes.sparkSession, "graph-index")
+    index, pairs = index_graph(nodes, edges, path)
     return fit(index, pairs, weights_path=weights_path, **options)
 
 
+def index_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Store the model's view of a graph: (id, idx, seed) nodes and numbered edges."""
+    spark = nodes.sparkSession
+    index = materialize(features.node_index(nodes), "node-index")
+    graph_store.write_graph(index, features.edge_index(edges, index), path)
+    return graph_store.read_nodes(spark, path), graph_store.read_edges(spark, path)
+
+
 def triage(
     scored: DataFrame,
     nodes: DataFrame,
@@ -85,6 +121,21 @@ def triage_metrics(scored: DataFrame, threshold: float = fv.ALERT_THRESHOLD) ->
     return evaluate.metrics(evaluate.confusion(graded))
 
 
+def evaluate_model(
+    logs: DataFrame,
+    contexts: DataFrame,
+    connect: Callable[[], prompts.Client],
+    key: str,
+    log: Column,
+    n: int = fv.SAMPLE_PER_CLASS,
+    seed: int = 0,
+    **options,
+) -> DataFrame:
+    """Metrics of one model over a class-balanced sample of the logs."""
+    sample = materialize(evaluate.balanced_sample(logs, [key], n, seed), "sample")
+    return compare_models(sample, contexts, {"model": connect}, key, log, **options).drop("model")
+
+
 def compare_models(
     sample: DataFrame,
     contexts: DataFrame,

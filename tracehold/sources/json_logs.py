@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tracehold.functions.text import once
-from tracehold.session import materialize
 
 INPUT_ORDER = ("src_file", "src_block", "src_row")
 
@@ -171,9 +170,10 @@ def file_errors(decoded: DataFrame) -> DataFrame:
 
 
 def good_records(decoded: DataFrame, whole_files_only: bool = False) -> DataFrame:
-    """The records; with ``whole_files_only`` none from a file that failed."""
-    if whole_files_only:
-        decoded = materialize(decoded, "decoded")  # both sides below read it; decode once
+    """The records; with ``whole_files_only`` none from a file that failed.
+
+    Reads ``decoded`` twice then, so store it first (``materialize``).
+    """
     rows = decoded.filter(F.col("error").isNull()).drop("error")
     if whole_files_only:
         rows = rows.join(file_errors(decoded).select("src_file"), "src_file", "left_anti")

@@ -115,7 +115,7 @@ def test_fit_lowers_loss_and_separates(spark, tmp_path):
     assert sum(v.size for v in stored.values()) == 1072
 
 
-@pytest.mark.parametrize("n_nodes,n_samples", [(50, 40), (200, 300), (5, 6)])
+@pytest.mark.parametrize("n_nodes,n_samples", [(50, 40), (200, 300), (5, 6), (60, 1200)])
 def test_negative_edges(spark, n_nodes, n_samples):
     random = np.random.default_rng(2)
     edges = {tuple(int(v) for v in random.integers(0, n_nodes, 2)) for _ in range(n_samples)}

@@ -8,6 +8,7 @@ side hot nodes are spread by ``lookup``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -130,12 +131,13 @@ def drawn_pairs(edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0"
     """(slot, src, dst): distinct random pairs that are no edge and no self-pair.
 
     Pairs are hashes of a label and a slot number, so a retried task draws the
-    same pairs. More slots than wanted pairs are drawn: enough for the expected
-    losses to self-pairs, edges and repeats, with slack.
+    same pairs. As many slots are drawn as are expected to reach a tenth more than
+    the wanted pairs among all ordered pairs, repeats included. Assumes about as
+    many edges as samples.
     """
-    free = n_nodes * (n_nodes - 1)
-    chance = max(free - n_samples, 1) / (n_nodes * n_nodes) if n_nodes else 1.0
-    slots = int(n_samples / max(chance, 0.02) * 1.25) + 64
+    free = n_nodes * (n_nodes - 1) - n_samples
+    share = min(0.95, 1.1 * n_samples / max(free, 1))
+    slots = int(-n_nodes * n_nodes * math.log(1.0 - share)) + 64
     n = F.lit(n_nodes)
     return (
         edges.sparkSession.range(slots)

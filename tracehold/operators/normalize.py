@@ -36,9 +36,7 @@ def label(column: Column) -> Column:
 def canonical_logs(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Project any source frame to the canonical columns (plus ``keep``).
 
-    Spark matches column names without regard to case, so dialect names that
-    differ by more than case are listed in ``CANONICAL``. Columns a source lacks
-    are NULL (labels 0).
+    Columns a source lacks are NULL (labels 0).
     """
     present = set(raw.columns)
     columns = []

@@ -52,11 +52,15 @@ def lookup(
     and the table's row of that key is repeated once per salt; rows without a key
     match nothing and are spread too. All other rows join as usual. Nothing is
     dropped. ``hot`` comes from ``hot_keys``, counted here if not given.
+
+    The salt depends on the row alone, so a task that runs again sends its rows to
+    the same places.
     """
     hot = hot_keys(rows, key) if hot is None else hot
     if how == "inner" and not hot:
         return rows.join(table, F.col(key) == F.col(table_key))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
+    hashable = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     one, many = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
     is_spread, copies = F.col(key).isNull(), one
     if hot:

@@ -257,7 +257,8 @@ def _negatives(label: str) -> str:
     return f"""
 size AS (SELECT (SELECT count(*) FROM idx) AS n, (SELECT count(*) FROM pairs) AS e),
 slots AS (
-  SELECT unnest(range(0, CAST(floor(e / greatest(greatest(n * (n - 1) - e, 1) / (n * n), 0.02) * 1.25) AS BIGINT) + 64)) AS slot, n
+  SELECT unnest(range(0, CAST(floor(-n * n * ln(1.0 - least(0.95::DOUBLE,
+    1.1::DOUBLE * e / greatest(n * (n - 1) - e, 1)))) AS BIGINT) + 64)) AS slot, n
   FROM size
 ),
 drawn AS (SELECT {_draw(label + ':src', 'n')} AS src, {_draw(label + ':dst', 'n')} AS dst, slot FROM slots),

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracehold.operators import graph, scoring
+from tracehold.operators import graph, scoring, training
 from tracehold.plans import jobs
 from tracehold.plans.queries import echo_model
 from tracehold.streaming import jobs as streaming
@@ -39,6 +39,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == key(batch.filter(scoring.is_alert())) and len(got) == 40
 
 
+def test_model_scores_on_a_stream_equal_batch(spark, tmp_path):
+    path = incoming(tmp_path / "in")
+    weights = training.initial_weights(2)
+    stream = scoring.score_logs(streaming.stream_logs(spark, path), weights)
+    out = str(tmp_path / "scores")
+    run(stream.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", str(tmp_path / "c")))
+    batch = scoring.score_logs(jobs.load_logs(spark, path, "lines"), weights)
+    key = lambda f: sorted((r.timestamp, r.base_score, r.score) for r in f.collect())
+    assert key(spark.read.parquet(out)) == key(batch)
+
+
 def test_running_confusion_equals_batch(spark, tmp_path):
     path = incoming(tmp_path / "in")
     stream = streaming.running_confusion(with_scores(streaming.stream_logs(spark, path, maxFilesPerTrigger=1)))

@@ -56,5 +56,5 @@ def once(column: Column) -> Column:
 
 
 def two_decimals(column: Column) -> Column:
-    """The number with two decimals, as text."""
-    return F.round(column, 2).cast("decimal(38,2)").cast("string")
+    """The number with two decimals, as text, rounded by its exact binary value."""
+    return F.call_function("format_number", column, F.lit("0.00"))

@@ -89,6 +89,21 @@ def read_event_exports(spark: SparkSession, path) -> DataFrame:
     return parse_json(read_json_lines(spark, path), EVENT_SCHEMA)
 
 
+def read_avro_events(spark: SparkSession, path) -> DataFrame:
+    """Plain (not gzip-wrapped) Avro containers, read in splits by Spark's Avro module.
+
+    The module is an external one (``spark-avro``) and must be on the class path.
+    """
+    rows = spark.read.format("avro").load(path)
+    return rows.select(
+        F.col("_metadata.file_path").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("src_block"),
+        F.monotonically_increasing_id().alias("src_row"),
+        "type",
+        "datum",
+    )
+
+
 def parse_events(records: DataFrame) -> DataFrame:
     return parse_json(records, EVENT_SCHEMA)
 

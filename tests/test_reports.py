@@ -77,6 +77,16 @@ def test_balanced_sample(spark):
     assert set(mixed) == ids(sample) and mixed != sorted(mixed)
 
 
+@pytest.mark.parametrize("n", [1, 40, 990, 1500])
+def test_large_sample_takes_the_same_rows(spark, monkeypatch, n):
+    logs = spark.range(3000).select(F.col("id").alias("pos"), (F.col("id") % 3 == 0).cast("int").alias("is_evil"))
+    ids = lambda: sorted(r.pos for r in evaluate.balanced_sample(logs, ["pos"], n=n, seed=5).collect())
+    monkeypatch.setattr(evaluate, "SMALL_SAMPLE", 10**6)
+    ranked = ids()
+    monkeypatch.setattr(evaluate, "SMALL_SAMPLE", 0)
+    assert ids() == ranked and len(ranked) == min(n, 1000) + min(n, 2000)
+
+
 def test_timed():
     assert evaluate.timed(lambda: 5)[0] == 5
 

@@ -534,6 +534,8 @@ SELECT CASE WHEN is_evil = 1 THEN 'Malicious' ELSE 'Benign' END AS class, count(
 FROM named GROUP BY 1""",
     "balanced_sample": f"""WITH {_LOGS} SELECT pos, is_evil FROM named
 QUALIFY row_number() OVER (PARTITION BY is_evil ORDER BY sha256('7:' || CAST(pos AS VARCHAR)), pos) <= 20""",
+    "large_balanced_sample": f"""WITH {_LOGS} SELECT pos, is_evil FROM named
+QUALIFY row_number() OVER (PARTITION BY is_evil ORDER BY sha256('7:' || CAST(pos AS VARCHAR)), pos) <= 2000""",
     "shuffled_sample": f"""WITH {_LOGS},
 picked AS (
   SELECT pos, is_evil FROM named

@@ -496,6 +496,13 @@ def balanced_sample(spark, folder):
     return evaluate.balanced_sample(logs, POS, seed=7).select("pos", "is_evil")
 
 
+@query
+def large_balanced_sample(spark, folder):
+    """A sample larger than the evil class: all of it, and as many benign logs as fit."""
+    logs = process_logs(spark, folder)
+    return evaluate.balanced_sample(logs, POS, n=2000, seed=7).select("pos", "is_evil")
+
+
 @query
 def shuffled_sample(spark, folder):
     sample = evaluate.balanced_sample(process_logs(spark, folder), POS, seed=7)

@@ -45,6 +45,13 @@ def test_layouts(spark, tmp_path, layout, text):
     assert shown(load_logs(spark, write(tmp_path, "a.json", text), layout)) == EXPECTED
 
 
+def test_labels_of_any_kind(spark, tmp_path):
+    values = [1, 0, "1", 1.0, True, False, None, "x", "", 2]
+    path = write(tmp_path, "a.json", "\n".join(json.dumps({"is_evil": v}) for v in values))
+    rows = load_logs(spark, path, "lines").orderBy("src_row").collect()
+    assert [r.is_evil for r in rows] == [1, 0, 1, 1, 1, 0, 0, 0, 0, 2]
+
+
 def test_indented_array_by_object_end(spark, tmp_path):
     path = write(tmp_path, "a.json", json.dumps(LOGS, indent=2))
     records = json_logs.read_json_objects(spark, path, "\n  }")

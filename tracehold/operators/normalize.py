@@ -29,8 +29,12 @@ LABELS = ("is_suspicious", "is_evil")
 
 
 def label(column: Column) -> Column:
-    """0/1 label from a number or text; 0 where it is missing or no number."""
-    return F.coalesce(column.try_cast("int"), F.lit(0))
+    """0/1 label from a number, boolean or text; 0 where it is missing or none of these."""
+    return F.coalesce(
+        column.try_cast("double").try_cast("int"),
+        F.when(F.lower(column) == "true", F.lit(1)),
+        F.lit(0),
+    )
 
 
 def canonical_logs(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import chat, sharding
+from tracehold.llm import chat, orc_tokens, packing, sharding
 from tracehold.llm.common import table
+from tracehold.session import new_folder
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +23,18 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), leaves, sharding.grown(leaves))
 
 
+def op5_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' token ids written as ORC and read back."""
+    path = new_folder(spark, "token-files")
+    orc_tokens.write_tokens(table(spark, folder, "documents"), path, tokenizer_path())
+    return orc_tokens.token_index(spark, path)
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations from every speaker's view."""
     return chat.perspectives(table(spark, folder, "conversations"))
@@ -23,6 +42,8 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op5_token_orc": op5_token_orc,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import chat, orc_tokens, packing, sharding
+from tracehold.llm import chat, minhash, orc_tokens, packing, sharding
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -40,11 +40,17 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(table(spark, folder, "conversations"))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents' near-duplicate components at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_token_orc": op5_token_orc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE}

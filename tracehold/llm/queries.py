@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import chat, minhash, orc_tokens, packing, sharding
+from tracehold.llm import chat, minhash, orc_tokens, packing, sharding, suffix
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), leaves, sharding.grown(leaves))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that occur twice."""
+    return suffix.removed_digest(suffix.repeated_strings(table(spark, folder, "documents"), window=200))
+
+
 def op5_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     """All documents' token ids written as ORC and read back."""
     path = new_folder(spark, "token-files")
@@ -47,6 +52,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_orc": op5_token_orc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,

@@ -5,9 +5,12 @@ band of their signature are candidates. A candidate's signatures are compared ba
 is dropped as soon as the posterior probability of a similarity at or above the threshold falls
 below the chosen miss probability. Survivors are compared on their full shingle sets.
 
-A band's bucket is not expanded into all pairs. Its members are first compared with its smallest
-and its largest member; what those links join needs no other comparison. Only pairs of one bucket
-that are in different components then are compared as well, so no component is lost.
+A band's bucket is not expanded into all pairs. Shingles that no other candidate has bound the
+similarity of a class from above: most edited copies of one text can be linked with nothing and
+drop out. The others are compared with their bucket's hub, the member with the fewest shingles of
+its own; what those links join needs no other comparison. Only pairs of a bucket that are in
+different components then, and may be linked by the bound, are compared as well, so no component
+is lost.
 """
 
 from __future__ import annotations
@@ -153,17 +156,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WOR
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The linked ones of candidate pairs of classes (a, b), stored."""
     left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sign_a"))
     right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sign_b"))
     alive, _ = stored(surviving(pairs.join(left, "a").join(right, "b"), percent), "candidates")
-    needed = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
-    needed = needed.join(classes.select("id", "first.doc_id", "first.text_key"), "id")
-    texts = needed.join(_rows(documents), ["doc_id", "text_key"]).dropDuplicates(["id"])
     return stored(confirmed(alive, texts, percent), "links")[0]
 
 
+def own_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, own): shingles of each of some texts (id, text) that no other of them has; none: no row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, _, data, offsets in slices(batch.column(1)):
+                sets = list(shingles(data, offsets, words))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(ids[i:i + len(sets)], [len(s) for s in sets])),
+                    pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    each = texts.select("id", "text").mapInArrow(work, "id long, shingle long")
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id")).where("_n = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _may_link(percent: int, *names: str):
+    """Whether sizes n and own shingles leave room for a link: own ones are in no intersection."""
+    x, y = names
+    common = F.least(F.col(f"{x}n") - F.col(f"{x}own"), F.col(f"{y}n") - F.col(f"{y}own"))
+    return common * 100 >= (F.col(f"{x}n") + F.col(f"{y}n") - common) * percent
+
+
+def _may_link_any(percent: int):
+    """Whether a link with a text of any size is possible: at best one that holds the shared shingles alone."""
+    return (F.col("n") - F.col("own")) * 100 >= F.col("n") * percent
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest linked doc_id) and kept of every row.
 
@@ -179,26 +207,35 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"),
         F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(
-        F.count(F.lit(1)).alias("_count"), F.min("id").alias("low"), F.max("id").alias("high")).where("_count > 1")
-    held, _ = stored(members.join(buckets.drop("_count"), "band"), "buckets")
-
-    hubs = held.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    hubs = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(hubs, classes, documents, percent)
+    shared, _ = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band"), "bands")
+    found, _ = stored(members.join(shared, "band"), "buckets")
+    some_classes = found.select("id").distinct().join(classes.select("id", "first.doc_id", "first.text_key"), "id")
+    texts, _ = stored(some_classes.join(_rows(documents), ["doc_id", "text_key"]).dropDuplicates(["id"]).select("id", "text"), "candidate-texts")
+    own, _ = stored(own_shingles(texts), "own-shingles")
+    held, _ = stored(found.join(own, "id", "left").na.fill(0, ["own"]), "held")
+
+    # first every member with its bucket's hub, the one with the fewest shingles of its own
+    hubs = held.groupBy("band").agg(F.min(F.struct("own", "id", "n")).alias("_h")).select(
+        "band", F.col("_h.id").alias("h_id"), F.col("_h.n").alias("h_n"), F.col("_h.own").alias("h_own"))
+    hubs, _ = stored(hubs, "hubs")
+    first = held.withColumnsRenamed({"id": "m_id", "n": "m_n", "own": "m_own"}).join(hubs, "band").where(
+        (F.col("m_id") != F.col("h_id")) & _may_link(percent, "m_", "h_"))
+    first = first.select(F.least("m_id", "h_id").alias("a"), F.greatest("m_id", "h_id").alias("b")).distinct()
+    links = _verified(first, classes, texts, percent)
     joined, _ = stored(components(links), "components")
 
-    # what a bucket's hubs did not join is compared pair by pair
-    in_bucket = held.join(joined, held["id"] == joined["node"], "left").select(
-        "band", "id", "n", "low", "high", F.coalesce("component", "id").alias("c"))
-    split = in_bucket.groupBy("band").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("band")
-    rest, _ = stored(in_bucket.join(split, "band"), "split-buckets")
-    more = rest.alias("x").join(
-        rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("x.low")) & (F.col("y.id") != F.col("x.high"))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more_links = _verified(more, classes, documents, percent)
+    # what hubs did not join is compared pair by pair, where a link is possible
+    able = held.where(_may_link_any(percent)).join(joined, held["id"] == joined["node"], "left").select(
+        "band", "id", "n", "own", F.coalesce("component", "id").alias("c"))
+    able, _ = stored(able, "able")
+    split = able.groupBy("band").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("band")
+    rest, _ = stored(able.join(stored(split, "split-bands")[0], "band").join(hubs.select("band", "h_id"), "band"), "split-buckets")
+    x, y = (rest.withColumnsRenamed({n: f"{p}_{n}" for n in ("id", "n", "own", "c")}) for p in "xy")
+    more = x.join(y.drop("h_id"), "band").where(
+        (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & (F.col("x_id") != F.col("h_id"))
+        & (F.col("y_id") != F.col("h_id")) & _may_link(percent, "x_", "y_"))
+    more = more.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    more_links = _verified(more, classes, texts, percent)
 
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more_links))
     named = classes.join(final, classes["id"] == final["node"], "left").select(

@@ -307,7 +307,9 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     found, _ = stored(find_segments(rows, window, gram), "segments")
     grams = found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("_n"), F.min("content").alias("_a"), F.max("content").alias("_b")).where("_n > 1")
-    shared, _ = stored(found.join(grams.select("gram", (F.col("_a") != F.col("_b")).alias("several")), "gram"), "shared-segments")
+    # stored, so that the join deals both sides itself and can split a gram of very many segments
+    grams, _ = stored(grams.select("gram", (F.col("_a") != F.col("_b")).alias("several")), "grams")
+    shared, _ = stored(found.join(grams, "gram"), "shared-segments")
     owner = ["doc_id", "text_key"]
     whole = F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("length")).alias("end"))
     alike = shared.where(~F.col("several")).select(*owner, F.array(whole).alias("spans"))
@@ -316,7 +318,7 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     distinct = several.groupBy("gram", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*owner, "start", "length", "place")).alias("one"))
     distinct, _ = stored(distinct, "distinct-segments")
-    wide = distinct.groupBy("gram").agg((F.count(F.lit(1)) > WIDE_GRAM).alias("wide"))
+    wide, _ = stored(distinct.groupBy("gram").agg((F.count(F.lit(1)) > WIDE_GRAM).alias("wide")), "wide-grams")
     wanted = distinct.join(wide, "gram").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key")).agg(
         F.collect_list(F.struct("gram", "content", "one.start", "one.length", "one.place", "wide")).alias("wanted"))
     texts = _owned(rows, wanted, "inner").select("text", "wanted")

@@ -14,8 +14,10 @@ _B = 0x9E3779B97F4A7C15
 _B_INVERSE = pow(_B, -1, 1 << 64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words: ASCII white space, or all of ASCII but letters and digits.
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,16 +89,17 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, stem: int = 0):
     """64-bit hashes of the words of some rows, and the first word of each row (one more at the end).
 
-    Words are runs without ASCII white space; A-Z count as a-z. ``offsets`` are
-    relative to ``data`` and start at 0.
+    Words are runs without the bytes ``between``; A-Z count as a-z. ``offsets`` are
+    relative to ``data`` and start at 0. With ``stem``, also hashes of the words' first bytes, so many.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+        empty = np.zeros(0, np.uint64)
+        return (empty, np.zeros(len(offsets), np.int64), *([empty] if stem else []))
+    word = ~between[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     begins = word.copy()
@@ -106,8 +109,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * powers(_B, n), out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * powers(_B_INVERSE, n)[first])
-    return hashes, np.searchsorted(first, offsets)
+    back = powers(_B_INVERSE, n)[first]
+    hashes = mix((sums[last] - sums[first]) * back)
+    if not stem:
+        return hashes, np.searchsorted(first, offsets)
+    return hashes, np.searchsorted(first, offsets), mix((sums[np.minimum(first + stem, last)] - sums[first]) * back)
 
 
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:

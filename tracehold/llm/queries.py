@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import chat, minhash, orc_tokens, packing, sharding, suffix
+from tracehold.llm import chat, minhash, orc_tokens, packing, sharding, suffix, toxicity
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -28,6 +28,11 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.removed_digest(suffix.repeated_strings(table(spark, folder, "documents"), window=200))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored for toxicity, learned from the labels that are not held out."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_token_orc(spark: SparkSession, folder: str) -> DataFrame:
     """All documents' token ids written as ORC and read back."""
     path = new_folder(spark, "token-files")
@@ -53,6 +58,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_token_orc": op5_token_orc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_chat_formatting": op8_chat_formatting,

@@ -70,6 +70,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type)
@@ -89,6 +91,16 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         i = min(j, n)
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, stem: int = 0):
+    """64-bit hashes of some spans of bytes, A-Z as a-z; with ``stem`` also of so many first bytes of each."""
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * powers(_B, n), out=sums[1:])
+    back = powers(_B_INVERSE, n)[first]
+    hashes = mix((sums[last] - sums[first]) * back)
+    return (hashes, mix((sums[np.minimum(first + stem, last)] - sums[first]) * back)) if stem else hashes
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, stem: int = 0):
     """64-bit hashes of the words of some rows, and the first word of each row (one more at the end).
 
@@ -107,13 +119,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPA
     ends = word.copy()
     ends[:-1] &= ~word[1:] | cut[1:n]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_FOLD[data].astype(np.uint64) + np.uint64(1)) * powers(_B, n), out=sums[1:])
-    back = powers(_B_INVERSE, n)[first]
-    hashes = mix((sums[last] - sums[first]) * back)
-    if not stem:
-        return hashes, np.searchsorted(first, offsets)
-    return hashes, np.searchsorted(first, offsets), mix((sums[np.minimum(first + stem, last)] - sums[first]) * back)
+    hashes = span_hashes(data, first, last, stem)
+    return (hashes[0], np.searchsorted(first, offsets), hashes[1]) if stem else (hashes, np.searchsorted(first, offsets))
 
 
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:

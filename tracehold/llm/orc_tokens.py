@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracehold.llm.common import stored
-from tracehold.llm.tokens import encoder, id_lists, text_steps, tokenizer_file
+from tracehold.llm.tokens import closed, encoder, id_lists, tokenizer_file
 
 SCHEMA = "doc_id long, part int, row long, ids array<int>"
 STRIPE_BYTES = 16 << 20
@@ -29,17 +29,16 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
     spark = documents.sparkSession
     definition = tokenizer_file(spark, tokenizer_path)
-    end = np.array([end_id], dtype="<i4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, row = encoder(definition.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, texts in text_steps(batch.column(1)):
-                ids = [x + end for x in tokens.encode(texts)]
-                n = len(texts)
+            for i, j, ids, counts in tokens.encode_column(batch.column(1)):
+                n = j - i
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, n), pa.array(np.full(n, part, dtype=np.int32)),
-                    pa.array(np.arange(row, row + n)), id_lists(ids)], ["doc_id", "part", "row", "ids"])
+                    batch.column(0).slice(i, n), pa.array(np.full(n, part, dtype=np.int32)),
+                    pa.array(np.arange(row, row + n)), id_lists(*closed(ids, counts, end_id))],
+                    ["doc_id", "part", "row", "ids"])
                 row += n
 
     order = [F.col("doc_id"), F.xxhash64("text")]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracehold.llm.common import stored
-from tracehold.llm.tokens import encoder, id_lists, text_steps, tokenizer_file
+from tracehold.llm.tokens import closed, encoder, id_lists, tokenizer_file
 
 #: Pieces that one task packs: many enough that the open bins left over hardly count.
 GROUP_PIECES = 1 << 15
@@ -74,26 +74,23 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048
     Only longer documents are cut. ``part`` and ``row`` name a piece. Null texts are empty.
     """
     definition = tokenizer_file(documents.sparkSession, tokenizer_path)
-    end, width = np.array([end_id], dtype="<i4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, row = encoder(definition.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            names = batch.column(0)
-            for at, texts in text_steps(batch.column(1)):
-                owner, number, pieces = [], [], []
-                for i, ids in enumerate(tokens.encode(texts), at):
-                    ids += end
-                    for p, a in enumerate(range(0, len(ids), width)):
-                        owner.append(i)
-                        number.append(p)
-                        pieces.append(ids[a:a + width])
-                n, number = len(pieces), np.array(number, dtype=np.int32)
+            for i, _, ids, counts in tokens.encode_column(batch.column(1)):
+                ids, starts = closed(ids, counts, end_id)
+                pieces = -(-np.diff(starts) // capacity)
+                owner = np.repeat(np.arange(len(counts)), pieces)
+                n = len(owner)
+                number = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = starts[owner] + number * capacity
+                edges = np.append(first, starts[-1])
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    names.take(pa.array(owner)), pa.array(np.full(n, part, dtype=np.int32)),
-                    pa.array(np.arange(row, row + n)), pa.array(number), pa.array(number.astype(np.int64) * capacity),
-                    pa.array(np.array([len(x) // 4 for x in pieces], dtype=np.int64)),
-                    pa.array([zlib.crc32(x) for x in pieces], type=pa.int64()), id_lists(pieces),
+                    batch.column(0).take(pa.array(i + owner)), pa.array(np.full(n, part, dtype=np.int32)),
+                    pa.array(np.arange(row, row + n)), pa.array(number.astype(np.int32)), pa.array(number * capacity),
+                    pa.array(np.diff(edges)), pa.array(sums, type=pa.int64()), id_lists(ids, edges),
                 ], [x.split()[0] for x in PIECES.split(", ")])
                 row += n
 

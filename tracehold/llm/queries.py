@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import chat, minhash, orc_tokens, packing, sharding, suffix, toxicity
+from tracehold.llm import ann, chat, minhash, orc_tokens, packing, pii, sharding, suffix, toxicity
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all embeddings."""
+    index, vectors = ann.build_index(table(spark, folder, "embeddings"))
+    return ann.nearest(index, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents on 16 shards by the weighted hash tree, and on 17."""
     leaves = sharding.topology(16)
@@ -45,6 +51,11 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations from every speaker's view."""
     return chat.perspectives(table(spark, folder, "conversations"))
@@ -56,11 +67,13 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_sharding": op2_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_token_orc": op5_token_orc,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_personal_data": op7_personal_data,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_minhash": op10_minhash,
 }

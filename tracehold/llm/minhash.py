@@ -8,9 +8,8 @@ below the chosen miss probability. Survivors are compared on their full shingle
 A band's bucket is not expanded into all pairs. Shingles that no other candidate has bound the
 similarity of a class from above: most edited copies of one text can be linked with nothing and
 drop out. The others are compared with their bucket's hub, the member with the fewest shingles of
-its own; what those links join needs no other comparison. Only pairs of a bucket that are in
-different components then, and may be linked by the bound, are compared as well, so no component
-is lost.
+its own; two members that it links are in one component and need no other comparison. The other
+pairs of a bucket are compared as well where the bound allows a link, so no component is lost.
 """
 
 from __future__ import annotations
@@ -187,9 +186,9 @@ def _may_link(percent: int, *names: str):
     return common * 100 >= (F.col(f"{x}n") + F.col(f"{y}n") - common) * percent
 
 
-def _may_link_any(percent: int):
+def _may_link_any(percent: int, name: str):
     """Whether a link with a text of any size is possible: at best one that holds the shared shingles alone."""
-    return (F.col("n") - F.col("own")) * 100 >= F.col("n") * percent
+    return (F.col(f"{name}n") - F.col(f"{name}own")) * 100 >= F.col(f"{name}n") * percent
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -218,26 +217,26 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     hubs = held.groupBy("band").agg(F.min(F.struct("own", "id", "n")).alias("_h")).select(
         "band", F.col("_h.id").alias("h_id"), F.col("_h.n").alias("h_n"), F.col("_h.own").alias("h_own"))
     hubs, _ = stored(hubs, "hubs")
-    first = held.withColumnsRenamed({"id": "m_id", "n": "m_n", "own": "m_own"}).join(hubs, "band").where(
-        (F.col("m_id") != F.col("h_id")) & _may_link(percent, "m_", "h_"))
-    first = first.select(F.least("m_id", "h_id").alias("a"), F.greatest("m_id", "h_id").alias("b")).distinct()
-    links = _verified(first, classes, texts, percent)
-    joined, _ = stored(components(links), "components")
-
-    # what hubs did not join is compared pair by pair, where a link is possible
-    able = held.where(_may_link_any(percent)).join(joined, held["id"] == joined["node"], "left").select(
-        "band", "id", "n", "own", F.coalesce("component", "id").alias("c"))
+    seen = held.withColumnsRenamed({"id": "m_id", "n": "m_n", "own": "m_own"}).join(hubs, "band").where("m_id != h_id").withColumns(
+        {"a": F.least("m_id", "h_id"), "b": F.greatest("m_id", "h_id")})
+    seen, _ = stored(seen, "members")
+    links = _verified(seen.where(_may_link(percent, "m_", "h_")).select("a", "b").distinct(), classes, texts, percent)
+
+    # members that are not both linked to the hub are compared, where a link is possible
+    able = seen.where(_may_link_any(percent, "m_")).join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(
+        "band", "m_id", "m_n", "m_own", F.coalesce("linked", F.lit(False)).alias("m_linked"))
     able, _ = stored(able, "able")
-    split = able.groupBy("band").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a != _b").select("band")
-    rest, _ = stored(able.join(stored(split, "split-bands")[0], "band").join(hubs.select("band", "h_id"), "band"), "split-buckets")
-    x, y = (rest.withColumnsRenamed({n: f"{p}_{n}" for n in ("id", "n", "own", "c")}) for p in "xy")
-    more = x.join(y.drop("h_id"), "band").where(
-        (F.col("x_id") < F.col("y_id")) & (F.col("x_c") != F.col("y_c")) & (F.col("x_id") != F.col("h_id"))
-        & (F.col("y_id") != F.col("h_id")) & _may_link(percent, "x_", "y_"))
-    more = more.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    split = able.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("m_linked")).alias("_k")).where("_n > 1 AND _k > 0")
+    rest = able.join(stored(split.select("band"), "split-bands")[0], "band")
+    rest, _ = stored(rest.join(classes.select(F.col("id").alias("m_id"), F.col("bands").alias("m_bands")), "m_id"), "split-buckets")
+    x, y = (rest.withColumnsRenamed({f"m_{n}": f"{p}_{n}" for n in ("id", "n", "own", "linked", "bands")}) for p in "xy")
+    first_shared = F.element_at(F.array_intersect("x_bands", "y_bands"), 1)  # a pair counts in one band alone
+    more = x.join(y, "band").where(
+        (F.col("x_id") < F.col("y_id")) & ~(F.col("x_linked") & F.col("y_linked")) & _may_link(percent, "x_", "y_")
+        & (first_shared == F.col("band"))).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
     more_links = _verified(more, classes, texts, percent)
 
-    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more_links))
+    final = components(links.unionByName(more_links))
     named = classes.join(final, classes["id"] == final["node"], "left").select(
         *equal, "first", F.coalesce("component", "id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("first.doc_id").alias("component_id"))

@@ -11,16 +11,19 @@ a logistic function, fitted on labelled rows that the models have not seen, make
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tracehold.llm.common import MARKS, mix, slices, stored, word_hashes
+from tracehold.llm.common import MARKS, drop_stored, mix, slices, stored, word_hashes
 
 WORD_BITS, PAIR_BITS, SHARED_BITS = 20, 21, 18
 #: Labelled rows that the models and the score are fitted on, about so many of each class at most.
@@ -138,7 +141,7 @@ def fit_models(documents: DataFrame, sample: DataFrame) -> Model:
     # a bucket's share is dealt evenly to the word buckets in it
     backoff = contexts / contexts.sum() / (1 << (WORD_BITS - SHARED_BITS))
 
-    pairs, _ = stored(_counts(sample), "pair-counts")
+    pairs, pairs_path = stored(_counts(sample), "pair-counts")
     words = pairs.groupBy("toxic", F.col("right").alias("word")).agg(F.count(F.lit(1)).alias("n"))
     contexts_of = _dense(words, "word", "n", WORD_BITS)
     word, rest = _discounted(contexts_of)
@@ -148,11 +151,16 @@ def fit_models(documents: DataFrame, sample: DataFrame) -> Model:
     stem = np.where(both > 0, (stem + stem_rest[:, None] * both) / np.maximum(both, 1e-300), 1.0)
     inner = pairs.where("left >= 0")
     kept = F.greatest(F.col("n") - DISCOUNT, F.lit(0)).cast("double")
-    heads = inner.groupBy("toxic", "left").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum(kept)).alias("cut"))
-    return Model(
-        word.astype(np.float32), rest, stem.astype(np.float32), backoff.astype(np.float32), _dense(heads, "left", "n", WORD_BITS).astype(np.float32),
-        _dense(heads, "left", "cut", WORD_BITS).astype(np.float32),
+    # a first word after which nothing is left of the counts says no more than the second word alone
+    heads = inner.groupBy("toxic", "left").agg(F.sum("n").alias("n"), F.sum(kept).alias("kept")).where("kept > 0").select(
+        "toxic", "left", "n", (F.col("n") - F.col("kept")).alias("cut"))
+    heads, heads_path = stored(heads, "first-words")
+    model = Model(
+        word.astype(np.float32), rest, stem.astype(np.float32), backoff.astype(np.float32),
+        _dense(heads, "left", "n", WORD_BITS).astype(np.float32), _dense(heads, "left", "cut", WORD_BITS).astype(np.float32),
         _pairs(inner.select("toxic", "left", "right", kept.alias("n")).where("n > 0")), np.zeros(0))
+    drop_stored(documents.sparkSession, pairs_path, heads_path)
+    return model
 
 
 def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,14 +209,26 @@ def _features(model: Model, words: np.ndarray, first: np.ndarray, stems: np.ndar
     return out
 
 
+_models: dict[int, Model] = {}
+
+
+def _unpacked(shared: Broadcast) -> Model:
+    """The worker's copy of the model that it got last."""
+    name = zlib.crc32(shared.value)
+    if name not in _models:
+        _models.clear()
+        _models[name] = pickle.loads(zlib.decompress(shared.value))
+    return _models[name]
+
+
 def _scored(rows: DataFrame, model: Model, *wanted: str) -> DataFrame:
     """Rows (text, ...) with the wanted columns, features or a score, in place of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
     schema = StructType([*(f for f in rows.schema if f.name != "text"), *(StructField(x, DoubleType()) for x in wanted)])
     columns = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _unpacked(shared)
         for batch in batches:
             names = batch.schema.names
             at = names.index("text")
@@ -261,9 +281,10 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, o
         "fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(SCORE_FOLDS)).cast("int"))
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "fold")
-    sample, _ = stored(sample, "toxicity-sample")
+    sample, path = stored(sample, "toxicity-sample")
     model = fit_models(documents, sample.where("fold > 0"))
     rows = _scored(sample.where("fold = 0"), model, "whole", "passage").toArrow()  # bounded by the sample
+    drop_stored(documents.sparkSession, path)
     x = np.column_stack([np.ones(len(rows)), rows["whole"].to_numpy(), rows["passage"].to_numpy()])
     y = rows["toxic"].to_numpy().astype(float)
     if len(set(y)) < 2:

@@ -1,10 +1,68 @@
-"""The training-data pipeline: stages over the documents table, each written before the next."""
+"""The training-data pipeline: stages over the documents table, each written before the next reads it.
+
+Every stage works on all that the one before kept. All but the last return the columns of
+documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracehold.llm import minhash, packing, pii, tiling, toxicity
+from tracehold.llm.common import stored, table
+from tracehold.llm.queries import tokenizer_path
+from tracehold.session import ship_package
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that score as toxic; the score is learned from the labels not held out."""
+    ship_package(spark)
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group with a similarity of 0.8 or more on five-word shingles."""
+    ship_package(spark)
+    return minhash.distinct_documents(docs, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents of which tiles cover half of a benchmark item or more."""
+    ship_package(spark)
+    return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind, as in <email>; every document stays."""
+    ship_package(spark)
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' token ids into sequences of 2048."""
+    ship_package(spark)
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
+
+#: The models, signatures and tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracehold.llm.common import mix, shingles, slices, stored
@@ -199,6 +199,28 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     linked with nothing. Rows without a doc_id take part in no link: their component is NULL and
     they are kept. Other columns are not read.
     """
+    return classified(documents, percent, bands, rows).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def distinct_documents(documents: DataFrame, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
+    """The documents, all columns, with one of each group of near-duplicates: the smallest doc_id.
+
+    Of rows that repeat a doc_id in a group one is kept. Rows without a doc_id are kept.
+    """
+    chosen = classified(documents, percent, bands, rows).where("first").select(
+        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    key = F.xxhash64(F.col("text").cast("string"))
+    boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"),
+                             F.col("doc_id").cast("long").alias("_doc"), key.alias("_key"))
+    named = boxed.where(F.col("_doc").isNotNull()).join(chosen, ["_doc", "_key"])
+    again = F.row_number().over(Window.partitionBy("_doc", "_key").orderBy(F.lit(0)))
+    once = named.withColumn("_n", again).where((F.col("_n") == 1) | F.col("_row.text").isNull() | ~F.col("_row.text").rlike("[^ \\t-\\r]"))
+    return once.select("_row.*").unionByName(boxed.where(F.col("_doc").isNull()).select("_row.*"))
+
+
+def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and whether a row is the first of its component."""
     signed, _ = stored(sign(documents, bands, rows), "signatures")
     some = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     equal = ["set1", "set2", "n_shingles"]
@@ -239,9 +261,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = BANDS,
     final = components(links.unionByName(more_links))
     named = classes.join(final, classes["id"] == final["node"], "left").select(
         *equal, "first", F.coalesce("component", "id").alias("c"))
-    lowest = named.groupBy("c").agg(F.min("first.doc_id").alias("component_id"))
-    named, _ = stored(named.join(lowest, "c").select(*equal, "component_id"), "named-classes")
+    lowest = named.groupBy("c").agg(F.min("first").alias("lowest"))
+    named, _ = stored(named.join(lowest, "c").select(*equal, "lowest"), "named-classes")
     in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return some.select("doc_id", *equal).join(named, equal).select("doc_id", "n_shingles", "component_id").unionByName(
-        signed.where(~in_class).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ["doc_id", "text_key", "n_shingles"]
+    return some.select("doc_id", "text_key", *equal).join(named, equal).select(
+        *columns, F.col("lowest.doc_id").alias("component_id"),
+        (F.struct("doc_id", "text_key") == F.col("lowest")).alias("first")).unionByName(
+        signed.where(~in_class).select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))

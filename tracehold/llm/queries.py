@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import ann, chat, minhash, orc_tokens, packing, pii, sharding, suffix, toxicity
+from tracehold.llm import ann, chat, minhash, orc_tokens, packing, pii, sharding, suffix, tiling, toxicity
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -61,6 +61,11 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(table(spark, folder, "conversations"))
 
 
+def op9_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    return tiling.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """All documents' near-duplicate components at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_string_tiling": op9_string_tiling,
     "op10_minhash": op10_minhash,
 }
 

@@ -93,18 +93,61 @@ def test_broken_tail_keeps_prefix_or_drops_file(spark, tmp_path):
     assert failed == {"a.json", "c.json"}
 
 
-def test_too_large_file_is_reported(spark, tmp_path):
-    path = write(tmp_path, "a.json", json.dumps(LOGS))
-    files = spark.read.format("binaryFile").load(path)
-    row = json_logs.decode_files(files, json_logs.decode_log_file, max_bytes=10).collect()
-    assert len(row) == 1 and "too large" in row[0].error
+def test_truncated_records_are_not_completed(spark, tmp_path):
+    path = write(tmp_path, "a.json", '{\n "process_id": 1\n}\n{\n "process_id": 23')
+    parsed = json_logs.parse_json(json_logs.read_json_objects(spark, path))
+    assert [r.process_id for r in json_logs.accepted(parsed).collect()] == ["1"]
+    assert json_logs.rejects(parsed).count() == 1
+    decoded = json_logs.read_json_files(spark, path)
+    assert [r.record for r in json_logs.good_records(decoded).collect()] == ['{"process_id": 1}']
+    with pytest.raises(Exception, match="not read whole"):
+        json_logs.read_logs(spark, path).collect()
+    assert json_logs.read_logs(spark, path, partial=True).count() == 1
+
+
+def test_last_object_without_line_feed(spark, tmp_path):
+    for text in ('{\n "process_id": 1\n}', '{\n "process_id": 1\n}\n', '{\n "process_id": 1\n} \n\n'):
+        path = write(tmp_path, "a.json", text)
+        assert [r.process_id for r in load_logs(spark, path, "objects").collect()] == ["1"], text
+
+
+@pytest.mark.parametrize("text", ['\t{"process_id": 1}\n \t {"process_id": 2}\n', '[{"process_id": 1},\n{"process_id": 2}]',
+                                  '[\n{"process_id": 1}\n,\n  {"process_id": 2},\n]\n'])
+def test_lines_in_an_array_or_indented(spark, tmp_path, text):
+    path = write(tmp_path, "a.json", text)
+    parsed = json_logs.parse_json(json_logs.read_json_lines(spark, path))
+    assert sorted(r.process_id for r in json_logs.accepted(parsed).collect()) == ["1", "2"]
+    assert json_logs.rejects(parsed).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps(LOGS, indent=0), "\n".join(json.dumps(x, indent=0) for x in LOGS), repr(LOGS).replace(", {", " , {"),
+    "[1, null, 'x}{', " + json.dumps(LOGS)[1:-1] + ', "{" ]'])
+def test_any_layout(spark, tmp_path, text):
+    assert shown(load_logs(spark, write(tmp_path, "a.json", text))) == EXPECTED
+
+
+def test_objects_that_hold_braces_and_quotes(spark, tmp_path):
+    odd = [{"process_id": "a}b{\"'\\\\", "cmdLine": "}}}", "args": [{"x": [{}]}, "]"]}, {"process_id": "it's"}]
+    got = load_logs(spark, write(tmp_path, "a.json", json.dumps(odd))).orderBy("src_row").collect()
+    assert [r.process_id for r in got] == [x["process_id"] for x in odd]
+    assert got[0].cmd_line == "}}}" and got[0].args == '[{"x":[{}]},"]"]'
+
+
+def test_records_across_splits_keep_their_order(spark, tmp_path):
+    path = write(tmp_path, "a.json", json.dumps([{"process_id": str(i), "cmdLine": "é" * (i % 40)} for i in range(3000)]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = json_logs.read_json_files(spark, path, rows_per_batch=100).orderBy("src_row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [json.loads(r.record)["process_id"] for r in rows] == [str(i) for i in range(3000)]
+    assert [r.src_row for r in rows] == list(range(3000))
 
 
-def test_records_come_in_batches(spark, tmp_path):
-    path = write(tmp_path, "a.json", json.dumps([{"process_id": i} for i in range(25)]))
-    files = spark.read.format("binaryFile").load(path)
-    rows = json_logs.decode_files(files, json_logs.decode_log_file, rows_per_batch=10).orderBy("src_row").collect()
-    assert [r.src_row for r in rows] == list(range(25))
+def test_compressed_files_of_any_layout(spark, tmp_path):
+    assert shown(load_logs(spark, write(tmp_path, "a.json.gz", gzip.compress(json.dumps(LOGS).encode())))) == EXPECTED
 
 
 @pytest.mark.parametrize("layout", ["lines", "files"])
@@ -253,4 +296,6 @@ def test_bytes_to_text(spark):
     from tracehold.functions.text import bytes_to_text
     frame = spark.createDataFrame([(bytearray(b"abc"),), (bytearray(b"\xff\x01"),)], "b binary")
     assert [r[0] for r in frame.select(bytes_to_text(F.col("b"))).collect()] == ["abc", "ff01"]
-    assert archives.readable(b"abc") == "abc" and archives.readable(b"\xff\x01") == "ff01"
+    marked = [(json.dumps({"v": v}, default=archives._marked, separators=(",", ":")),) for v in (b"abc", b"\xff\x01", "x")]
+    values = spark.createDataFrame(marked, "j string").select(F.get_json_object("j", "$.v").alias("v"))
+    assert [r[0] for r in values.select(archives.text_of_binary(F.col("v"))).collect()] == ["abc", "ff01", "x"]

@@ -122,3 +122,6 @@ COMPARED_MODELS = (
     "codestral",
     "qwen3:32b",
 )
+
+# Key under which a decoder hands a binary value over in JSON.
+BINARY_MARK = "base64"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,7 +28,7 @@ def extract_archives(
     spark: SparkSession,
     path,
     out: str,
-    decode: Callable[[bytes], Iterator[str]] = archives.decode_avro_gzip,
+    decode: Callable[[BinaryIO], Iterator[str]] = archives.decode_avro_gzip,
 ) -> tuple[DataFrame, DataFrame]:
     """Event archives to JSON-lines logs, one folder per split.
 

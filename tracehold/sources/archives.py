@@ -6,14 +6,16 @@ it, the rows are plain columns from there on.
 
 from __future__ import annotations
 
+import base64
 import gzip
-import io
 import json
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tracehold.functions import fixed_values as fv
+from tracehold.functions.text import bytes_to_text
 from tracehold.sources.json_logs import decode_files, parse_json, read_json_lines
 
 _TEXT = T.StringType()
@@ -29,28 +31,33 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def readable(value: object) -> str:
-    """Bytes as UTF-8 text where valid, as hex otherwise; other values as text."""
+def _marked(value: object) -> object:
+    """What JSON has no form for: binary values go as base64 under a mark, others as text."""
     if isinstance(value, bytes):
-        try:
-            return value.decode("utf-8")
-        except UnicodeDecodeError:
-            return value.hex()
+        return {fv.BINARY_MARK: base64.b64encode(value).decode("ascii")}
     return str(value)
 
 
-def decode_avro_gzip(content: bytes) -> Iterator[str]:
+def text_of_binary(column: Column) -> Column:
+    """The column, with a marked binary value as text (or hex where it is not valid UTF-8)."""
+    mark = f'{{"{fv.BINARY_MARK}":"'
+    return F.when(
+        column.startswith(mark), bytes_to_text(F.unbase64(F.get_json_object(column, f"$.{fv.BINARY_MARK}")))
+    ).otherwise(column)
+
+
+def decode_avro_gzip(stream: BinaryIO) -> Iterator[str]:
     """JSON text of each record of a gzip-wrapped Avro container (needs ``fastavro``)."""
     import fastavro
 
-    with gzip.open(io.BytesIO(content)) as plain:
+    with gzip.open(stream) as plain:
         for record in fastavro.reader(plain):
-            yield json.dumps(record, default=readable)
+            yield json.dumps(record, default=_marked, separators=(",", ":"))
 
 
-def decode_json_gzip(content: bytes) -> Iterator[str]:
+def decode_json_gzip(stream: BinaryIO) -> Iterator[str]:
     """JSON text of each line of a gzip-wrapped JSON-lines export."""
-    with gzip.open(io.BytesIO(content)) as plain:
+    with gzip.open(stream) as plain:
         for line in plain:
             if line.strip():
                 yield json.dumps(json.loads(line))
@@ -76,7 +83,7 @@ def split_of(
 def read_archives(
     spark: SparkSession,
     path,
-    decode: Callable[[bytes], Iterator[str]] = decode_avro_gzip,
+    decode: Callable[[BinaryIO], Iterator[str]] = decode_avro_gzip,
     pattern: str = "*.gz",
 ) -> DataFrame:
     """Decoded records (JSON text) of all archives, with an ``error`` row per bad file."""
@@ -123,11 +130,11 @@ def flatten_events(events: DataFrame) -> DataFrame:
         *[c for c in events.columns if c not in flat],
         F.coalesce("datum.timestampNanos", F.lit(0)).alias("timestamp_ns"),
         F.col("datum.type").alias("event_type"),
-        F.coalesce("datum.threadId", F.lit(fv.UNKNOWN_PROCESS)).alias("thread_id"),
-        value["cmdLine"].alias("cmd_line"),
-        F.col("datum.predicateObjectPath").alias("file_path"),
-        value["remoteAddress"].alias("remote_ip"),
-        value["remotePort"].alias("remote_port"),
+        F.coalesce(text_of_binary(F.col("datum.threadId")), F.lit(fv.UNKNOWN_PROCESS)).alias("thread_id"),
+        text_of_binary(value["cmdLine"]).alias("cmd_line"),
+        text_of_binary(F.col("datum.predicateObjectPath")).alias("file_path"),
+        text_of_binary(value["remoteAddress"]).alias("remote_ip"),
+        text_of_binary(value["remotePort"]).alias("remote_port"),
     )
 
 

@@ -2,24 +2,27 @@
 
 Three readers, by what the files look like:
 
-* ``read_json_lines``   one object per line; splittable, any file size.
+* ``read_json_lines``   one object per line (also as lines of an array); splittable.
 * ``read_json_objects`` pretty-printed objects, back to back or in an indented
-  array; splittable at the closing brace's line, any file size.
-* ``read_json_files``   anything else (compact arrays, objects on one line,
-  Python literals, broken tails); decoded file by file, one task per file.
+  array; splittable at the closing brace's line.
+* ``read_json_files``   any layout (arrays, objects on one line, Python literals,
+  broken tails); one task per file, which holds one object at a time.
 
-Each returns text records with their input position (``src_file``,
-``src_block``, ``src_row``); ``parse_json`` turns the text into columns. Input
-position is what "last one wins" and "first N logs" order by.
+None limits the size of a file. Each returns text records with their input
+position (``src_file``, ``src_block``, ``src_row``); ``parse_json`` turns the text
+into columns. Input position is what "last one wins" and "first N logs" order by.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tracehold.functions.text import once
@@ -39,7 +42,9 @@ RAW_LOG_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in R
 DECODED = (
     "src_file string, src_block long, src_row long, record string, error string"
 )
-MAX_WHOLE_FILE_BYTES = 1 << 30
+#: Not blank, and not only the marks that an array has between its objects.
+_MORE_THAN_MARKS = r"[^\s,\[\]]"
+_COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
 
 def _text_records(texts: DataFrame, row: Column) -> DataFrame:
@@ -54,14 +59,14 @@ def _text_records(texts: DataFrame, row: Column) -> DataFrame:
 def read_json_lines(spark: SparkSession, path) -> DataFrame:
     """One record per non-blank line."""
     texts = spark.read.text(path)
-    return _text_records(texts, F.monotonically_increasing_id()).filter(F.trim("record") != "")
+    return _text_records(texts, F.monotonically_increasing_id()).filter(F.col("record").rlike(_MORE_THAN_MARKS))
 
 
 def stream_json_lines(spark: SparkSession, path, **options) -> DataFrame:
     """The streaming form of ``read_json_lines``. Row numbers exist per batch only,
     so ``src_row`` is 0 here and set where a batch needs it."""
     texts = spark.readStream.options(**options).text(path)
-    return _text_records(texts, F.lit(0).cast("long")).filter(F.trim("record") != "")
+    return _text_records(texts, F.lit(0).cast("long")).filter(F.col("record").rlike(_MORE_THAN_MARKS))
 
 
 def read_json_objects(spark: SparkSession, path, object_end: str = "\n}") -> DataFrame:
@@ -69,99 +74,172 @@ def read_json_objects(spark: SparkSession, path, object_end: str = "\n}") -> Dat
 
     Raw line breaks cannot occur inside JSON strings, so a line that starts with
     the closing brace at the objects' own indent can only end an object. For an
-    indented array pass the indented brace, e.g. ``"\\n  }"``.
+    indented array pass the indented brace, e.g. ``"\\n  }"``. What stands after a
+    file's last closing brace is a record as it is (and will be rejected).
     """
-    body = F.regexp_replace("record", r"^[\s,\[\]]+", "")
     texts = spark.read.text(path, lineSep=object_end)
+    pieces = _text_records(texts, F.monotonically_increasing_id())
+    # a file whose pieces, each with an end, are longer than the file lacks the last end
+    size = F.octet_length("value") + len(object_end.encode())
+    files = texts.select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_size").alias("_size"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"), size.alias("_bytes"),
+    ).groupBy("src_file", "_size").agg(F.sum("_bytes").alias("_bytes"), F.max("_at").alias("_at"))
+    whole = F.lower("src_file").rlike("(" + "|".join(re.escape(x) for x in _COMPRESSED) + ")$")
+    open_ends = files.where((F.col("_bytes") > F.col("_size")) & ~whole).select(
+        "src_file", F.col("_at")["file_block_start"].alias("src_block"), F.col("_at")["col2"].alias("src_row"), F.lit("").alias("_end"))
     return (
-        _text_records(texts, F.monotonically_increasing_id())
-        .withColumn("record", body)
-        .filter(F.col("record") != "")
-        .withColumn("record", F.concat("record", F.lit(object_end)))
+        pieces.join(open_ends, list(INPUT_ORDER), "left")
+        .withColumn("record", F.regexp_replace("record", r"^[\s,\[\]]+", ""))
+        .filter((F.col("record") != "") & ~F.col("record").rlike(r"^\s+$"))
+        .select(*INPUT_ORDER, F.concat("record", F.coalesce("_end", F.lit(object_end))).alias("record"))
     )
 
 
-def log_values(text: str) -> Iterator[object]:
-    """All JSON values in a text, arrays opened; raises ValueError at bad input."""
-    decoder = json.JSONDecoder()
-    at, end = 0, len(text)
-    while True:
-        while at < end and text[at].isspace():
-            at += 1
-        if at == end:
-            return
-        value, at = decoder.raw_decode(text, at)
-        yield from value if isinstance(value, list) else (value,)
+class ObjectCutter:
+    """Cuts log objects out of a text that comes in pieces, and gives them as JSON.
 
+    Objects are JSON or Python literals; between them white space, commas, brackets and
+    plain values may stand. Only an object that is not closed yet is held.
+    """
 
-def decode_log_file(content: bytes) -> Iterator[str]:
-    """JSON text of each log object in a file: JSON values, else a Python literal.
-
-    Objects before a syntax error are yielded before the error is raised.
+    _MARKS = re.compile(r"\\.|[\"'{}\[\]]", re.DOTALL)
+    _BETWEEN = re.compile(
+        r"(?:[\s,\[\]\ufeff]|[-+]?[0-9][0-9.eE+-]*|true|false|null|True|False|None"
+        r"|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')*", re.DOTALL)
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+        self.depth, self.quote = 0, ""
+
+    def feed(self, text: str) -> Iterator[str]:
+        """The objects that end in this piece; ValueError at anything that is no log object."""
+        at = 0  # what stands before is done with, or belongs to the open object
+        for mark in self._MARKS.finditer(text):
+            sign = mark.group()
+            if self.quote:
+                if sign == self.quote:
+                    self.quote = ""
+            elif sign in ("\"", "'"):
+                self.quote = sign
+            elif sign == "{" or (sign == "[" and self.depth):
+                if not self.depth:
+                    self._between(text[at:mark.start()])
+                    at = mark.start()
+                self.depth += 1
+            elif sign in ("}", "]") and self.depth:
+                self.depth -= 1
+                if not self.depth:
+                    yield self._as_json("".join([*self.held, text[at:mark.end()]]))
+                    self.held, at = [], mark.end()
+        self.held.append(text[at:])
+
+    def _between(self, text: str) -> None:
+        text = "".join([*self.held, text])
+        self.held = []
+        if not self._BETWEEN.fullmatch(text):
+            raise ValueError(f"no log object: {text.strip()[:60]!r}")
+
+    @staticmethod
+    def _as_json(text: str) -> str:
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False)
+        except ValueError:
+            return json.dumps(ast.literal_eval(text), ensure_ascii=False, default=str)
+
+    def close(self) -> None:
+        if self.depth:
+            raise ValueError("the file ends inside an object")
+        self._between("")
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"src_file": pa.string(), "src_block": pa.int64(), "src_row": pa.int64(), "record": pa.string(), "error": pa.string()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types.values(), strict=True)], list(types))
+
+
+def read_json_files(spark: SparkSession, path, pattern: str = "*", rows_per_batch: int = 2000) -> DataFrame:
+    """Records of files in any layout, with an ``error`` row for a file that is bad from some place on.
+
+    Files are cut at closing braces by the text reader, so nothing longer than an object is held;
+    the pieces of a file meet in one task, in order. The end of an uncompressed file is told
+    exactly; a compressed one that lacks nothing but its last brace counts as whole.
     """
-    text = content.decode("utf-8", errors="replace")
-    started = False
-    try:
-        for value in log_values(text):
-            started = True
-            if isinstance(value, dict):
-                yield json.dumps(value, ensure_ascii=False)
-    except ValueError:
-        if started:
-            raise
-        for value in ast.literal_eval(text.strip()):
-            if isinstance(value, dict):
-                yield json.dumps(value, ensure_ascii=False, default=str)
-
-
-def decode_files(
-    files: DataFrame,
-    decode: Callable[[bytes], Iterator[str]],
-    max_bytes: int = MAX_WHOLE_FILE_BYTES,
-    rows_per_batch: int = 5000,
-) -> DataFrame:
-    """Run a whole-file decoder over ``binaryFile`` rows, one task per file.
-
-    Yields one row per record, and one row with ``error`` set for a file that
-    fails or is too large, so that a bad file never fails the job. Records are
-    handed over in batches; a file's records are never all held at once.
+    texts = spark.read.option("pathGlobFilter", pattern).text(path, lineSep="}")
+    pieces = texts.select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
+        F.monotonically_increasing_id().alias("src_row"), F.col("value").cast("binary").alias("piece"),
+        F.col("_metadata.file_size").alias("size"))
+    pieces = pieces.repartition("src_file").sortWithinPartitions(*INPUT_ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, cutter, count, seen, rows, whole = None, None, 0, 0, [], True
+
+        def ended() -> list[tuple]:
+            """What is left of a file, with the brace after its last piece if it has one."""
+            out = []
+            try:
+                if cutter is not None:
+                    if whole and (cutter.depth or not name.lower().endswith(_COMPRESSED)):
+                        out = [(name, 0, count, record, None) for record in cutter.feed("}")]
+                    cutter.close()
+            except (ValueError, SyntaxError) as problem:
+                out.append((name, 0, count + len(out), None, f"{type(problem).__name__}: {problem}"))
+            return out
+
+        for batch in batches:
+            for file, _, _, piece, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name:
+                    rows += ended()
+                    name, cutter, count, seen = file, ObjectCutter(), 0, 0
+                text = ("}" if seen else "") + piece.decode("utf-8", errors="replace")
+                seen += len(piece) + 1
+                whole = seen <= size or file.lower().endswith(_COMPRESSED)
+                if cutter is not None:
+                    try:
+                        for record in cutter.feed(text):
+                            rows.append((name, 0, count, record, None))
+                            count += 1
+                    except (ValueError, SyntaxError, MemoryError, RecursionError) as problem:
+                        rows.append((name, 0, count, None, f"{type(problem).__name__}: {problem}"))
+                        cutter = None  # the rest of the file is not read
+                if len(rows) >= rows_per_batch:
+                    yield _as_batch(rows)
+                    rows = []
+        yield _as_batch(rows + ended())
+
+    return pieces.mapInArrow(run, DECODED)
+
+
+def decode_files(files: DataFrame, decode: Callable[[BinaryIO], Iterator[str]], rows_per_batch: int = 5000) -> DataFrame:
+    """Run a decoder over the files of a ``binaryFile`` frame, one task per file.
+
+    The decoder gets an open stream and yields records; neither the file nor its records are
+    held. Files are opened by path on the executors. Yields one row per record, and one row with
+    ``error`` set for a file that fails, so that a bad file never fails the job.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(path, first, records, error=None):
-            rows = [(path, 0, first + i, r, None) for i, r in enumerate(records)]
-            if error is not None:
-                rows.append((path, 0, first + len(records), None, error))
-            return pd.DataFrame(
-                rows, columns=["src_file", "src_block", "src_row", "record", "error"]
-            )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
 
         for batch in batches:
-            for path, length, content in zip(batch["path"], batch["length"], batch["content"]):
-                done, held, error = 0, [], None
+            for path in batch.column(0).to_pylist():
+                count, rows = 0, []
                 try:
-                    if content is None:
-                        raise ValueError(f"{length} bytes: too large to decode whole")
-                    for record in decode(content):
-                        held.append(record)
-                        if len(held) == rows_per_batch:
-                            yield frame(path, done, held)
-                            done, held = done + len(held), []
+                    system, inside = FileSystem.from_uri(path)
+                    with system.open_input_stream(inside, compression=None) as stream:
+                        for record in decode(stream):
+                            rows.append((path, 0, count, record, None))
+                            count += 1
+                            if len(rows) == rows_per_batch:
+                                yield _as_batch(rows)
+                                rows = []
                 except Exception as problem:  # noqa: BLE001 - reported as a row
-                    error = f"{type(problem).__name__}: {problem}"
-                if held or error is not None:
-                    yield frame(path, done, held, error)
-
-    bounded = files.select(
-        "path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content")
-    )
-    return bounded.mapInPandas(run, DECODED)
+                    rows.append((path, 0, count, None, f"{type(problem).__name__}: {problem}"))
+                yield _as_batch(rows)
 
-
-def read_json_files(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """Records of files in any layout, with an ``error`` row per bad file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return decode_files(files, decode_log_file)
+    return files.select(F.replace("path", F.lit("file:/"), F.lit("file:///")).alias("path")).mapInArrow(run, DECODED)
 
 
 def file_errors(decoded: DataFrame) -> DataFrame:
@@ -183,13 +261,15 @@ def good_records(decoded: DataFrame, whole_files_only: bool = False) -> DataFram
 def parse_json(records: DataFrame, schema: T.StructType = RAW_LOG_SCHEMA) -> DataFrame:
     """Input position, the schema's columns, and ``rejected`` (text that is no object)."""
     # Parsed as an array of one, so that text after the object makes it invalid; the
-    # parser alone would stop at the object's end and drop the rest unseen.
+    # parser alone would stop at the object's end and drop the rest unseen. Around it
+    # stand what parts the objects of an array.
+    body = F.regexp_replace("record", r"^[\s,\[]+|[\s,\]]+$", "")
     values = F.from_json(
-        F.concat(F.lit("["), "record", F.lit("]")),
+        F.concat(F.lit("["), body, F.lit("]")),
         T.ArrayType(schema),
         {"allowSingleQuotes": "false"},
     )
-    is_object = F.ltrim("record").startswith("{")
+    is_object = F.col("record").rlike(r"^[\s,\[]*\{")
     return records.select(
         *INPUT_ORDER, "record", once(F.when(is_object, values)).alias("_values")
     ).select(
@@ -214,10 +294,22 @@ def rejects(parsed: DataFrame) -> DataFrame:
 _READERS = {"lines": read_json_lines, "objects": read_json_objects}
 
 
-def read_logs(spark: SparkSession, path, layout: str = "files") -> DataFrame:
-    """Raw log columns of one path or several, in the named layout."""
+def whole_or_fail(decoded: DataFrame) -> DataFrame:
+    """The records; the job fails at a file that was not read whole."""
+    problem = F.raise_error(F.concat("src_file", F.lit(" was not read whole: "), "error"))
+    return decoded.filter(F.when(F.col("error").isNotNull(), problem.cast("boolean")).otherwise(F.lit(True))).drop("error")
+
+
+def read_logs(spark: SparkSession, path, layout: str = "files", partial: bool = False) -> DataFrame:
+    """Raw log columns of one path or several, in the named layout.
+
+    Layout ``files`` takes any. A file that cannot be read whole fails the job unless ``partial``
+    allows its good part alone; ``file_errors`` of ``read_json_files`` names such files. Lines and
+    objects that are no log are left out; ``rejects`` of ``parse_json`` shows them.
+    """
     if layout in _READERS:
         return accepted(parse_json(_READERS[layout](spark, path)))
     if layout != "files":
         raise ValueError(f"layout is one of {sorted(_READERS)} or 'files', not {layout!r}")
-    return accepted(parse_json(good_records(read_json_files(spark, path))))
+    decoded = read_json_files(spark, path)
+    return accepted(parse_json(good_records(decoded) if partial else whole_or_fail(decoded)))

@@ -113,6 +113,10 @@ def test_fit_lowers_loss_and_separates(spark, tmp_path):
     assert all(np.allclose(stored[k], weights[k]) for k in weights)
     assert {k: v.shape for k, v in stored.items()} == graph_store.weight_shapes()
     assert sum(v.size for v in stored.values()) == 1072
+    wide = {k: np.arange(float(np.prod(s))).reshape(s) for k, s in graph_store.weight_shapes(16, 64).items()}
+    graph_store.write_weights(spark, wide, path)
+    again = graph_store.read_weights(spark, path)
+    assert all(again[k].shape == v.shape and (again[k] == v).all() for k, v in wide.items())
 
 
 @pytest.mark.parametrize("n_nodes,n_samples", [(50, 40), (200, 300), (5, 6), (60, 1200)])
@@ -128,6 +132,17 @@ def test_negative_edges(spark, n_nodes, n_samples):
     assert again == set(got) and (other != set(got) or n_nodes == 5)
 
 
+@pytest.mark.parametrize("n_edges,n_samples,expected", [(190, 190, 190), (340, 30, 30), (380, 5, 0), (340, 100, 40), (0, 1000, 380)])
+def test_negative_edges_of_dense_graphs(spark, n_edges, n_samples, expected):
+    pairs = [(a, b) for a in range(20) for b in range(20) if a != b]
+    random = np.random.default_rng(3)
+    edges = {pairs[i] for i in random.permutation(len(pairs))[:n_edges]}
+    frame = spark.createDataFrame(sorted(edges) + [(1, 1)], "src long, dst long")
+    got = [tuple(r) for r in gcn.negative_edges(frame, 20, n_samples).collect()]
+    assert len(got) == len(set(got)) == expected
+    assert set(got) <= set(pairs) - edges
+
+
 @pytest.mark.parametrize("n", [0, 1, 17, 99, 500, 501])
 def test_smallest_cut(spark, n):
     values = sorted(np.random.default_rng(4).choice(100000, 500, replace=False).tolist())

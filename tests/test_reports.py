@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracehold.operators import evaluate, prompts, reports
 from tracehold.plans import jobs
-from tracehold.plans.queries import echo_model, rule_analyst
+from tracehold.plans.queries import digest_model, rule_analyst
 from tracehold.session import new_folder
 from tracehold.sinks.logs import write_matrix
 from tracehold.functions import fixed_values as fv
@@ -78,13 +78,12 @@ def test_balanced_sample(spark):
 
 
 @pytest.mark.parametrize("n", [1, 40, 990, 1500])
-def test_large_sample_takes_the_same_rows(spark, monkeypatch, n):
+def test_samples_take_the_smallest_keys(spark, n):
     logs = spark.range(3000).select(F.col("id").alias("pos"), (F.col("id") % 3 == 0).cast("int").alias("is_evil"))
-    ids = lambda: sorted(r.pos for r in evaluate.balanced_sample(logs, ["pos"], n=n, seed=5).collect())
-    monkeypatch.setattr(evaluate, "SMALL_SAMPLE", 10**6)
-    ranked = ids()
-    monkeypatch.setattr(evaluate, "SMALL_SAMPLE", 0)
-    assert ids() == ranked and len(ranked) == min(n, 1000) + min(n, 2000)
+    got = sorted(r.pos for r in evaluate.balanced_sample(logs, ["pos"], n=n, seed=5).collect())
+    keys = {r.pos: r.k for r in logs.select("pos", evaluate.sample_key(5, F.col("pos")).alias("k")).collect()}
+    classes = [sorted((p for p in keys if (p % 3 == 0) == evil), key=lambda p: (keys[p], p)) for evil in (True, False)]
+    assert got == sorted(p for c in classes for p in c[:n])
 
 
 def test_timed():
@@ -111,7 +110,7 @@ def test_prompt_fields_are_data_not_templates(spark):
     frame = spark.createDataFrame([("{context}", "x {pid}")], "pid string, context string")
     chat = frame.select(prompts.messages(prompts.ANALYSIS, pid=F.col("pid"), context=F.col("context"))).first()[0]
     assert [m.role for m in chat] == ["system", "user"]
-    assert chat[1].content == "Process {context}\nChain:\nx {pid}\n\nYour analysis:"
+    assert chat[1].content == '<provenance process="{context}">\nx {pid}\n</provenance>\nWhat happened, and by which technique?'
 
 
 def failing_client():
@@ -154,7 +153,7 @@ def test_report_asks_once_per_process(spark):
     logs = logs_of(spark, ROWS * 3)
     nodes, edges = jobs.build_graph(logs, new_folder(spark, "graph"), ["pos"])
     scored = logs.withColumn("score", F.when(F.col("process_id") == "4", 0.1).otherwise(0.9))
-    done = jobs.triage(scored, nodes, edges, echo_model).collect()
+    done = jobs.triage(scored, nodes, edges, digest_model).collect()
     assert len(done) == 3 * 7 and all(r.report for r in done)
     assert len({(r.process_id, r.report) for r in done}) == len({r.process_id for r in done})
 

@@ -195,6 +195,16 @@ def test_labelled_csv_missing_columns_take_defaults(spark, tmp_path):
     assert (row.timestamp, row.event_type, row.process_id, row.is_suspicious, row.is_evil) == (0.0, "UNKNOWN", "5", 0, 1)
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "timestamp,processId,sus,evil\n1,5,1,0\n")
+    write(tmp_path, "b.csv", "evil,sus,processId,timestamp\n0,1,6,2\n")
+    write(tmp_path, "c.csv", "processId,evil,eventName\n7,1,open\n")
+    path = write(tmp_path, "d.csv", "timestamp,processId,sus,evil\n4,8,0,1\n")
+    rows = labelled_csv.labelled_to_logs(labelled_csv.read_labelled_csv(spark, path)).orderBy("process_id").collect()
+    assert [(r.timestamp, r.process_id, r.event_type, r.is_suspicious, r.is_evil) for r in rows] == [
+        (1.0, "5", "UNKNOWN", 1, 0), (2.0, "6", "UNKNOWN", 1, 0), (0.0, "7", "open", 0, 1), (4.0, "8", "UNKNOWN", 0, 1)]
+
+
 def test_labelled_splits_written_as_json_lines(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tracehold.operators import graph, scoring, training
 from tracehold.plans import jobs
-from tracehold.plans.queries import echo_model
+from tracehold.plans.queries import digest_model
 from tracehold.streaming import jobs as streaming
 
 
@@ -92,7 +92,7 @@ def test_stream_triage(spark, tmp_path):
     out = str(tmp_path / "reports")
     run(streaming.triage_stream(
         with_scores(streaming.stream_logs(spark, path, maxFilesPerTrigger=1)),
-        lambda: nodes, lambda: edges, echo_model, out, str(tmp_path / "c")))
-    expected = jobs.triage(with_scores(logs), nodes, edges, echo_model)
+        lambda: nodes, lambda: edges, digest_model, out, str(tmp_path / "c")))
+    expected = jobs.triage(with_scores(logs), nodes, edges, digest_model)
     key = lambda f: sorted((r.timestamp, r.process_id, r.report) for r in f.collect())
     assert key(spark.read.parquet(out)) == key(expected) and expected.count() == 8

@@ -13,7 +13,6 @@ from tracehold.functions.hashing import sample_key
 from tracehold.functions.numeric import ratio
 
 Result = TypeVar("Result")
-SMALL_SAMPLE = 1000  # up to here Spark cuts ranked filters map-side
 
 
 def label_name(label: Column) -> Column:
@@ -89,33 +88,28 @@ def balanced_sample(
 ) -> DataFrame:
     """min(n, class size) rows per class without replacement, by hashed key.
 
-    A small sample is a ranked filter that keeps n rows per class and map task
-    before the shuffle. Spark does so for small n only, so a large sample first
-    counts rows per class and hash range: the lowest ranges are taken whole, and
-    only the range the n-th row falls into is ranked. Either way no class ever
-    meets in one task as a whole, and the same rows come out.
+    Rows are counted per class and hash range; ranges below the one that the n-th row
+    falls into are taken whole, and only that one is ranked. No class ever meets in one
+    task, and the logs are read twice: for the counts, and for the rows.
     """
     columns = [F.col(c) for c in key]
     hashed = logs.withColumn("_class", F.when(F.col(label) == 1, 1).otherwise(0)).withColumn(
         "_key", sample_key(seed, *columns)
     )
-    place = Window.partitionBy("_class").orderBy("_key", *columns)
-    if n <= SMALL_SAMPLE:
-        ranked = hashed.withColumn("_rank", F.row_number().over(place))
-        return ranked.filter(F.col("_rank") <= n).drop("_class", "_key", "_rank")
     ranges = hashed.withColumn("_range", F.substring("_key", 1, 4))  # 65,536 at most
     before = Window.partitionBy("_class").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    wanted = (
-        ranges.groupBy("_class", "_range").agg(F.count("*").alias("_n"))
-        .withColumn("_left", n - F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_left") > 0)
+    counts = ranges.groupBy("_class", "_range").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
     )
-    near = ranges.join(F.broadcast(wanted), ["_class", "_range"])
-    whole = near.filter(F.col("_n") <= F.col("_left")).select(*logs.columns)
-    cut = near.filter(F.col("_n") > F.col("_left")).withColumn("_rank", F.row_number().over(place))
-    return whole.unionByName(cut.filter(F.col("_rank") <= F.col("_left")).select(*logs.columns))
+    last = counts.filter(F.col("_before") < n).groupBy("_class").agg(
+        F.max(F.struct("_range", "_before")).alias("_last")
+    )
+    near = ranges.join(F.broadcast(last), "_class").filter(F.col("_range") <= F.col("_last._range"))
+    place = F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_key", *columns))
+    taken = (F.col("_range") < F.col("_last._range")) | (F.col("_rank") <= n - F.col("_last._before"))
+    return near.withColumn("_rank", place).filter(taken).select(*logs.columns)
 
 
 def shuffled(sample: DataFrame, key: Sequence[str], seed: int = 1) -> DataFrame:

@@ -127,30 +127,71 @@ def mean_bce(scored: DataFrame) -> DataFrame:
     ).withColumn("loss", F.col("edge_loss") + F.col("non_edge_loss"))
 
 
-def drawn_pairs(edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0") -> DataFrame:
+def free_pairs(edges: DataFrame, n_nodes: int) -> int:
+    """Number of ordered pairs of different nodes that are no edge."""
+    return n_nodes * (n_nodes - 1) - loopless(edges).select("src", "dst").distinct().count()
+
+
+def _without_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    return pairs.filter(F.col("src") != F.col("dst")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def drawn_pairs(edges: DataFrame, n_nodes: int, slots: int, label: str = "0") -> DataFrame:
     """(slot, src, dst): distinct random pairs that are no edge and no self-pair.
 
     Pairs are hashes of a label and a slot number, so a retried task draws the
-    same pairs. As many slots are drawn as are expected to reach a tenth more than
-    the wanted pairs among all ordered pairs, repeats included. Assumes about as
-    many edges as samples.
+    same pairs; a pair drawn repeatedly has its lowest slot.
     """
-    free = n_nodes * (n_nodes - 1) - n_samples
-    share = min(0.95, 1.1 * n_samples / max(free, 1))
-    slots = int(-n_nodes * n_nodes * math.log(1.0 - share)) + 64
     n = F.lit(n_nodes)
-    return (
-        edges.sparkSession.range(slots)
-        .select(
-            F.col("id").alias("slot"),
-            draw(f"{label}:src", F.col("id"), n).alias("src"),
-            draw(f"{label}:dst", F.col("id"), n).alias("dst"),
-        )
-        .filter(F.col("src") != F.col("dst"))
-        .groupBy("src", "dst")
-        .agg(F.min("slot").alias("slot"))
-        .join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    drawn = edges.sparkSession.range(slots).select(
+        F.col("id").alias("slot"),
+        draw(f"{label}:src", F.col("id"), n).alias("src"),
+        draw(f"{label}:dst", F.col("id"), n).alias("dst"),
     )
+    return _without_edges(drawn.groupBy("src", "dst").agg(F.min("slot").alias("slot")), edges)
+
+
+def all_pairs(edges: DataFrame, n_nodes: int, label: str = "0") -> DataFrame:
+    """(slot, src, dst): every pair that is no edge and no self-pair, in an order set by the label.
+
+    Slots are a shifted multiple of the pair's number modulo their count, which
+    gives each pair a slot of its own.
+    """
+    total = n_nodes * n_nodes
+    step = next(k for k in range(int(0.618 * total) | 1, 2 * total + 3) if math.gcd(k, total) == 1)
+    shift = F.pmod(F.xxhash64(F.lit(label)), F.lit(total))
+    number = F.col("id").cast("decimal(38,0)")
+    pairs = edges.sparkSession.range(total).select(
+        ((number * step + shift) % total).cast("long").alias("slot"),
+        F.floor(F.col("id") / n_nodes).alias("src"), (F.col("id") % n_nodes).alias("dst"),
+    )
+    return _without_edges(pairs, edges)
+
+
+def enough_pairs(
+    edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0", free: int | None = None
+) -> tuple[DataFrame, int]:
+    """Stored (slot, src, dst) rows that hold at least min(``n_samples``, free pairs) pairs, and that number.
+
+    As many slots are drawn as are expected to reach a tenth more than wanted, and twice as many
+    where they did not. Where that is more than half of all pairs, all pairs are listed instead:
+    then the edges and the wanted pairs together are of that order as well. ``free`` is
+    ``free_pairs``, counted here if not given.
+    """
+    free = free_pairs(edges, n_nodes) if free is None else free
+    wanted = min(n_samples, free)
+    if wanted <= 0:
+        return materialize(drawn_pairs(edges, max(n_nodes, 1), 0, label), "drawn-pairs"), 0
+    total = n_nodes * n_nodes
+    share = wanted / free
+    if 1.1 * share < 0.5:
+        slots = int(-total * math.log1p(-1.1 * share)) + 64
+        while slots < 2 * total:
+            drawn = materialize(drawn_pairs(edges, n_nodes, slots, label), "drawn-pairs")
+            if drawn.count() >= wanted:
+                return drawn, wanted
+            slots *= 2
+    return materialize(all_pairs(edges, n_nodes, label), "all-pairs"), wanted
 
 
 def smallest_cut(frame: DataFrame, column: str, n: int, buckets: int = 1024) -> tuple[int, int]:
@@ -184,11 +225,10 @@ def smallest_cut(frame: DataFrame, column: str, n: int, buckets: int = 1024) ->
 
 
 def negative_edges(edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0") -> DataFrame:
-    """(src, dst): ``n_samples`` distinct random pairs that are no edge and no self-pair.
+    """(src, dst): distinct random pairs that are no edge and no self-pair.
 
-    Keeps the lowest slots of ``drawn_pairs``. Fewer rows come back only where
-    the draws hold fewer pairs, as on very small or nearly complete graphs.
+    Exactly ``n_samples`` of them, or all there are: the lowest slots of ``enough_pairs``.
     """
-    drawn = materialize(drawn_pairs(edges, n_nodes, n_samples, label), "drawn-pairs")
-    cut, _ = smallest_cut(drawn, "slot", n_samples)
-    return drawn.filter(F.col("slot") < cut).select("src", "dst")
+    pairs, wanted = enough_pairs(edges, n_nodes, n_samples, label)
+    cut, _ = smallest_cut(pairs, "slot", wanted)
+    return pairs.filter(F.col("slot") < cut).select("src", "dst")

@@ -29,29 +29,29 @@ VERDICT = Template(
     "You review Linux security events. Judge each event by its whole execution chain: an "
     "ordinary tool started by an odd parent, or one that reaches an outside address, points "
     "to an attack. Use MITRE ATT&CK names.",
-    "Event:\n{log}\n\nProvenance:\n{context}\n\n"
-    "Say whether the event is Benign or Malicious. If malicious, name the ATT&CK tactic and "
-    "technique. Explain the activity in two sentences.",
+    "<event>\n{log}\n</event>\n<provenance>\n{context}\n</provenance>\n"
+    "Begin with Benign or Malicious. For the latter add tactic and technique. Then describe the "
+    "activity in two sentences.",
 )
 ANALYSIS = Template(
     "You are a terse security analyst. Answer in two sentences: first the root cause, then "
     "the MITRE ATT&CK tactic and technique.",
-    "Process {pid}\nChain:\n{context}\n\nYour analysis:",
+    '<provenance process="{pid}">\n{context}\n</provenance>\nWhat happened, and by which technique?',
 )
 STRATEGY = Template(
     "You lead incident response. Answer with three bullet points of at most ten words, each an "
     "immediate containment step.",
-    "Findings:\n{analysis}\n\nYour three steps:",
+    "<analysis>\n{analysis}\n</analysis>\nWhich three steps contain this?",
 )
 COMMANDS = Template(
     "You are a Linux engineer. Answer with at most three plain Bash commands and nothing else.",
-    "Process to contain: {pid}\nSteps:\n{strategy}\n\nYour commands:",
+    '<steps process="{pid}">\n{strategy}\n</steps>\nWhich commands carry them out?',
 )
 AUDIT = Template(
     "You audit incident-response commands. Remove anything that deletes the root file system, "
     "wipes databases or stops the server. Signals may go to the named process only. Answer with "
     "the final Bash commands and nothing else; repeat safe commands unchanged.",
-    "Findings:\n{analysis}\n\nProposed commands:\n{commands}\n\nFinal commands:",
+    "<analysis>\n{analysis}\n</analysis>\n<commands>\n{commands}\n</commands>\nWhich of them may run?",
 )
 
 

@@ -258,15 +258,12 @@ def fit(
     graph = prepare(index, edges)
     weights = initial_weights(seed, graph.inputs, hidden) if weights is None else weights
     adam, losses = Adam(rate=rate), []
+    free = gcn.free_pairs(graph.all_edges, graph.n_nodes)
     for epoch in range(1, epochs + 1):
-        # Cached for this epoch only; a lost block is drawn again, identically.
-        drawn = gcn.drawn_pairs(
-            graph.all_edges, graph.n_nodes, graph.n_edges, f"{seed}:{epoch}"
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        cut, n_negative = gcn.smallest_cut(drawn, "slot", graph.n_edges)
+        drawn, wanted = gcn.enough_pairs(graph.all_edges, graph.n_nodes, graph.n_edges, f"{seed}:{epoch}", free)
+        cut, n_negative = gcn.smallest_cut(drawn, "slot", wanted)
         negatives = drawn.filter(F.col("slot") < cut)
         loss, grads = gradient(graph, weights, negatives, n_negative)
-        drawn.unpersist()
         weights = adam.update(weights, grads)
         losses.append(loss)
         if on_epoch:

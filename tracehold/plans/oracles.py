@@ -7,8 +7,11 @@ no entry.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+from tracehold.operators import prompts
 from tracehold.operators.training import initial_weights
 
 _LOGS = """
@@ -334,29 +337,42 @@ strided AS (SELECT vec_id AS src, (vec_id * 7 + 1) % n AS dst FROM embeddings, n
 _DOT = """list_sum(list_transform(range(1, 65), lambda i:
   CAST(s.embedding[i] AS DOUBLE) * CAST(t.embedding[i] AS DOUBLE)))"""
 
-_CHAT_ANALYSIS = (
-    "'Process ' || id || chr(10) || 'Chain:' || chr(10) || context || chr(10) || chr(10)"
-    " || 'Your analysis:'"
-)
+def _lines(*parts: str) -> str:
+    """SQL texts with a line feed between them."""
+    return " || chr(10) || ".join(parts)
+
+
+_CHAT_ANALYSIS = _lines(
+    """'<provenance process="' || id || '">'""", "context", "'</provenance>'", "'What happened, and by which technique?'")
 
-# The echo stand-in fences the third last line of each prompt: the context's last
-# line, then (with the fences of the previous answer below it) parts of that answer.
 _REPORT = """
 '--- 1. GRAPH CONTEXT ---' || chr(10) || {context} || chr(10) || chr(10)
 || '--- 2. THREAT ANALYSIS ---' || chr(10) || {analysis} || chr(10) || chr(10)
 || '--- 3. STRATEGY ---' || chr(10) || {strategy} || chr(10) || chr(10)
 || '--- 4. VERIFIED COMMANDS (Audited) ---' || chr(10) || {commands}"""
 
-_LAST_LINE = "string_split(context, chr(10))[-1]"
+# The stand-in model answers with digests of its system and user texts, so each stage's answer
+# hangs on all before. System texts are wording, not results: they are taken as they stand.
+def _answer(template: prompts.Template, user: str) -> str:
+    system = hashlib.md5(template.system.encode()).hexdigest()[:8]
+    return _lines("'```bash'", f"'{system} ' || md5({user}) || ' '", "'```'") + " || chr(10)"
 
-# Stage 1 answers fence the context's last line; stage 2 sees an empty line third
-# from the end of its prompt, and so on down the chain.
-_ECHO_REPORT = _REPORT.format(
-    context="context",
-    analysis="'```bash' || chr(10) || " + _LAST_LINE + " || ' ' || chr(10) || '```'",
-    strategy="'```bash' || chr(10) || ' ' || chr(10) || '```'",
-    commands="''",
-)
+
+def _unfenced(answer: str) -> str:
+    return f"trim(replace(replace({answer}, '```bash', ''), '```', ''), ' ' || chr(10))"
+
+
+# (process, context) rows of a query to its reports, stage by stage
+_STAGES = f"""
+stage1 AS (SELECT *, {_answer(prompts.ANALYSIS, _CHAT_ANALYSIS)} AS analysis FROM short),
+stage2 AS (SELECT *, {_answer(prompts.STRATEGY, _lines("'<analysis>'", 'analysis', "'</analysis>'",
+    "'Which three steps contain this?'"))} AS strategy FROM stage1),
+stage3 AS (SELECT *, {_unfenced(_answer(prompts.COMMANDS, _lines("""'<steps process="' || id || '">'""", 'strategy', "'</steps>'",
+    "'Which commands carry them out?'")))} AS draft FROM stage2),
+stage4 AS (SELECT *, {_unfenced(_answer(prompts.AUDIT, _lines("'<analysis>'", 'analysis', "'</analysis>'", "'<commands>'", 'draft',
+    "'</commands>'", "'Which of them may run?'")))} AS commands FROM stage3),
+reported AS (SELECT id, {_REPORT.format(context='context', analysis="trim(analysis, ' ' || chr(10))",
+    strategy="trim(strategy, ' ' || chr(10))", commands='commands')} AS report FROM stage4)"""
 
 ORACLES: dict[str, str] = {
     # graph
@@ -413,10 +429,18 @@ FROM asked LEFT JOIN short ON id = process_id""",
     "split_counts": f"""WITH {_LOGS}
 SELECT {_SPLIT}, 'host.bin.' || CAST(pos % 41 AS VARCHAR) || '.gz' AS src_file, count(*) AS n_logs
 FROM named GROUP BY ALL""",
+    "rejected_lines": f"""WITH {_LOGS}
+SELECT timestamp_ns, CAST(pos % 17 = 0 AS INTEGER) AS rejected FROM named""",
+    "file_errors": f"""WITH {_LOGS}
+SELECT CAST(pos % 13 AS INTEGER) AS file, count(*) - CAST(pos % 13 IN (3, 7) AS INTEGER) AS n_logs,
+  CAST(pos % 13 IN (3, 7) AS INTEGER) AS n_errors FROM named GROUP BY pos % 13""",
     "json_lines_logs": f"""WITH {_LOGS}
 SELECT timestamp_ns, event_type, process_id, parent_process_id, cmd AS cmd_line, user_id,
   file_path, remote_ip, remote_port, is_suspicious, is_evil FROM named""",
     "csv_logs": f"WITH {_LOGS} {_LABELLED.format(keys='')}",
+    "csv_mixed_headers_logs": f"""WITH {_LOGS}
+SELECT * EXCLUDE (pos, user_id), CASE WHEN pos % 3 = 2 THEN NULL ELSE user_id END AS user_id
+FROM ({_LABELLED.format(keys='pos,').replace("FROM named", "FROM (SELECT * FROM named)")})""",
     "archive_logs": f"WITH {_NESTED} SELECT * EXCLUDE (pos), {_SPLIT} FROM flat",
     # features and model
     "text_seeds": f"SELECT doc_id, {_seed('text')} AS seed FROM documents",
@@ -469,6 +493,11 @@ losses AS (
   SELECT y, greatest(score, 0.0) + ln(1 + exp(-abs(score))) - y * score AS loss FROM logits
 )
 SELECT 1 AS epoch, round(avg(loss) FILTER (y = 1.0) + avg(loss) FILTER (y = 0.0), 6) AS loss FROM losses""",
+    "dense_negative_edges": """WITH edges AS (
+  SELECT DISTINCT user_id % 40 AS src, event_id % 40 AS dst FROM events WHERE ((user_id % 40) * 7 + event_id % 40) % 9 <> 0
+)
+SELECT a AS src, b AS dst FROM range(40) x(a), range(40) y(b)
+WHERE a <> b AND (a, b) NOT IN (SELECT (src, dst) FROM edges)""",
     "node_features": f"""WITH RECURSIVE {_INDEX},
 seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
 seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}
@@ -542,7 +571,10 @@ picked AS (
   QUALIFY row_number() OVER (PARTITION BY is_evil ORDER BY sha256('7:' || CAST(pos AS VARCHAR)), pos) <= 20
 )
 SELECT pos, is_evil, row_number() OVER (ORDER BY sha256('1:' || CAST(pos AS VARCHAR))) - 1 AS place FROM picked""",
-    "model_pairs": f"""WITH {_LOGS} SELECT pos, model FROM named CROSS JOIN (
+    "model_pairs": f"""WITH {_LOGS} SELECT pos, model FROM (
+  SELECT pos FROM named
+  QUALIFY row_number() OVER (PARTITION BY is_evil ORDER BY sha256('7:' || CAST(pos AS VARCHAR)), pos) <= 20
+) CROSS JOIN (
   SELECT unnest(['phi4-mini', 'qwen2.5-coder:7b', 'llama3.1:8b', 'deepseek-r1:14b', 'codestral', 'qwen3:32b']) AS model
 )""",
     # prompts, reports, model chains
@@ -573,11 +605,11 @@ SELECT id, CASE WHEN contains(context, 'wget') OR contains(context, 'curl')
     THEN 'Malicious: T1105.' ELSE 'Benign.' END AS analysis,
   CAST(NULL AS VARCHAR) AS error,
   contains(context, 'wget') OR contains(context, 'curl') AS predicted FROM short""",
-    "model_reports": f"""WITH {_ANCESTRY}
-SELECT id AS process_id, {_ECHO_REPORT} AS report, CAST(NULL AS VARCHAR) AS error FROM short""",
-    "triaged_alerts": f"""WITH {_SCORED}, {_ANCESTRY.replace(_LOGS + ',', '', 1)}
-SELECT pos, process_id, printf('%.2f', score) AS score_text, {_ECHO_REPORT} AS report
-FROM alerted JOIN short ON id = process_id""",
+    "model_reports": f"""WITH {_ANCESTRY}, {_STAGES}
+SELECT id AS process_id, report, CAST(NULL AS VARCHAR) AS error FROM reported""",
+    "triaged_alerts": f"""WITH {_SCORED}, {_ANCESTRY.replace(_LOGS + ',', '', 1)}, {_STAGES}
+SELECT pos, process_id, printf('%.2f', score) AS score_text, report
+FROM alerted JOIN reported ON id = process_id""",
     "model_comparison": f"""WITH {_ANCESTRY} {_TOUCHED} {_LONG},
 picked AS (
   SELECT * FROM named
@@ -592,7 +624,7 @@ graded AS (
     THEN CASE WHEN is_evil = 1 THEN 'TP' ELSE 'FP' END
     ELSE CASE WHEN is_evil = 1 THEN 'FN' ELSE 'TN' END END AS outcome FROM texts
   UNION ALL
-  SELECT 'echo', CASE WHEN is_evil = 1 THEN 'FN' ELSE 'TN' END FROM texts
+  SELECT 'digest', CASE WHEN is_evil = 1 THEN 'FN' ELSE 'TN' END FROM texts
 ),
 {_counts('graded', 'model')}
 SELECT model, tp, fp, tn, fn, n, {_metric_columns('100')} FROM metrics""",
@@ -605,11 +637,13 @@ graded AS (
 ),
 {_counts('graded')} SELECT * FROM counts""",
     "stream_graph": f"WITH {_GRAPH} SELECT id, cmd_line FROM nodes",
-    "stream_triage": f"""WITH {_SCORED}, {_ANCESTRY.replace(_LOGS + ',', '', 1)}
-SELECT pos, process_id, {_ECHO_REPORT} AS report FROM alerted JOIN short ON id = process_id""",
+    "stream_triage": f"""WITH {_SCORED}, {_ANCESTRY.replace(_LOGS + ',', '', 1)}, {_STAGES}
+SELECT pos, process_id, report FROM alerted JOIN reported ON id = process_id""",
 }
 
-for _name in ("json_objects_logs", "json_files_logs"):
+for _name in ("json_objects_logs", "json_files_logs", "json_array_logs", "python_literal_logs"):
     ORACLES[_name] = f"""WITH {_LOGS}
 SELECT timestamp_ns, event_type, process_id, parent_process_id, process_name, args, user_id,
   file_path, remote_ip, remote_port, is_suspicious, is_evil FROM named"""
+ORACLES["broken_tail_logs"] = ORACLES["json_array_logs"] + """
+WHERE pos % 13 NOT IN (3, 7) OR pos NOT IN (SELECT max(pos) FROM named GROUP BY pos % 13)"""

@@ -5,6 +5,8 @@ Each reads whole tables. Column names match those of ``plans.oracles``.
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -234,6 +236,87 @@ def json_files_logs(spark, folder):
     return jobs.load_logs(spark, path, "files").select(*_LOG_COLUMNS)
 
 
+def _array_files(spark, folder, path, edit=None):
+    """Arrays of logs, one file for each value of pos % 13; ``edit`` changes a file's text."""
+    rows = process_logs(spark, folder)
+    camel = rows.withColumnsRenamed({
+        "process_id": "processId", "parent_process_id": "parentProcessId", "process_name": "processName", "user_id": "userId"})
+    record = F.to_json(F.struct(*_camel_records(spark, folder).columns))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", record.alias("r")))), lambda x: x["r"]), ", ")
+    files = camel.groupBy((F.col("pos") % 13).alias("file")).agg(F.concat(F.lit("["), text, F.lit("]")).alias("value"))
+    if edit is not None:
+        files = files.withColumn("value", edit)
+    files.write.partitionBy("file").text(path)
+
+
+@query
+def json_array_logs(spark, folder):
+    """Write compact arrays, read them back."""
+    path = new_folder(spark, "json-arrays")
+    _array_files(spark, folder, path)
+    return jobs.load_logs(spark, path).select(*_LOG_COLUMNS)
+
+
+@query
+def python_literal_logs(spark, folder):
+    """Write lists of Python dictionaries, read them back."""
+    path = new_folder(spark, "python-literals")
+    _array_files(spark, folder, path, F.translate("value", '"', "'"))
+    return jobs.load_logs(spark, path).select(*_LOG_COLUMNS)
+
+
+def _cut_files():
+    """Two of the files end inside their last log."""
+    return F.when(F.col("file").isin(3, 7), F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+
+
+@query
+def broken_tail_logs(spark, folder):
+    """Arrays of which some end inside their last log: all logs before it are read."""
+    path = new_folder(spark, "broken-tails")
+    _array_files(spark, folder, path, _cut_files())
+    return normalize.canonical_logs(json_logs.read_logs(spark, path, partial=True)).select(*_LOG_COLUMNS)
+
+
+@query
+def file_errors(spark, folder):
+    """Records and errors by file, where some files end inside a log."""
+    path = new_folder(spark, "file-errors")
+    _array_files(spark, folder, path, _cut_files())
+    decoded = json_logs.read_json_files(spark, path)
+    number = F.regexp_extract("src_file", r"file=(\d+)", 1).cast("int")
+    return decoded.groupBy(number.alias("file")).agg(
+        F.count("record").alias("n_logs"), F.count("error").alias("n_errors"))
+
+
+@query
+def rejected_lines(spark, folder):
+    """Time of each line that was cut short; lines with a leading tab or a comma behind are read."""
+    path = new_folder(spark, "cut-lines")
+    rows = process_logs(spark, folder)
+    line = F.to_json(F.struct("timestamp_ns", "process_id", "event_type"))
+    line = F.when(F.col("pos") % 17 == 0, F.expr("left(line, length(line) - 5)")).when(
+        F.col("pos") % 3 == 0, F.concat(F.lit("\t"), "line", F.lit(","))).otherwise(F.col("line"))
+    rows.select("pos", F.to_json(F.struct("timestamp_ns", "process_id", "event_type")).alias("line")).select(line).write.text(path)
+    parsed = json_logs.parse_json(json_logs.read_json_lines(spark, path))
+    time = F.regexp_extract("rejected", r'"timestamp_ns":(\d+)', 1).cast("long")
+    bad = json_logs.rejects(parsed).select(time.alias("timestamp_ns"), F.lit(1).alias("rejected"))
+    return bad.unionByName(json_logs.accepted(parsed).select(
+        F.col("timestamp_ns").cast("long").alias("timestamp_ns"), F.lit(0).alias("rejected")))
+
+
+@query
+def csv_mixed_headers_logs(spark, folder):
+    """Labelled CSV files with columns in other orders and one left out, read by their own headers."""
+    path = new_folder(spark, "mixed-csv")
+    rows = labelled_rows(spark, folder)
+    columns = [c for c in rows.columns if c != "pos"]
+    for k, order in enumerate((columns, columns[::-1], [c for c in columns if c != "userId"])):
+        rows.where(F.col("pos") % 3 == k).select(*order).write.csv(f"{path}/{k}", header=True, quote='"', escape='"')
+    logs = labelled_csv.labelled_to_logs(labelled_csv.read_labelled_csv(spark, [f"{path}/{k}" for k in range(3)]))
+    return logs.drop("src_file", "src_block", "src_row")
+
+
 @query
 def csv_logs(spark, folder):
     """Write labelled CSV files, read and cast them back."""
@@ -351,6 +434,15 @@ def negative_edges(spark, folder):
     return gcn.negative_edges(edges, index.count(), edges.count(), "0:1")
 
 
+@query
+def dense_negative_edges(spark, folder):
+    """All but a few of the pairs that a nearly complete graph leaves: users by rest of their purchases."""
+    events = table(spark, folder, "events").select((F.col("user_id") % 40).alias("src"), (F.col("event_id") % 40).alias("dst"))
+    edges = materialize(events.distinct().where("(src * 7 + dst) % 9 != 0"), "dense-edges")
+    free = gcn.free_pairs(edges, 40)
+    return gcn.negative_edges(edges, 40, free + 100, "dense")
+
+
 @query
 def log_scores(spark, folder):
     scored = scoring.score_logs(process_logs(spark, folder), training.initial_weights(0))
@@ -514,8 +606,9 @@ def shuffled_sample(spark, folder):
 
 @query
 def model_pairs(spark, folder):
-    logs = process_logs(spark, folder)
-    return evaluate.for_each_model(logs.select("pos"), fv.COMPARED_MODELS)
+    """The balanced sample once per compared model."""
+    sample = evaluate.balanced_sample(process_logs(spark, folder), ["pos"], seed=7)
+    return evaluate.for_each_model(sample.select("pos"), fv.COMPARED_MODELS)
 
 
 # --- prompts, reports, model chains --------------------------------------
@@ -583,11 +676,11 @@ def rule_analyst():
     return answer
 
 
-def echo_model():
-    """A stand-in that fences and repeats the last line of its prompt's body."""
+def digest_model():
+    """A stand-in whose fenced answer tells the whole prompt: digests of its system and user texts."""
     def answer(chat: list[dict]) -> str:
-        lines = chat[-1]["content"].split("\n")
-        return "```bash\n" + lines[-3] + " \n```\n"
+        system, user = (hashlib.md5(m["content"].encode()).hexdigest() for m in chat)
+        return f"```bash\n{system[:8]} {user} \n```\n"
 
     return answer
 
@@ -606,14 +699,14 @@ def model_reports(spark, folder):
     """Four-stage chain per process with a (stand-in) model."""
     contexts = ancestry.short_contexts(*_stored_graph(spark, folder))
     rows = contexts.withColumnRenamed("id", "process_id")
-    return reports.incident_reports(rows, echo_model).select("process_id", "report", "error")
+    return reports.incident_reports(rows, digest_model).select("process_id", "report", "error")
 
 
 @query
 def triaged_alerts(spark, folder):
     """Score, filter, then reports for alerted processes only, joined back to alerts."""
     nodes, edges = _stored_graph(spark, folder)
-    done = jobs.triage(_scored(spark, folder), nodes, edges, echo_model)
+    done = jobs.triage(_scored(spark, folder), nodes, edges, digest_model)
     return done.select("pos", "process_id", two_decimals(F.col("score")).alias("score_text"), "report")
 
 
@@ -627,7 +720,7 @@ def model_comparison(spark, folder):
     touches = materialize(graph.touched(logs), "touched")
     contexts = ancestry.long_contexts(nodes, edges, touches, wanted)
     result = jobs.compare_models(
-        sample, contexts, {"rule": rule_analyst, "echo": echo_model}, "pos",
+        sample, contexts, {"rule": rule_analyst, "digest": digest_model}, "pos",
         F.concat_ws(" ", "args", "process_name"),
     )
     return _rounded(
@@ -699,7 +792,7 @@ def stream_triage(spark, folder):
     nodes, edges = _stored_graph(spark, folder)
     scored = _streamed_logs(spark, folder)
     _run(streaming.triage_stream(
-        scored, lambda: nodes, lambda: edges, echo_model, path, f"{path}-checkpoint"
+        scored, lambda: nodes, lambda: edges, digest_model, path, f"{path}-checkpoint"
     ))
     return spark.read.parquet(path).select(
         F.col("timestamp").cast("long").alias("pos"), "process_id", "report"

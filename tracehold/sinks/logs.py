@@ -8,19 +8,14 @@ from tracehold.functions import fixed_values as fv
 from tracehold.functions.text import two_decimals
 
 # Field names of the written log files, by column.
-WRITTEN_NAMES = {"cmd_line": "cmdLine"}
-WRITTEN_COLUMNS = (
-    "timestamp", "timestamp_ns", "event_type", "thread_id", "process_id",
-    "parent_process_id", "cmd_line", "user_id", "return_value", "file_path",
-    "remote_ip", "remote_port", "is_suspicious", "is_evil",
-)
+WRITTEN_NAMES = {"cmd_line": "cmdLine", "process_name": "processName"}
+# Columns that say where a log was read, not what it holds.
+POSITION_COLUMNS = ("src_file", "src_block", "src_row", "pos")
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines, one folder per split; NULL fields are left out of each line."""
-    columns = [
-        F.col(c).alias(WRITTEN_NAMES.get(c, c)) for c in WRITTEN_COLUMNS if c in logs.columns
-    ]
+    """JSON lines, one folder per split; all columns but input positions; NULL fields are left out."""
+    columns = [F.col(c).alias(WRITTEN_NAMES.get(c, c)) for c in logs.columns if c not in (*POSITION_COLUMNS, "split")]
     split = ["split"] if "split" in logs.columns else []
     writer = logs.select(*columns, *split).write.mode(mode).option("ignoreNullFields", "true")
     (writer.partitionBy(*split) if split else writer).json(path)

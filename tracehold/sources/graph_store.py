@@ -33,7 +33,7 @@ def weight_shapes(
 
 
 def write_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
-    """Trained weights (1,072 numbers) as a small table."""
+    """Trained weights (1,072 numbers at the usual width) as a small table."""
     rows = [
         (name, i, [float(v) for v in row])
         for name, matrix in weights.items()
@@ -43,10 +43,12 @@ def write_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str
 
 
 def read_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The stored weights, in the shapes they were written in (names with b are vectors)."""
     rows = spark.read.schema(WEIGHT_SCHEMA).parquet(path).orderBy("name", "row").collect()
     weights = {}
-    for name, shape in weight_shapes().items():
-        weights[name] = np.array([r["values"] for r in rows if r["name"] == name]).reshape(shape)
+    for name in weight_shapes():
+        matrix = np.array([r["values"] for r in rows if r["name"] == name])
+        weights[name] = matrix[0] if name.startswith("b") else matrix
     return weights
 
 

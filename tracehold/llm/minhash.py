@@ -29,7 +29,7 @@ from tracehold.llm.components import components
 BANDS, ROWS = 32, 6
 WORDS = 5
 #: Probability of losing a candidate at or above the threshold by the posterior bound.
-MISS = 1e-9
+MISS = 1e-7
 #: Signature places that are compared before the next decision.
 BATCH = 32
 SIGNATURE = "doc_id long, text_key long, n_shingles long, set1 long, set2 long, bands array<long>, signature binary"
@@ -155,11 +155,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WOR
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of candidate pairs of classes (a, b), stored."""
-    left = classes.select(F.col("id").alias("a"), F.col("signature").alias("sign_a"))
-    right = classes.select(F.col("id").alias("b"), F.col("signature").alias("sign_b"))
-    alive, _ = stored(surviving(pairs.join(left, "a").join(right, "b"), percent), "candidates")
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of candidate pairs of classes (a, b, sign_a, sign_b), stored."""
+    alive, _ = stored(surviving(pairs, percent), "candidates")
     return stored(confirmed(alive, texts, percent), "links")[0]
 
 
@@ -242,7 +240,10 @@ def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> Dat
     seen = held.withColumnsRenamed({"id": "m_id", "n": "m_n", "own": "m_own"}).join(hubs, "band").where("m_id != h_id").withColumns(
         {"a": F.least("m_id", "h_id"), "b": F.greatest("m_id", "h_id")})
     seen, _ = stored(seen, "members")
-    links = _verified(seen.where(_may_link(percent, "m_", "h_")).select("a", "b").distinct(), classes, texts, percent)
+    first = seen.where(_may_link(percent, "m_", "h_")).select("a", "b").distinct()
+    for side in "ab":
+        first = first.join(classes.select(F.col("id").alias(side), F.col("signature").alias(f"sign_{side}")), side)
+    links = _verified(first, texts, percent)
 
     # members that are not both linked to the hub are compared, where a link is possible
     able = seen.where(_may_link_any(percent, "m_")).join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(
@@ -250,13 +251,15 @@ def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> Dat
     able, _ = stored(able, "able")
     split = able.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("m_linked")).alias("_k")).where("_n > 1 AND _k > 0")
     rest = able.join(stored(split.select("band"), "split-bands")[0], "band")
-    rest, _ = stored(rest.join(classes.select(F.col("id").alias("m_id"), F.col("bands").alias("m_bands")), "m_id"), "split-buckets")
-    x, y = (rest.withColumnsRenamed({f"m_{n}": f"{p}_{n}" for n in ("id", "n", "own", "linked", "bands")}) for p in "xy")
+    rest, _ = stored(rest.join(classes.select(
+        F.col("id").alias("m_id"), F.col("bands").alias("m_bands"), F.col("signature").alias("m_sign")), "m_id"), "split-buckets")
+    x, y = (rest.withColumnsRenamed({f"m_{n}": f"{p}_{n}" for n in ("id", "n", "own", "linked", "bands", "sign")}) for p in "xy")
     first_shared = F.element_at(F.array_intersect("x_bands", "y_bands"), 1)  # a pair counts in one band alone
     more = x.join(y, "band").where(
         (F.col("x_id") < F.col("y_id")) & ~(F.col("x_linked") & F.col("y_linked")) & _may_link(percent, "x_", "y_")
-        & (first_shared == F.col("band"))).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-    more_links = _verified(more, classes, texts, percent)
+        & (first_shared == F.col("band")))
+    more_links = _verified(more.select(
+        F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_sign").alias("sign_a"), F.col("y_sign").alias("sign_b")), texts, percent)
 
     final = components(links.unionByName(more_links))
     named = classes.join(final, classes["id"] == final["node"], "left").select(

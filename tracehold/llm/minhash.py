@@ -9,7 +9,8 @@ A band's bucket is not expanded into all pairs. Shingles that no other candidate
 similarity of a class from above: most edited copies of one text can be linked with nothing and
 drop out. The others are compared with their bucket's hub, the member with the fewest shingles of
 its own; two members that it links are in one component and need no other comparison. The other
-pairs of a bucket are compared as well where the bound allows a link, so no component is lost.
+pairs of a bucket are compared as well, unless the shingles that each shares with the hub, and its
+others but its own ones, are too few for a link: so no component is lost.
 """
 
 from __future__ import annotations
@@ -126,39 +127,44 @@ def surviving(pairs: DataFrame, percent: int, miss: float = MISS, batch: int = B
     return pairs.select("a", "b", "sign_a", "sign_b").mapInArrow(work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold; ``texts`` has id, text."""
+def common_shingles(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(a, b, n_a, n_b, common) of pairs (a, b): sizes of their full shingle sets and of the intersection.
+
+    ``texts`` has id and text.
+    """
+    schema = "a long, b long, n_a long, n_b long, common long"
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for rows in batches:
-            linked = np.zeros(rows.num_rows, dtype=bool)
-            known: dict[int, np.ndarray] = {}
             for i in range(0, rows.num_rows, 64):
                 part = rows.slice(i, 64)
-                sets = []
+                sets, sizes = [], []
                 for ids, column in ((part.column(0), part.column(2)), (part.column(1), part.column(3))):
                     ids = ids.to_pylist()
-                    new = list(dict.fromkeys(x for x in ids if x not in known))
-                    first = {x: k for k, x in reversed(list(enumerate(ids)))}
-                    some = column.take(pa.array([first[x] for x in new], type=pa.int64()))
+                    first = {x: k for k, x in reversed(list(enumerate(ids))) if x not in known}
+                    some = column.take(pa.array(list(first.values()), type=pa.int64()))
+                    new = list(first)
                     for a, b, data, offsets in slices(some):
                         known.update(zip(new[a:b], shingles(data, offsets, words), strict=True))
                     sets.append([known[x] for x in ids])
-                for k, (x, y) in enumerate(zip(*sets, strict=True), i):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                    sizes.append(pa.array([len(x) for x in sets[-1]], type=pa.int64()))
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *sizes, pa.array(common, type=pa.int64())], ["a", "b", "n_a", "n_b", "common"])
                 if len(known) > 256:
                     known = {}
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked)) for c in rows.columns[:2]], ["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The linked ones of candidate pairs of classes (a, b, sign_a, sign_b), stored."""
     alive, _ = stored(surviving(pairs, percent), "candidates")
-    return stored(confirmed(alive, texts, percent), "links")[0]
+    linked = (F.col("common") > 0) & (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent)
+    return stored(common_shingles(alive, texts).where(linked).select("a", "b"), "links")[0]
 
 
 def own_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -247,17 +253,23 @@ def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> Dat
 
     # members that are not both linked to the hub are compared, where a link is possible
     able = seen.where(_may_link_any(percent, "m_")).join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(
-        "band", "m_id", "m_n", "m_own", F.coalesce("linked", F.lit(False)).alias("m_linked"))
+        "band", "a", "b", "m_id", "m_n", "m_own", F.coalesce("linked", F.lit(False)).alias("m_linked"))
     able, _ = stored(able, "able")
     split = able.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("m_linked")).alias("_k")).where("_n > 1 AND _k > 0")
-    rest = able.join(stored(split.select("band"), "split-bands")[0], "band")
-    rest, _ = stored(rest.join(classes.select(
-        F.col("id").alias("m_id"), F.col("bands").alias("m_bands"), F.col("signature").alias("m_sign")), "m_id"), "split-buckets")
-    x, y = (rest.withColumnsRenamed({f"m_{n}": f"{p}_{n}" for n in ("id", "n", "own", "linked", "bands", "sign")}) for p in "xy")
+    rest, _ = stored(able.join(stored(split.select("band"), "split-bands")[0], "band"), "split-members")
+    with_hub, _ = stored(common_shingles(rest.select("a", "b").distinct(), texts).select("a", "b", "common"), "hub-shingles")
+    rest = rest.join(with_hub, ["a", "b"]).join(classes.select(
+        F.col("id").alias("m_id"), F.col("bands").alias("m_bands"), F.col("signature").alias("m_sign")), "m_id")
+    rest, _ = stored(rest.select(
+        "band", "m_id", "m_n", "m_linked", "m_bands", "m_sign", F.col("common").alias("m_hub"),
+        (F.col("m_n") - F.col("common") - F.col("m_own")).alias("m_rest")), "split-buckets")
+    x, y = (rest.withColumnsRenamed({c: c.replace("m_", f"{p}_") for c in rest.columns if c != "band"}) for p in "xy")
     first_shared = F.element_at(F.array_intersect("x_bands", "y_bands"), 1)  # a pair counts in one band alone
+    # in common are at most the fewer shingles of the hub and the fewer of the others but own ones
+    most = F.least("x_hub", "y_hub") + F.least("x_rest", "y_rest")
     more = x.join(y, "band").where(
-        (F.col("x_id") < F.col("y_id")) & ~(F.col("x_linked") & F.col("y_linked")) & _may_link(percent, "x_", "y_")
-        & (first_shared == F.col("band")))
+        (F.col("x_id") < F.col("y_id")) & ~(F.col("x_linked") & F.col("y_linked"))
+        & (most * 100 >= (F.col("x_n") + F.col("y_n") - most) * percent) & (first_shared == F.col("band")))
     more_links = _verified(more.select(
         F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_sign").alias("sign_a"), F.col("y_sign").alias("sign_b")), texts, percent)
 

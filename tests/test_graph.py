@@ -182,3 +182,19 @@ def test_hot_keys_and_spread_lookup(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert parts > 1
+
+
+def test_property_graph_is_stored_whole_and_grows(spark, tmp_path):
+    logs = logs_of(spark, ROWS)
+    stored = jobs.build_property_graph(logs, str(tmp_path / "g"), ["pos"])
+    rows = lambda frame: sorted(map(str, frame.select(sorted(frame.columns)).collect()))
+    assert rows(stored["typed_edges"]) == rows(graph.typed_edges(logs))
+    assert rows(stored["file_nodes"]) == rows(graph.file_nodes(logs))
+    assert rows(stored["network_nodes"]) == rows(graph.network_nodes(logs))
+    assert rows(graph.touched_of(stored["typed_edges"])) == rows(graph.touched(logs))
+    path = str(tmp_path / "grown")
+    for load in (0, 1, 1, 2):
+        streaming.add_to_graph(logs.filter(F.col("pos") % 3 == load), path, load, ["pos"])
+    assert rows(streaming.read_grown_typed_edges(spark, path)) == rows(graph.typed_edges(logs))
+    streaming.compact_graph(spark, path, path + "2")
+    assert rows(streaming.read_grown_typed_edges(spark, path + "2")) == rows(graph.typed_edges(logs))

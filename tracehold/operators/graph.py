@@ -182,3 +182,20 @@ def touched(logs: DataFrame) -> DataFrame:
         lambda i: i.isNotNull(),
     )
     return logs.select(process_key().alias("id"), F.inline(items)).distinct()
+
+
+def files_of(edges: DataFrame) -> DataFrame:
+    """Distinct (path) nodes of typed edges."""
+    return edges.filter(F.col("rel") == fv.ACCESSED).select(F.col("dst").alias("path")).distinct()
+
+
+def networks_of(edges: DataFrame) -> DataFrame:
+    """Distinct (ip, port) nodes of typed edges."""
+    return edges.filter(F.col("rel") == fv.CONNECTED_TO).select(F.col("dst").alias("ip"), "port").distinct()
+
+
+def touched_of(edges: DataFrame) -> DataFrame:
+    """What ``touched`` finds in the logs, from their stored typed edges."""
+    kind = F.when(F.col("rel") == fv.ACCESSED, "file").otherwise("ip")
+    touches = edges.filter(F.col("rel").isin(fv.ACCESSED, fv.CONNECTED_TO))
+    return touches.select(F.col("src").alias("id"), kind.alias("kind"), F.col("dst").alias("name")).distinct()

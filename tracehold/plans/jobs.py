@@ -61,6 +61,25 @@ def build_graph(logs: DataFrame, path: str, order: Sequence[str] = INPUT_ORDER)
     return graph_store.read_nodes(spark, path), graph_store.read_edges(spark, path)
 
 
+def build_property_graph(logs: DataFrame, path: str, order: Sequence[str] = INPUT_ORDER) -> dict[str, DataFrame]:
+    """Rebuild and store the whole graph: process_nodes, spawn_edges, typed_edges, file_nodes, network_nodes.
+
+    The logs are read once for processes and once for typed edges; file and network nodes come
+    from the stored edges.
+    """
+    spark = logs.sparkSession
+    nodes, edges = build_graph(logs, path, order)
+    graph_store.write_typed_edges(graph.typed_edges(logs), f"{path}/typed_edges")
+    typed = graph_store.read_typed_edges(spark, f"{path}/typed_edges")
+    return {
+        "process_nodes": nodes,
+        "spawn_edges": edges,
+        "typed_edges": typed,
+        "file_nodes": materialize(graph.files_of(typed), "files", f"{path}/file_nodes"),
+        "network_nodes": materialize(graph.networks_of(typed), "networks", f"{path}/network_nodes"),
+    }
+
+
 def train(nodes: DataFrame, edges: DataFrame, weights_path: str | None = None, **options):
     """Index the graph and fit the autoencoder; returns (weights, losses)."""
     path = new_folder(nodes.sparkSession, "graph-index")

@@ -647,3 +647,11 @@ SELECT timestamp_ns, event_type, process_id, parent_process_id, process_name, ar
   file_path, remote_ip, remote_port, is_suspicious, is_evil FROM named"""
 ORACLES["broken_tail_logs"] = ORACLES["json_array_logs"] + """
 WHERE pos % 13 NOT IN (3, 7) OR pos NOT IN (SELECT max(pos) FROM named GROUP BY pos % 13)"""
+for _name, _plain in (
+    ("stored_typed_edges", "typed_edges"), ("typed_edges_upsert", "typed_edges"),
+    ("stored_file_nodes", "file_nodes"), ("stored_network_nodes", "network_nodes"),
+):
+    ORACLES[_name] = ORACLES[_plain]
+# streamed logs carry their position as time
+ORACLES["stream_typed_edges"] = ORACLES["typed_edges"].replace(
+    "timestamp_ns AS timestamp", "pos AS timestamp").replace("timestamp_ns, event_type", "pos, event_type")

@@ -139,10 +139,45 @@ def touched_artifacts(spark, folder):
     )
 
 
+def _whole_time(edges):
+    return edges.withColumn("timestamp", F.col("timestamp").cast("long"))
+
+
+def _property_graph(spark, folder):
+    return jobs.build_property_graph(process_logs(spark, folder), new_folder(spark, "property-graph"), POS)
+
+
+@query
+def stored_typed_edges(spark, folder):
+    return _whole_time(_property_graph(spark, folder)["typed_edges"])
+
+
+@query
+def stored_file_nodes(spark, folder):
+    return _property_graph(spark, folder)["file_nodes"]
+
+
+@query
+def stored_network_nodes(spark, folder):
+    return _property_graph(spark, folder)["network_nodes"]
+
+
+@query
+def typed_edges_upsert(spark, folder):
+    """Five loads, the third one twice, merged by readers."""
+    path = new_folder(spark, "grown")
+    logs = process_logs(spark, folder)
+    for load in (0, 1, 2, 2, 3, 4):
+        streaming.add_to_graph(logs.filter(F.col("pos") % 5 == load), path, load, POS)
+    return _whole_time(streaming.read_grown_typed_edges(spark, path))
+
+
 @query
 def artifact_context(spark, folder):
-    touches = materialize(graph.touched(process_logs(spark, folder)), "touched")
-    return ancestry.long_contexts(*_stored_graph(spark, folder), touches)
+    """Files and addresses come from the stored typed edges."""
+    stored = _property_graph(spark, folder)
+    touches = graph.touched_of(stored["typed_edges"])
+    return ancestry.long_contexts(stored["process_nodes"], stored["spawn_edges"], touches)
 
 
 @query
@@ -740,6 +775,7 @@ def _streamed_logs(spark, folder):
         "timestamp", "event_type", F.col("process_id").alias("processId"),
         F.col("parent_process_id").alias("parentProcessId"),
         F.col("process_name").alias("processName"), "args", "is_evil",
+        "file_path", "remote_ip", "remote_port",
         (F.col("base") * 100).cast("int").cast("string").alias("return_value"),
     )
     rows.repartition(4).write.json(path)
@@ -786,6 +822,14 @@ def stream_graph(spark, folder):
     return streaming.read_grown_graph(spark, path)[0]
 
 
+@query
+def stream_typed_edges(spark, folder):
+    path = new_folder(spark, "stream-graph")
+    logs = _streamed_logs(spark, folder)
+    _run(streaming.upsert_graph(logs, path, f"{path}-checkpoint", order=["timestamp"]))
+    return _whole_time(streaming.read_grown_typed_edges(spark, path))
+
+
 @query
 def stream_triage(spark, folder):
     path = new_folder(spark, "stream-triage")

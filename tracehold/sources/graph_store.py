@@ -26,6 +26,15 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/edges")
 
 
+def write_typed_edges(edges: DataFrame, path: str) -> None:
+    """Typed edges in one folder per relation, so that a reader of one kind reads no other."""
+    edges.write.mode("overwrite").partitionBy("rel").parquet(path)
+
+
+def read_typed_edges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("rel", "src", "dst", "port", "timestamp", "type")
+
+
 def weight_shapes(
     inputs: int = fv.FEATURE_WIDTH, hidden: int = fv.HIDDEN_WIDTH
 ) -> dict[str, tuple[int, ...]]:

@@ -87,9 +87,20 @@ def upsert_graph(
 
 
 def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER) -> None:
-    """Write one load's links; the same load twice changes nothing."""
+    """Write one load's links and typed edges; the same load twice changes nothing."""
     links = graph.spawn_links(logs, order)
     links.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    graph.typed_edges(logs).write.mode("overwrite").parquet(f"{_typed(path)}/batch={batch_id}")
+
+
+def _typed(path: str) -> str:
+    """Where the typed edges of a growing graph are: beside its links."""
+    return f"{path.rstrip('/')}-typed"
+
+
+def read_grown_typed_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct typed edges over all loads so far; file and network nodes come from them."""
+    return spark.read.parquet(_typed(path)).drop("batch").distinct()
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
@@ -106,3 +117,4 @@ def read_grown_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def compact_graph(spark: SparkSession, path: str, new_path: str) -> None:
     """Fold all loads into batch -1 of a new folder; later loads go on from there."""
     read_links(spark, path).write.mode("overwrite").parquet(f"{new_path}/batch=-1")
+    read_grown_typed_edges(spark, path).write.mode("overwrite").parquet(f"{_typed(new_path)}/batch=-1")

@@ -165,15 +165,16 @@ def test_hot_keys_and_spread_lookup(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 50))
         .alias("key"), "id")
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", 2) for i in range(0, 50, 2)], "name string, value int")
-    assert hot_keys(rows, "key", share=0.3, min_rows=10) == ["hot"]
-    assert hot_keys(rows, "key") == []
+    assert hot_keys(rows, "key", task_rows=300) == {"hot": 4}
+    assert hot_keys(rows, "key", task_rows=40)["hot"] == 25
+    assert hot_keys(rows, "key") == {}
     for how in ("left", "inner"):
         plain = rows.join(table, F.col("key") == F.col("name"), how)
-        for hot in ([], ["hot"], ["hot", "k1", "k2"]):
+        for hot in ({}, {"hot": 7}, {"hot": 3, "k1": 2, "k2": 5}):
             spread = lookup(rows, "key", table, "name", how, hot=hot)
             assert spread.columns == plain.columns
             assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
-    spread = lookup(rows, "key", table, "name", "inner", hot=["hot"], salts=16)
+    spread = lookup(rows, "key", table, "name", "inner", hot={"hot": 16})
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

@@ -94,7 +94,7 @@ def test_gradient_with_spread_hot_nodes(spark):
     negatives = spark.createDataFrame([(i, (i * 5 + 3) % 12) for i in range(12)], "src long, dst long")
     graph = training.prepare(None, frame, nodes)
     plain = training.gradient(graph, w, negatives, 12)
-    graph.hot_sources, graph.hot_targets = [edges[0][0]], [edges[0][1], edges[1][1]]
+    graph.hot_sources, graph.hot_targets = {edges[0][0]: 8}, {edges[0][1]: 8, edges[1][1]: 3}
     spread = training.gradient(graph, w, negatives, 12)
     assert abs(plain[0] - spread[0]) < 1e-9
     assert all(np.allclose(plain[1][k], spread[1][k]) for k in w)

@@ -28,7 +28,8 @@ def ancestry(nodes: DataFrame, edges: DataFrame, targets: DataFrame | None = Non
     """
     if targets is not None:
         return _ancestry_of(nodes, edges, targets)
-    family = nodes.select("id", "cmd_line").join(first_parent(edges), "id", "left")
+    # stored: the count of hot keys and both hops read it
+    family = materialize(nodes.select("id", "cmd_line").join(first_parent(edges), "id", "left"), "family")
     hot = hot_keys(family, "parent_id")
     parents = nodes.select(F.col("id").alias("_p"), F.col("cmd_line").alias("parent_cmd"))
     one_hop = lookup(family, "parent_id", parents, "_p", hot=hot).drop("_p")

@@ -57,7 +57,7 @@ def spread_sum(
     edges: DataFrame,
     values: DataFrame,
     names: Sequence[str],
-    hot: list | None,
+    hot: dict | None,
     reverse: bool = False,
     own: Sequence[str] | None = None,
     carry: Sequence[str] = (),

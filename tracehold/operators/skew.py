@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 1 / 256
-SALTS = 64
-MIN_HOT_ROWS = 100_000
+#: Rows of one key that a task may get; a key with more is spread over as many tasks as it takes.
+TASK_ROWS = 1_000_000
+#: Spread keys at most; a task may get more rows once there are so many.
+MAX_HOT_KEYS = 1 << 16
 
 
-def hot_keys(
-    rows: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = MIN_HOT_ROWS
-) -> list:
-    """Keys that hold at least ``share`` of the rows.
+def hot_keys(rows: DataFrame, key: str, task_rows: int = TASK_ROWS) -> dict:
+    """Tasks to spread each key over, for keys with more rows than one task should get.
 
-    At most ``1 / share`` keys can, whatever the data, so the list is small.
-    Counting combines map-side and moves keys only. Runs one job.
+    The size is absolute, so a key is spread the further the more rows it has. Counting
+    combines map-side and moves keys only. Runs one job; at most ``MAX_HOT_KEYS`` come back,
+    since so many keys above a larger size cannot exist.
     """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    hot = counts.filter(
-        (F.col("_n") >= F.lit(min_rows)) & (F.col("_n") >= total * F.lit(share))
-    )
-    return [row[0] for row in hot.select(key).collect()]
+    counts = counts.filter(F.col("_n") > task_rows)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    size = max(task_rows, total // MAX_HOT_KEYS)
+    return {row[0]: -(-row["_n"] // size) for row in counts.filter(F.col("_n") > size).collect()} if total else {}
 
 
 def join_ends(
@@ -43,15 +42,14 @@ def lookup(
     table: DataFrame,
     table_key: str,
     how: str = "left",
-    hot: list | None = None,
-    salts: int = SALTS,
+    hot: dict | None = None,
 ) -> DataFrame:
     """Join rows to a table that is unique by its key, with hot keys spread out.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of the whole row,
-    and the table's row of that key is repeated once per salt; rows without a key
-    match nothing and are spread too. All other rows join as usual. Nothing is
-    dropped. ``hot`` comes from ``hot_keys``, counted here if not given.
+    Rows of a hot key are spread by a hash of the whole row over as many tasks as
+    ``hot`` says, and the table's row of that key is repeated for each; rows without
+    a key match nothing and are spread freely. All other rows join as usual. Nothing
+    is dropped. ``hot`` comes from ``hot_keys``, counted here if not given.
 
     The salt depends on the row alone, so a task that runs again sends its rows to
     the same places.
@@ -60,13 +58,17 @@ def lookup(
     if how == "inner" and not hot:
         return rows.join(table, F.col(key) == F.col(table_key))
     hashable = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
-    one, many = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(salts - 1))
-    is_spread, copies = F.col(key).isNull(), one
+    spread = F.xxhash64(*hashable)
+    left, right = rows.withColumn("_tasks", F.lit(1)), table.withColumn("_tasks", F.lit(1))
     if hot:
-        is_spread = is_spread | F.col(key).isin(hot)
-        copies = F.when(F.col(table_key).isin(hot), many).otherwise(one)
-    left = rows.withColumn("_salt", F.when(is_spread, spread).otherwise(F.lit(0)))
-    right = table.withColumn("_copy", F.explode(copies))
+        kind = rows.schema[key].dataType.simpleString()
+        known = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), f"_hot {kind}, _tasks int"))
+        left = rows.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1))).drop("_hot")
+        right = table.join(known, F.col(table_key) == F.col("_hot"), "left").withColumn(
+            "_tasks", F.coalesce("_tasks", F.lit(1))).drop("_hot")
+    salt = F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, F.col("_tasks").cast("long")))
+    left = left.withColumn("_salt", salt).drop("_tasks")
+    copies = F.sequence(F.lit(0).cast("long"), F.col("_tasks").cast("long") - 1)
+    right = right.withColumn("_copy", F.explode(copies)).drop("_tasks")
     match = (F.col(key) == F.col(table_key)) & (F.col("_salt") == F.col("_copy"))
     return left.join(right, match, how).drop("_salt", "_copy")

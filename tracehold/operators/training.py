@@ -55,8 +55,8 @@ class TrainingGraph:
     all_edges: DataFrame  # src, dst as given; the positive pairs
     n_nodes: int
     n_edges: int
-    hot_sources: list
-    hot_targets: list
+    hot_sources: dict
+    hot_targets: dict
     inputs: int
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,17 @@ def test_stream_triage(spark, tmp_path):
     expected = jobs.triage(with_scores(logs), nodes, edges, digest_model)
     key = lambda f: sorted((r.timestamp, r.process_id, r.report) for r in f.collect())
     assert key(spark.read.parquet(out)) == key(expected) and expected.count() == 8
+
+
+def test_scratch_tables_are_deleted(spark):
+    from tracehold import session
+
+    with session.scratch(spark):
+        frame = session.materialize(spark.range(5), "step")
+        folder = frame.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
+        assert "/scratch-" in folder and os.path.isdir(folder)
+        with session.scratch(spark):
+            assert session.new_folder(spark, "x").startswith(folder.rstrip("/"))
+        assert frame.count() == 5
+    assert not os.path.exists(folder)
+    assert "/scratch-" not in session.new_folder(spark, "x")

@@ -649,7 +649,7 @@ ORACLES["broken_tail_logs"] = ORACLES["json_array_logs"] + """
 WHERE pos % 13 NOT IN (3, 7) OR pos NOT IN (SELECT max(pos) FROM named GROUP BY pos % 13)"""
 for _name, _plain in (
     ("stored_typed_edges", "typed_edges"), ("typed_edges_upsert", "typed_edges"),
-    ("stored_file_nodes", "file_nodes"), ("stored_network_nodes", "network_nodes"),
+    ("stored_weight_scores", "log_scores"), ("stored_file_nodes", "file_nodes"), ("stored_network_nodes", "network_nodes"),
 ):
     ORACLES[_name] = ORACLES[_plain]
 # streamed logs carry their position as time

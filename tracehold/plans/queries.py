@@ -484,6 +484,15 @@ def log_scores(spark, folder):
     return _rounded(scored.select("pos", "base_score", "score"), "base_score", "score")
 
 
+@query
+def stored_weight_scores(spark, folder):
+    """Weights written and read back score the logs as they did."""
+    path = new_folder(spark, "weights")
+    graph_store.write_weights(spark, training.initial_weights(0), path)
+    scored = scoring.score_logs(process_logs(spark, folder), graph_store.read_weights(spark, path))
+    return _rounded(scored.select("pos", "base_score", "score"), "base_score", "score")
+
+
 @query
 def node_embeddings(spark, folder):
     """Embedding of every node under the initial weights."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +70,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[key]
 
 
+_scope = threading.local()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the thread's ``scratch`` folder."""
+    return f"{getattr(_scope, 'path', None) or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized by this thread meanwhile are deleted at the end.
+
+    Frames that read them must have been written or collected by then.
+    """
+    outer = getattr(_scope, "path", None)
+    _scope.path = mine = new_folder(spark, "scratch")
+    try:
+        yield
+    finally:
+        _scope.path = outer
+        delete_folder(spark, mine)
 
 
 def materialize(frame: DataFrame, label: str, path: str | None = None) -> DataFrame:

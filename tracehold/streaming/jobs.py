@@ -11,6 +11,7 @@ from tracehold.functions import fixed_values as fv
 from tracehold.operators import evaluate, graph, prompts, scoring
 from tracehold.operators.normalize import canonical_logs
 from tracehold.plans.jobs import triage
+from tracehold.session import scratch
 from tracehold.sources.json_logs import INPUT_ORDER, accepted, parse_json, stream_json_lines
 
 
@@ -45,11 +46,13 @@ def triage_stream(
     """Tier 2 per micro-batch: report each batch's alerted processes.
 
     ``nodes`` and ``edges`` are read anew per batch, so the graph may grow
-    meanwhile. Each batch owns one output folder: a retried batch replaces it.
+    meanwhile. Each batch owns one output folder: a retried batch replaces it. What
+    a batch stores on the way is deleted after its output is written.
     """
     def enrich(batch: DataFrame, batch_id: int) -> None:
-        done = triage(batch, nodes(), edges(), connect, **options)
-        done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            done = triage(batch, nodes(), edges(), connect, **options)
+            done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return scored.writeStream.foreachBatch(enrich).option("checkpointLocation", checkpoint)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.session import materialize, new_folder
+from tracehold.session import delete_folder, materialize, new_folder
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -33,8 +33,7 @@ def stored(frame: DataFrame, label: str) -> tuple[DataFrame, str]:
 def drop_stored(spark: SparkSession, *paths: str) -> None:
     """Delete stored steps that nothing reads any more."""
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete_folder(spark, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

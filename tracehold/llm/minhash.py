@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tracehold.llm.common import mix, shingles, slices, stored
 from tracehold.llm.components import components
+from tracehold.session import materialize, new_folder, scratch
 
 BANDS, ROWS = 32, 6
 WORDS = 5
@@ -225,10 +226,26 @@ def distinct_documents(documents: DataFrame, percent: int = 80, bands: int = 40,
 
 def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and whether a row is the first of its component."""
+    spark = documents.sparkSession
     signed, _ = stored(sign(documents, bands, rows), "signatures")
-    some = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    equal = ["set1", "set2", "n_shingles"]
-    classes, _ = stored(some.groupBy(*equal).agg(
+    in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    path = new_folder(spark, "named-classes")
+    with scratch(spark):
+        named = materialize(_named_classes(signed.where(in_class), documents, percent), "named-classes", path)
+    columns = ["doc_id", "text_key", "n_shingles"]
+    return signed.where(in_class).select("doc_id", "text_key", *_EQUAL).join(named, _EQUAL).select(
+        *columns, F.col("lowest.doc_id").alias("component_id"),
+        (F.struct("doc_id", "text_key") == F.col("lowest")).alias("first")).unionByName(
+        signed.where(~in_class).select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+#: Rows with these in common have equal shingle sets.
+_EQUAL = ["set1", "set2", "n_shingles"]
+
+
+def _named_classes(some: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """set1, set2, n_shingles and lowest (the first doc_id and text_key of the component) of every class."""
+    classes, _ = stored(some.groupBy(*_EQUAL).agg(
         F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"),
         F.first("signature").alias("signature")).withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -275,12 +292,6 @@ def classified(documents: DataFrame, percent: int, bands: int, rows: int) -> Dat
 
     final = components(links.unionByName(more_links))
     named = classes.join(final, classes["id"] == final["node"], "left").select(
-        *equal, "first", F.coalesce("component", "id").alias("c"))
+        *_EQUAL, "first", F.coalesce("component", "id").alias("c"))
     lowest = named.groupBy("c").agg(F.min("first").alias("lowest"))
-    named, _ = stored(named.join(lowest, "c").select(*equal, "lowest"), "named-classes")
-    in_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    columns = ["doc_id", "text_key", "n_shingles"]
-    return some.select("doc_id", "text_key", *equal).join(named, equal).select(
-        *columns, F.col("lowest.doc_id").alias("component_id"),
-        (F.struct("doc_id", "text_key") == F.col("lowest")).alias("first")).unionByName(
-        signed.where(~in_class).select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+    return named.join(lowest, "c").select(*_EQUAL, "lowest")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracehold.llm.common import mix, powers, stored, text_bytes
+from tracehold.llm.common import drop_stored, mix, powers, stored, text_bytes
 
 #: Bytes of a gram. Fewer: more grams shared by chance; more: more segments.
 GRAM = 64
@@ -304,12 +304,13 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     if not 0 < gram <= window:
         raise ValueError("a gram is at most as long as a window")
     rows = _rows(documents)
-    found, _ = stored(find_segments(rows, window, gram), "segments")
+    found, found_path = stored(find_segments(rows, window, gram), "segments")
     grams = found.groupBy("gram").agg(
         F.count(F.lit(1)).alias("_n"), F.min("content").alias("_a"), F.max("content").alias("_b")).where("_n > 1")
     # stored, so that the join deals both sides itself and can split a gram of very many segments
-    grams, _ = stored(grams.select("gram", (F.col("_a") != F.col("_b")).alias("several")), "grams")
+    grams, grams_path = stored(grams.select("gram", (F.col("_a") != F.col("_b")).alias("several")), "grams")
     shared, _ = stored(found.join(grams, "gram"), "shared-segments")
+    drop_stored(documents.sparkSession, found_path, grams_path)
     owner = ["doc_id", "text_key"]
     whole = F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("length")).alias("end"))
     alike = shared.where(~F.col("several")).select(*owner, F.array(whole).alias("spans"))

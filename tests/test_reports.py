@@ -146,7 +146,7 @@ def test_failed_stage_ends_that_process_only(spark):
     done = {r.process_id: r for r in reports.incident_reports(rows, failing_client).collect()}
     assert done["2"].report is None and "no answer" in done["2"].error
     assert done["1"].error is None
-    assert done["1"].report.startswith("--- 1. GRAPH CONTEXT ---\ngood\n\n--- 2. THREAT ANALYSIS ---\nPROCESS 1")
+    assert done["1"].report.startswith("--- 1. GRAPH CONTEXT ---\ngood\n\n--- 2. THREAT ANALYSIS ---\n<PROVENANCE PROCESS=\"1\">")
 
 
 def test_report_asks_once_per_process(spark):

@@ -329,7 +329,9 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     marks = _indexed(filed, window).unionByName(distinct.where("n > 1").select(
         "gram", "content", F.lit(0).alias("begin"), F.col("one.length").alias("end")))
     marks = marks.groupBy("gram", "content").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
-    unlike = several.join(marks, ["gram", "content"]).select(*owner, F.transform("marks", lambda m: F.struct(
+    # one more key than marks are grouped by: the join deals both sides itself and can split a segment of very many copies
+    both = F.xxhash64("gram", "content")
+    unlike = several.withColumn("_both", both).join(marks.withColumn("_both", both), ["_both", "gram", "content"]).select(*owner, F.transform("marks", lambda m: F.struct(
         (F.col("start") + m["begin"]).alias("begin"), (F.col("start") + m["end"]).alias("end"))).alias("spans"))
     removed = alike.unionByName(unlike).groupBy(*owner).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return _owned(rows, removed, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(

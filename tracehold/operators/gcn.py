@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracehold.functions.hashing import draw
 from tracehold.functions.numeric import bce_with_logits, dot, sigmoid
 from tracehold.functions.text import once
-from tracehold.operators.skew import hot_keys, join_ends, lookup
+from tracehold.operators.skew import join_ends, lookup
 from tracehold.session import materialize
 
 

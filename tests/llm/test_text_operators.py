@@ -114,6 +114,24 @@ def test_removed_strings(spark, small, strange, monkeypatch, wide):
     check_removed(suffix.removed_digest(suffix.repeated_strings(data.documents(spark, rows), 40, 16)), rows, 40)
 
 
+@pytest.mark.parametrize("many", [30, 1])
+def test_a_passage_of_many_texts_is_compared_once(spark, monkeypatch, many):
+    rng, rows_of_a_shard, plain = random.Random(14), [], suffix._indexed
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(500)
+    rows = [(i, text(150) + (passage if i % 3 else passage[:250] + rng.choice("uvw") + passage[250:]) + text(150)) for i in range(90)]
+
+    def indexed(filed, window):
+        rows_of_a_shard.extend(r["count"] for r in filed.groupBy("shard").count().collect())
+        return plain(filed, window)
+
+    monkeypatch.setattr(suffix, "WIDE_GRAM", 20)
+    monkeypatch.setattr(suffix, "WIDE_CORE", many, raising=False)
+    monkeypatch.setattr(suffix, "_indexed", indexed)
+    check_removed(suffix.removed_digest(suffix.repeated_strings(data.documents(spark, rows))), rows, 200)
+    assert max(rows_of_a_shard) <= 30
+
+
 def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(suffix, "STEP", 1000)
     rng = random.Random(3)

@@ -4,7 +4,9 @@ A window (a string of the given length) is filed under its minimizer: the place
 k-byte gram hashes lowest. Equal windows have equal minimizers, so windows filed under different
 grams need no comparison. Consecutive windows with one minimizer form a segment. A gram that
 occurs once is done with; segments that are equal whole are repeated whole; the distinct segments
-of a gram go to one shard, where they are indexed together: suffixes sorted, the Burrows-Wheeler
+of a gram go to one shard, where they are indexed together (of a gram with very many, strings under
+a core of bytes that they share: equal ones are counted, distinct ones are indexed, and where these
+are very many too, their single windows are counted): suffixes sorted, the Burrows-Wheeler
 transform cut into runs, suffixes sampled at the run ends, and the longest match of every
 position streamed from the samples (within a run a match shrinks by one byte per step).
 Every position whose match is as long as a window is marked.
@@ -32,6 +34,8 @@ INDEX_BYTES = 2 << 20
 WIDE_GRAM = 200
 #: Window starts that are filed together for such a gram.
 BAND = 8
+#: Distinct strings under one core beyond which single windows are counted.
+WIDE_CORE = 200
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _POSITION = np.uint64((1 << 24) - 1)
@@ -225,8 +229,8 @@ def repeated_spans(parts: list[bytes], window: int) -> list[list[tuple[int, int]
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
-    """Distinct segments' bytes, filed: shard key, gram, content, offset in the segment, bytes."""
-    schema = "shard long, gram long, content long, low int, body binary"
+    """Distinct segments' bytes, filed: shard key, gram, content, offset in the segment, bytes, whether cut into bands."""
+    schema = "shard long, gram long, content long, low int, body binary, wide boolean"
 
     def filed(bytes_: bytes, place: int) -> Iterator[tuple[int, int, bytes]]:
         """Bands of window starts at fixed distances before the gram, under the bytes all share."""
@@ -246,34 +250,34 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
                 for part in wanted.as_py():
                     piece = body[part["start"]:part["start"] + part["length"]]
                     if part["wide"]:
-                        rows += [(s, part["gram"], part["content"], a, x) for s, a, x in filed(piece, part["place"])]
+                        rows += [(s, part["gram"], part["content"], a, x, True) for s, a, x in filed(piece, part["place"])]
                     else:
-                        rows.append((part["gram"], part["gram"], part["content"], 0, piece))
+                        rows.append((part["gram"], part["gram"], part["content"], 0, piece, False))
                 for i in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(
                         zip(*rows[i:i + 5000], strict=True),
-                        (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                        ["shard", "gram", "content", "low", "body"])
+                        (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)],
+                        ["shard", "gram", "content", "low", "body", "wide"])
 
     return texts.mapInArrow(work, schema)
 
 
 def _indexed(filed: DataFrame, window: int) -> DataFrame:
-    """(gram, content, begin, end): spans of distinct segments that match elsewhere.
+    """(gram, content, begin, end, band): spans of distinct segments or bands that match elsewhere.
 
-    Rows come sorted by shard; so many bytes are indexed at once, whole shards only.
+    Rows come sorted by shard, which has a bounded number of them; so many bytes are indexed at once, whole shards only.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes, bool]] = []
         size = 0
 
         def answer(rows: list) -> pa.RecordBatch:
             spans = repeated_spans([r[4] for r in rows], window)
-            out = [(r[1], r[2], r[3] + a, r[3] + b) for r, found in zip(rows, spans, strict=True) for a, b in found]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            out = [(r[1], r[2], r[3] + a, r[3] + b, r[5]) for r, found in zip(rows, spans, strict=True) for a, b in found]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                ["gram", "content", "begin", "end"])
+                [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)],
+                ["gram", "content", "begin", "end", "band"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -285,7 +289,46 @@ def _indexed(filed: DataFrame, window: int) -> DataFrame:
         if held:
             yield answer(held)
 
-    return filed.mapInArrow(work, "gram long, content long, begin int, end int")
+    return filed.mapInArrow(work, "gram long, content long, begin int, end int, band boolean")
+
+
+def _matched(filed: DataFrame, window: int) -> DataFrame:
+    """(gram, content, begin, end): spans of filed rows (as of ``_cut``, stored) that match elsewhere.
+
+    Bands with equal bytes are counted and repeated whole; only distinct ones are compared further.
+    """
+    spark = filed.sparkSession
+    filing = ["shard", "gram", "content", "low", "body"]
+    bands = filed.where("wide")
+    bodies, bodies_path = stored(bands.groupBy("shard", "body").agg(F.count(F.lit(1)).alias("n")).select(
+        "shard", F.xxhash64("body").alias("key"), "n", "body"), "band-bodies")
+    cores, cores_path = stored(bodies.groupBy("shard").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select(
+        "shard", (F.col("_k") > WIDE_CORE).alias("many")), "band-cores")
+    compared, compared_path = stored(bodies.join(cores, "shard").select("shard", "key", "body", "many"), "compared-bodies")
+
+    few = compared.where("NOT many").select("shard", F.col("shard").alias("gram"), F.col("key").alias("content"), F.lit(0).alias("low"), "body")
+    narrow = filed.where("NOT wide").select(*filing)
+    indexed = narrow.withColumn("band", F.lit(False)).unionByName(few.withColumn("band", F.lit(True)))
+    size = indexed.agg(F.sum(F.length("body"))).first()[0] or 0
+    tasks = max(1, -(-size // (4 * INDEX_BYTES)))
+    found, found_path = stored(_indexed(indexed.repartition(tasks, "shard").sortWithinPartitions("shard"), window), "indexed-spans")
+
+    single = compared.where("many").select("shard", "key", "body", F.explode(
+        F.sequence(F.lit(0), F.length("body") - window)).alias("begin"))
+    string = F.substring("body", F.col("begin") + 1, F.lit(window))
+    single = single.select("shard", "key", "begin", F.xxhash64(string).alias("_x"), F.hash(string).alias("_y"))
+    name = ["shard", "_x", "_y"]
+    twice, twice_path = stored(single.groupBy(*name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*name), "repeated-windows")
+    spans = single.join(twice, name).select("shard", "key", "begin", (F.col("begin") + window).alias("end")).unionByName(
+        bodies.where("n > 1").select("shard", "key", F.lit(0).alias("begin"), F.length("body").alias("end"))).unionByName(
+        found.where("band").select(F.col("gram").alias("shard"), F.col("content").alias("key"), "begin", "end"))
+    spans, spans_path = stored(spans.groupBy("shard", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "band-spans")
+    of_bands = bands.select("shard", F.xxhash64("body").alias("key"), "gram", "content", "low").join(
+        spans, ["shard", "key"]).select("gram", "content", "low", F.explode("spans").alias("_s")).select(
+        "gram", "content", (F.col("low") + F.col("_s.begin")).alias("begin"), (F.col("low") + F.col("_s.end")).alias("end"))
+    marks, _ = stored(of_bands.unionByName(found.where("NOT band").drop("band")), "matched-spans")
+    drop_stored(spark, bodies_path, cores_path, compared_path, found_path, twice_path, spans_path)
+    return marks
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -323,10 +366,10 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     wanted = distinct.join(wide, "gram").groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key")).agg(
         F.collect_list(F.struct("gram", "content", "one.start", "one.length", "one.place", "wide")).alias("wanted"))
     texts = _owned(rows, wanted, "inner").select("text", "wanted")
-    size = distinct.agg(F.sum("one.length")).first()[0] or 0
-    tasks = max(1, -(-size // (4 * INDEX_BYTES)))
-    filed = _cut(texts, window).repartition(tasks, "shard").sortWithinPartitions("shard")
-    marks = _indexed(filed, window).unionByName(distinct.where("n > 1").select(
+    filed, filed_path = stored(_cut(texts, window), "filed-segments")
+    marks = _matched(filed, window)
+    drop_stored(documents.sparkSession, filed_path)
+    marks = marks.unionByName(distinct.where("n > 1").select(
         "gram", "content", F.lit(0).alias("begin"), F.col("one.length").alias("end")))
     marks = marks.groupBy("gram", "content").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
     # one more key than marks are grouped by: the join deals both sides itself and can split a segment of very many copies

@@ -271,17 +271,26 @@ def json_files_logs(spark, folder):
     return jobs.load_logs(spark, path, "files").select(*_LOG_COLUMNS)
 
 
+#: Logs of an array file at most.
+ARRAY_LOGS = 1 << 15
+
+
 def _array_files(spark, folder, path, edit=None):
-    """Arrays of logs, one file for each value of pos % 13; ``edit`` changes a file's text."""
+    """Arrays of logs: a folder for each value of pos % 13, in it a file for each range of pos.
+
+    The number of files grows with the logs. ``edit`` changes a file's text, ``tail`` tells the last one of a folder.
+    """
     rows = process_logs(spark, folder)
     camel = rows.withColumnsRenamed({
         "process_id": "processId", "parent_process_id": "parentProcessId", "process_name": "processName", "user_id": "userId"})
     record = F.to_json(F.struct(*_camel_records(spark, folder).columns))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", record.alias("r")))), lambda x: x["r"]), ", ")
-    files = camel.groupBy((F.col("pos") % 13).alias("file")).agg(F.concat(F.lit("["), text, F.lit("]")).alias("value"))
+    file, block = (F.col("pos") % 13).alias("file"), F.floor(F.col("pos") / (13 * ARRAY_LOGS)).alias("block")
+    files = camel.groupBy(file, block).agg(F.concat(F.lit("["), text, F.lit("]")).alias("value"))
     if edit is not None:
-        files = files.withColumn("value", edit)
-    files.write.partitionBy("file").text(path)
+        last = camel.select(file, block).groupBy("file").agg(F.max("block").alias("last"))
+        files = files.join(F.broadcast(last), "file").withColumn("tail", F.col("block") == F.col("last")).withColumn("value", edit)
+    files.select("file", "block", "value").write.partitionBy("file", "block").text(path)
 
 
 @query
@@ -301,8 +310,8 @@ def python_literal_logs(spark, folder):
 
 
 def _cut_files():
-    """Two of the files end inside their last log."""
-    return F.when(F.col("file").isin(3, 7), F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+    """The last files of two folders end inside their last log."""
+    return F.when(F.col("file").isin(3, 7) & F.col("tail"), F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
 
 
 @query
@@ -315,7 +324,7 @@ def broken_tail_logs(spark, folder):
 
 @query
 def file_errors(spark, folder):
-    """Records and errors by file, where some files end inside a log."""
+    """Records and errors by folder, where some files end inside a log."""
     path = new_folder(spark, "file-errors")
     _array_files(spark, folder, path, _cut_files())
     decoded = json_logs.read_json_files(spark, path)

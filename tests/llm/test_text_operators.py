@@ -184,6 +184,21 @@ def test_toxicity_catches_planted_words_and_spares_the_rest(spark):
     assert kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def test_shared_counts_do_not_saturate(spark):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = [(i, f"{w} hub {w} HUB, {w} rare{i % 7}") for i, w in enumerate(words)] + [(None, None), (-1, ""), (-2, "hub")]
+    before = defaultdict(set)
+    for _, text in rows:
+        own = words_of(text)
+        for left, right in zip(own, own[1:], strict=False):
+            (hashed,) = word_hashes(np.frombuffer(right.encode(), np.uint8), np.array([0, len(right)]), MARKS)[0].tolist()
+            before[hashed >> (64 - toxicity.SHARED_BITS)].add(left)
+    got = {r.bucket: r.contexts for r in toxicity.shared_counts(data.documents(spark, rows)).collect()}
+    assert got == {bucket: len(lefts) for bucket, lefts in before.items()}
+    assert max(got.values()) > 2900
+
+
 def test_toxicity_without_labels_or_classes(spark, strange, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(strange, none).collect()} == {0}

@@ -26,6 +26,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tracehold.llm.common import MARKS, drop_stored, mix, slices, stored, word_hashes
 
 WORD_BITS, PAIR_BITS, SHARED_BITS = 20, 21, 18
+#: Bits of a word before that count as its name, and parts that pairs of words are dealt to.
+BEFORE_BITS, PART_BITS = 30, 12
+#: Pairs of words that a task holds before it sends them.
+HELD_CODES = 1 << 21
 #: Labelled rows that the models and the score are fitted on, about so many of each class at most.
 TOXIC_ROWS, ORDINARY_ROWS = 8_000, 16_000
 #: Contexts of a word or of a pair of words that are left to the backoff.
@@ -72,21 +76,70 @@ def _followers(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def shared_counts(documents: DataFrame) -> DataFrame:
-    """(bucket, contexts): a 64-slot sketch of the different words before those of a bucket, over all documents."""
+    """(bucket, contexts): how many different words stand before those of a bucket, over all documents.
+
+    Words before are told apart by ``BEFORE_BITS`` bits of their hashes, so n of them are counted too low by a
+    share of n / 2**(BEFORE_BITS + 1). A task sends its different pairs once, sorted and as differences, dealt to
+    parts of even size.
+    """
+    low, parts = np.int64((1 << BEFORE_BITS) - 1), np.int64((1 << PART_BITS) - 1)
+    part_shift, bucket_shift = np.uint64(64 - SHARED_BITS), np.int64(BEFORE_BITS - PART_BITS)
+
+    def packed(codes: np.ndarray) -> pa.RecordBatch:
+        edges = np.searchsorted(codes >> (SHARED_BITS + bucket_shift), np.arange(parts + 2))
+        some = np.flatnonzero(np.diff(edges))
+        blobs = []
+        for i in some.tolist():
+            gaps = np.diff(codes[edges[i]:edges[i + 1]], prepend=i << int(SHARED_BITS + bucket_shift))
+            blobs.append((b"\x04" + gaps.astype("<u4").tobytes()) if gaps.max() < 1 << 32 else b"\x08" + gaps.astype("<u8").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], ["part", "codes"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = np.zeros(1 << SHARED_BITS, dtype=np.int64)
+        held, size = [], 0
         for batch in batches:
-            for _, _, words, first, _ in _words(batch, 0):
+            for _, _, data, offsets in slices(batch.column(0)):
+                words, first = word_hashes(data, offsets, MARKS)
                 at = _followers(words, first)
-                slot = np.int64(1) << (words[at - 1] & 63)
-                np.bitwise_or.at(before, words[at] >> (WORD_BITS - SHARED_BITS), slot)
-        some = np.flatnonzero(before)
-        for i in range(0, len(some), 50_000):
-            part = some[i:i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(before[part])], ["bucket", "contexts"])
+                bucket = (words[at] >> part_shift).astype(np.int64)
+                before = (words[at - 1] >> np.uint64(64 - BEFORE_BITS)).astype(np.int64)
+                # a part, a bucket and the upper bits tell the lower bits of the word before
+                part = (before ^ mix(bucket.astype(np.uint64)).view(np.int64)) & parts
+                held.append(np.unique((((part << SHARED_BITS) | bucket) << bucket_shift) | ((before & low) >> PART_BITS)))
+                size += len(held[-1])
+                if size > HELD_CODES:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > HELD_CODES // 2:
+                        yield packed(held[0])
+                        held, size = [], 0
+        if size:
+            yield packed(np.unique(np.concatenate(held)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+
+        def answer() -> pa.RecordBatch:
+            bucket, n = np.unique((np.unique(np.concatenate(held)) >> bucket_shift), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket & np.int64((1 << SHARED_BITS) - 1)), pa.array(n)], ["bucket", "contexts"])
+
+        for batch in batches:
+            for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and now != part:
+                    yield answer()
+                    held, size = [], 0
+                part = now
+                gaps = np.frombuffer(blob, "<u4" if blob[0] == 4 else "<u8", offset=1).astype(np.int64)
+                held.append(np.cumsum(gaps))
+                size += len(gaps)
+                if size > HELD_CODES:
+                    held = [np.unique(np.concatenate(held))]
+                    size = 0  # so many more before the next time
+        if held:
+            yield answer()
 
     rows = documents.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "bucket long, contexts long").groupBy("bucket").agg(F.bit_or("contexts").alias("contexts"))
+    dealt = rows.mapInArrow(work, "part long, codes binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(counted, "bucket long, contexts long").groupBy("bucket").agg(F.sum("contexts").alias("contexts"))
 
 
 def _counts(sample: DataFrame, of_stems: bool = False) -> DataFrame:
@@ -134,10 +187,8 @@ def _dense(frame: DataFrame, key: str, value: str, bits: int) -> np.ndarray:
 def fit_models(documents: DataFrame, sample: DataFrame) -> Model:
     """The models from all documents' shared counts and a bounded sample (text, toxic) of labelled rows."""
     shared = shared_counts(documents).toArrow()  # at most 2**SHARED_BITS rows
-    masks = shared["contexts"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8)
-    filled = np.unpackbits(masks, axis=1).sum(axis=1)
     contexts = np.ones(1 << SHARED_BITS)  # words never seen have one context
-    contexts[shared["bucket"].to_numpy()] += -64 * np.log(np.maximum(64 - filled, 0.5) / 64)
+    contexts[shared["bucket"].to_numpy()] += shared["contexts"].to_numpy()
     # a bucket's share is dealt evenly to the word buckets in it
     backoff = contexts / contexts.sum() / (1 << (WORD_BITS - SHARED_BITS))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracehold.llm import ann, chat, minhash, orc_tokens, packing, pii, sharding, suffix, tiling, toxicity
+from tracehold.llm import ann, chat, fim, minhash, orc_tokens, packing, pii, sharding, suffix, tiling, toxicity, trie, windows
 from tracehold.llm.common import table
 from tracehold.session import new_folder
 
@@ -71,6 +71,21 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
+def op11_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the words of 50-word windows that start in an earlier document."""
+    return windows.digests(windows.removals(table(spark, folder, "documents"), window=50))
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt in groups of 20."""
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut and rearranged for filling in the middle, and restored."""
+    return fim.digests(fim.piece_tables(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_prefix_forest": op1_hash_prefix_forest,
     "op2_sharding": op2_sharding,
@@ -82,6 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_string_tiling": op9_string_tiling,
     "op10_minhash": op10_minhash,
+    "op11_window_dedup": op11_window_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLES: dict[str, str] = {"op8_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_chat_formatting": chat.ORACLE,
+    "op11_window_dedup": windows.ORACLE,
+    "op12_conversation_trie": trie.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
+}

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from contextlib import suppress
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tracehold.functions.hashing import feature_seed, hex_mod, seeds_of_digests
 from tracehold.functions.text import contains_any, strip, strip_fences, two_decimals
 from tracehold.functions import fixed_values as fv
+from tracehold.sources import json_blocks
 from tracehold.sources.json_logs import ObjectCutter
 
 import pandas as pd
@@ -76,3 +78,72 @@ def test_two_decimals(spark, values):
     values += [0.0, 0.855, 0.125, 3.125, 94.44444, 1 / 3, 99.999, 7025.11, 1234567.891]
     frame = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     assert [r[0] for r in frame.select(two_decimals(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]
+
+
+def cut_whole(text):
+    """Objects of a text up to where it is bad."""
+    cutter, found = json_blocks.ObjectCutter(), []
+    with suppress(ValueError, SyntaxError):
+        for record in cutter.feed(text):
+            found.append(record)
+    return found
+
+
+def cut_by_blocks(text, places):
+    """Objects of a text cut by blocks that begin behind some of its closing braces, and whether it is bad."""
+    pieces = text.split("}")[:-1] if text.endswith("}") else text.split("}")
+    if not pieces:
+        return [], False
+    edges = sorted({0, *(p % len(pieces) for p in places)})
+    texts = ["}".join(pieces[a:b]) for a, b in zip(edges, [*edges[1:], len(pieces)], strict=True)]
+    blocks = []
+    for a, t in zip(edges, texts, strict=True):
+        quotes, maps = list(json_blocks.QUOTES), [json_blocks.DepthMap() for _ in range(3)]
+        for k, m in enumerate(maps):
+            found, quotes[k] = json_blocks.brackets(t + "}", quotes[k])
+            m.feed(found)
+        lists = [m.lists() for m in maps]
+        blocks.append({"src_file": "f", "src_block": a, "size": len(text), "bytes": len(t) + 1, "quotes": quotes,
+                       "depths": [x[0] for x in lists], "ended": [x[1] for x in lists], "shifts": [m.shift for m in maps]})
+    rows, parts = [], {}
+    for begin, t in zip(json_blocks.begins(blocks), texts, strict=True):
+        for row in json_blocks._cut_block(begin, iter([(t, True)])):
+            if row[4] is None:
+                rows.append((row[1], row[2]))
+            else:
+                parts.setdefault((row[4], row[5]), []).append((row[6], row[2], row[1]))
+    for (kind, opened), found in parts.items():
+        found.sort()
+        last = [n for _, _, n in found if n is not None]
+        if found[0][0] == opened and last:
+            body = "".join(x for _, x, _ in found)
+            try:
+                if kind == "object":
+                    rows.append((last[0], json_blocks.as_json(body)))
+                else:
+                    json_blocks.check_between(body)
+            except (ValueError, SyntaxError):
+                rows.append((last[0], None))
+    bad = min((n for n, r in rows if r is None), default=None)
+    good = sorted((n, r) for n, r in rows if r is not None and (bad is None or n < bad))
+    assert [n for n, _ in good] == list(range(len(good)))
+    return [r for _, r in good], bad is not None
+
+
+NESTED = st.recursive(
+    st.sampled_from([1, None, True, "a}b", "{", "'", '"', "\\", "}x[", ""]),
+    lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from(["a", "}", "{'"]), x, max_size=3)), max_leaves=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.fixed_dictionaries({"v": NESTED}), st.sampled_from(["x}{", "}}", 5])), max_size=5),
+       st.sampled_from(["array", "literal", "pretty"]), st.lists(st.integers(0, 60), max_size=5),
+       st.one_of(st.none(), st.tuples(st.integers(0, 200), st.sampled_from(["", "{", "}", "[", '"', "'", "x"]))))
+def test_blocks_give_what_the_whole_text_gives(values, layout, places, edit):
+    text = {"array": json.dumps, "literal": repr, "pretty": lambda v: "\n".join(json.dumps(x, indent=1) for x in v)}[layout](values)
+    if edit and text:
+        at = edit[0] % len(text)
+        text = text[:at] + edit[1] + text[at + 1:]
+    whole, (found, bad) = cut_whole(text), cut_by_blocks(text, places)
+    assert found == whole[:len(found)] and (bad or found == whole)
+    assert (found, bad) == cut_by_blocks(text, [])

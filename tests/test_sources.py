@@ -1,13 +1,15 @@
 import gzip
 import json
+from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracehold.operators.normalize import canonical_logs
 from tracehold.plans import jobs
 from tracehold.plans.jobs import load_logs
 from tracehold.sinks.logs import write_logs
-from tracehold.sources import archives, json_logs, labelled_csv
+from tracehold.sources import archives, json_blocks, json_logs, labelled_csv
 
 LOGS = [
     {"processId": 7, "parentProcessId": "1", "args": ["-c", {"x": 1}], "is_evil": 1},
@@ -99,7 +101,7 @@ def test_truncated_records_are_not_completed(spark, tmp_path):
     assert [r.process_id for r in json_logs.accepted(parsed).collect()] == ["1"]
     assert json_logs.rejects(parsed).count() == 1
     decoded = json_logs.read_json_files(spark, path)
-    assert [r.record for r in json_logs.good_records(decoded).collect()] == ['{"process_id": 1}']
+    assert [json.loads(r.record) for r in json_logs.good_records(decoded).collect()] == [{"process_id": 1}]
     with pytest.raises(Exception, match="not read whole"):
         json_logs.read_logs(spark, path).collect()
     assert json_logs.read_logs(spark, path, partial=True).count() == 1
@@ -139,13 +141,72 @@ def test_records_across_splits_keep_their_order(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = json_logs.read_json_files(spark, path, rows_per_batch=100).orderBy("src_row").collect()
+        rows = json_logs.read_json_files(spark, path).orderBy("src_row").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [json.loads(r.record)["process_id"] for r in rows] == [str(i) for i in range(3000)]
     assert [r.src_row for r in rows] == list(range(3000))
 
 
+@contextmanager
+def small_blocks(spark, size=4096):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def file_pieces(spark, path):
+    texts = spark.read.text(path, lineSep="}")
+    return texts.select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
+        F.monotonically_increasing_id().alias("src_row"), F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_size").alias("size"))
+
+
+LONG = [{"process_id": str(i), "cmdLine": "x}{'é" * (i % 90), "args": [{"a": {"b": i}}, "]"]} for i in range(500)]
+
+
+GIANT = [LONG[0], {"process_id": "long", "cmdLine": '}"{' * 20_000}, *LONG[1:]]
+
+
+@pytest.mark.parametrize("text,objects", [
+    (json.dumps(LONG), LONG), (repr(LONG), LONG), ("".join(map(json.dumps, LONG)), LONG), (json.dumps(LONG, indent=1), LONG),
+    (json.dumps([x for r in LONG for x in (r, "}" * 500)]), LONG), (json.dumps(GIANT), GIANT)])
+def test_one_file_is_cut_by_many_blocks(spark, tmp_path, text, objects):
+    write(tmp_path, "b.json", '{"process_id": "other"}')
+    path = write(tmp_path, "a.json", text)
+    with small_blocks(spark):
+        pieces = file_pieces(spark, path)
+        assert json_blocks.summaries(pieces).count() > 10
+        rows = json_blocks.cut_files(pieces, sent_blocks=0 if objects is GIANT else 1000).where(
+            "src_file LIKE '%a.json'").orderBy("src_row").collect()
+    assert [r.error for r in rows if r.error] == []
+    assert [r.src_row for r in rows] == list(range(len(objects)))
+    assert [json.loads(r.record) for r in rows] == objects
+
+
+@pytest.mark.parametrize("edit,error", [
+    (lambda t: t[:-40], "ends inside"), (lambda t: t.replace('{"process_id": "400"', '} {"process_id": "400"'), "no log object"),
+    (lambda t: t.replace('{"process_id": "400"', '" {"process_id": "400"'), ""), (lambda t: t + " oops {", "no log object"), (lambda t: "oops" + t, "no log object")])
+def test_a_long_file_is_bad_from_some_place_on(spark, tmp_path, edit, error):
+    text = edit(json.dumps(LONG))
+    with small_blocks(spark):
+        rows = json_logs.read_json_files(spark, write(tmp_path, "a.json", text)).orderBy("src_row").collect()
+    good, bad = [r for r in rows if r.error is None], [r for r in rows if r.error is not None]
+    assert len(bad) == 1 and error in bad[0].error
+    one_block = json_logs.read_json_files(spark, write(tmp_path, "a.json", text)).orderBy("src_row").collect()
+    assert [r.record for r in good] == [r.record for r in one_block if r.error is None]
+    assert [r.src_row for r in bad] == [r.src_row for r in one_block if r.error]
+
+
+def test_values_keep_their_text(spark, tmp_path):
+    path = write(tmp_path, "a.json", '[{"process_id": 12345678901234567890.123, "cmdLine": "\\u00e9"}]')
+    assert json_logs.read_json_files(spark, path).first().record == '{"process_id": 12345678901234567890.123, "cmdLine": "\\u00e9"}'
+    assert load_logs(spark, path).first().process_id == load_logs(spark, path, "lines").first().process_id
+
+
 def test_compressed_files_of_any_layout(spark, tmp_path):
     assert shown(load_logs(spark, write(tmp_path, "a.json.gz", gzip.compress(json.dumps(LOGS).encode())))) == EXPECTED
 

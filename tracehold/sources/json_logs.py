@@ -6,7 +6,7 @@ Three readers, by what the files look like:
 * ``read_json_objects`` pretty-printed objects, back to back or in an indented
   array; splittable at the closing brace's line.
 * ``read_json_files``   any layout (arrays, objects on one line, Python literals,
-  broken tails); one task per file, which holds one object at a time.
+  broken tails); all blocks of a file are cut at once, each task holds one object at a time.
 
 None limits the size of a file. Each returns text records with their input
 position (``src_file``, ``src_block``, ``src_row``); ``parse_json`` turns the text
@@ -15,8 +15,6 @@ into columns. Input position is what "last one wins" and "first N logs" order by
 
 from __future__ import annotations
 
-import ast
-import json
 import re
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
@@ -25,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tracehold.functions.text import once
+from tracehold.session import materialize
+from tracehold.sources.json_blocks import COMPRESSED, ObjectCutter, cut_files
 
 INPUT_ORDER = ("src_file", "src_block", "src_row")
 
@@ -43,7 +43,6 @@ DECODED = (
 )
 #: Not blank, and not only the marks that an array has between its objects.
 _MORE_THAN_MARKS = r"[^\s,\[\]]"
-_COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
 
 def _text_records(texts: DataFrame, row: Column) -> DataFrame:
@@ -82,133 +81,41 @@ def read_json_objects(spark: SparkSession, path, object_end: str = "\n}") -> Dat
     size = F.octet_length("value") + len(object_end.encode())
     files = texts.select(
         F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_size").alias("_size"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"), size.alias("_bytes"),
-    ).groupBy("src_file", "_size").agg(F.sum("_bytes").alias("_bytes"), F.max("_at").alias("_at"))
-    whole = F.lower("src_file").rlike("(" + "|".join(re.escape(x) for x in _COMPRESSED) + ")$")
-    open_ends = files.where((F.col("_bytes") > F.col("_size")) & ~whole).select(
-        "src_file", F.col("_at")["file_block_start"].alias("src_block"), F.col("_at")["col2"].alias("src_row"), F.lit("").alias("_end"))
+        F.col("_metadata.file_block_start").alias("src_block"), F.monotonically_increasing_id().alias("src_row"), size.alias("_bytes"),
+    ).groupBy("src_file", "_size", "src_block").agg(F.sum("_bytes").alias("_bytes"), F.max("src_row").alias("src_row")).groupBy(
+        "src_file", "_size").agg(F.sum("_bytes").alias("_bytes"), F.max(F.struct("src_block", "src_row")).alias("_at"))
+    whole = F.lower("src_file").rlike("(" + "|".join(re.escape(x) for x in COMPRESSED) + ")$")
+    open_ends = materialize(files.where((F.col("_bytes") > F.col("_size")) & ~whole).select(
+        "src_file", "_at.src_block", "_at.src_row", F.lit("").alias("_end")), "open-ends")
+    # at most one row per file; where all files are whole, no piece is looked up
+    ended = pieces.join(open_ends, list(INPUT_ORDER), "left") if open_ends.limit(1).count() else pieces.withColumn("_end", F.lit(None).cast("string"))
     return (
-        pieces.join(open_ends, list(INPUT_ORDER), "left")
-        .withColumn("record", F.regexp_replace("record", r"^[\s,\[\]]+", ""))
+        ended.withColumn("record", F.regexp_replace("record", r"^[\s,\[\]]+", ""))
         .filter((F.col("record") != "") & ~F.col("record").rlike(r"^\s+$"))
         .select(*INPUT_ORDER, F.concat("record", F.coalesce("_end", F.lit(object_end))).alias("record"))
     )
 
 
-class ObjectCutter:
-    """Cuts log objects out of a text that comes in pieces, and gives them as JSON.
-
-    Objects are JSON or Python literals; between them white space, commas, brackets and
-    plain values may stand. Only an object that is not closed yet is held.
-    """
-
-    _MARKS = re.compile(r"\\.|[\"'{}\[\]]", re.DOTALL)
-    _BETWEEN = re.compile(
-        r"(?:[\s,\[\]\ufeff]|[-+]?[0-9][0-9.eE+-]*|true|false|null|True|False|None"
-        r"|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')*", re.DOTALL)
-
-    def __init__(self) -> None:
-        self.held: list[str] = []
-        self.depth, self.quote = 0, ""
-
-    def feed(self, text: str) -> Iterator[str]:
-        """The objects that end in this piece; ValueError at anything that is no log object."""
-        at = 0  # what stands before is done with, or belongs to the open object
-        for mark in self._MARKS.finditer(text):
-            sign = mark.group()
-            if self.quote:
-                if sign == self.quote:
-                    self.quote = ""
-            elif sign in ("\"", "'"):
-                self.quote = sign
-            elif sign == "{" or (sign == "[" and self.depth):
-                if not self.depth:
-                    self._between(text[at:mark.start()])
-                    at = mark.start()
-                self.depth += 1
-            elif sign in ("}", "]") and self.depth:
-                self.depth -= 1
-                if not self.depth:
-                    yield self._as_json("".join([*self.held, text[at:mark.end()]]))
-                    self.held, at = [], mark.end()
-        self.held.append(text[at:])
-
-    def _between(self, text: str) -> None:
-        text = "".join([*self.held, text])
-        self.held = []
-        if not self._BETWEEN.fullmatch(text):
-            raise ValueError(f"no log object: {text.strip()[:60]!r}")
-
-    @staticmethod
-    def _as_json(text: str) -> str:
-        try:
-            return json.dumps(json.loads(text), ensure_ascii=False)
-        except ValueError:
-            return json.dumps(ast.literal_eval(text), ensure_ascii=False, default=str)
-
-    def close(self) -> None:
-        if self.depth:
-            raise ValueError("the file ends inside an object")
-        self._between("")
-
-
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     types = {"src_file": pa.string(), "src_block": pa.int64(), "src_row": pa.int64(), "record": pa.string(), "error": pa.string()}
     columns = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
 
-def read_json_files(spark: SparkSession, path, pattern: str = "*", rows_per_batch: int = 2000) -> DataFrame:
+def read_json_files(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
     """Records of files in any layout, with an ``error`` row for a file that is bad from some place on.
 
-    Files are cut at closing braces by the text reader, so nothing longer than an object is held;
-    the pieces of a file meet in one task, in order. The end of an uncompressed file is told
-    exactly; a compressed one that lacks nothing but its last brace counts as whole.
+    Files are cut at closing braces by the text reader, and all blocks of a file are cut into objects at
+    once (``json_blocks``); nothing longer than an object is held. The end of an uncompressed file is told
+    exactly; a compressed one that lacks nothing but its last brace counts as whole. Records keep the
+    text of their file if it is JSON; Python literals become JSON. ``src_row`` numbers the objects of a file.
     """
     texts = spark.read.option("pathGlobFilter", pattern).text(path, lineSep="}")
     pieces = texts.select(
         F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_block"),
         F.monotonically_increasing_id().alias("src_row"), F.col("value").cast("binary").alias("piece"),
         F.col("_metadata.file_size").alias("size"))
-    pieces = pieces.repartition("src_file").sortWithinPartitions(*INPUT_ORDER)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, cutter, count, seen, rows, whole = None, None, 0, 0, [], True
-
-        def ended() -> list[tuple]:
-            """What is left of a file, with the brace after its last piece if it has one."""
-            out = []
-            try:
-                if cutter is not None:
-                    if whole and (cutter.depth or not name.lower().endswith(_COMPRESSED)):
-                        out = [(name, 0, count, record, None) for record in cutter.feed("}")]
-                    cutter.close()
-            except (ValueError, SyntaxError) as problem:
-                out.append((name, 0, count + len(out), None, f"{type(problem).__name__}: {problem}"))
-            return out
-
-        for batch in batches:
-            for file, _, _, piece, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if file != name:
-                    rows += ended()
-                    name, cutter, count, seen = file, ObjectCutter(), 0, 0
-                text = ("}" if seen else "") + piece.decode("utf-8", errors="replace")
-                seen += len(piece) + 1
-                whole = seen <= size or file.lower().endswith(_COMPRESSED)
-                if cutter is not None:
-                    try:
-                        for record in cutter.feed(text):
-                            rows.append((name, 0, count, record, None))
-                            count += 1
-                    except (ValueError, SyntaxError, MemoryError, RecursionError) as problem:
-                        rows.append((name, 0, count, None, f"{type(problem).__name__}: {problem}"))
-                        cutter = None  # the rest of the file is not read
-                if len(rows) >= rows_per_batch:
-                    yield _as_batch(rows)
-                    rows = []
-        yield _as_batch(rows + ended())
-
-    return pieces.mapInArrow(run, DECODED)
+    return cut_files(pieces).select("src_file", F.lit(0).cast("long").alias("src_block"), "src_row", "record", "error")
 
 
 def decode_files(files: DataFrame, decode: Callable[[BinaryIO], Iterator[str]], rows_per_batch: int = 5000) -> DataFrame:

@@ -1,11 +1,13 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracehold.operators import graph, scoring, training
 from tracehold.plans import jobs
 from tracehold.plans.queries import digest_model
+from tracehold.sources.merge_store import MergeStore
 from tracehold.streaming import jobs as streaming
 
 
@@ -74,6 +76,69 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert rows(edges) == rows(graph.spawn_edges(logs))
 
 
+def merged_rows(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
+def test_merge_store_after_many_loads(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = MergeStore(spark, path, ["k"], lambda r: r.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("at")),
+                       buckets=4, fanout=3)
+    with pytest.raises(ValueError, match="nothing"):
+        store.read()
+    expected, at = {}, 0
+    for load in range(50):
+        rows = []
+        for k in {load % 7, (load * load) % 11, None if load == 9 else 100 + load}:
+            at += 1
+            rows.append((k, f"{load}-{k}", at))
+            expected[k] = rows[-1][1:]
+        frame = spark.createDataFrame(rows, "k long, v string, at long")
+        before = store.runs()
+        assert store.add(frame, load)
+        touched = {r._b for r in frame.select(store._bucket(4).alias("_b")).collect()}
+        assert {r for r in before if r[0] not in touched} <= set(store.runs())  # other buckets are not rewritten
+        if load % 10 == 3:
+            assert not store.add(spark.createDataFrame([(1, "again", 10**6)], "k long, v string, at long"), load)
+    assert {r.k: (r.v, r["at"]) for r in store.read().collect()} == expected
+    assert len(store.runs()) <= 4 * 2 * 4  # buckets, runs of a level, levels
+    files = store.read().inputFiles()
+    assert len(files) == len(store.runs())
+    on_disk = [f for f in (tmp_path / "store").rglob("*.parquet")]
+    assert len(on_disk) <= 3 * len(files) + 8  # what neither of the last two manifests names is gone
+    other = store.copy_to(str(tmp_path / "copy"), buckets=2)
+    assert merged_rows(other.read().where("k IS NOT NULL")) == merged_rows(store.read().where("k IS NOT NULL"))
+    assert len(other.runs()) <= 2 and not other.add(frame, 49) and other.add(frame.limit(0), 50)
+
+
+def test_a_load_that_fails_leaves_no_trace(spark, tmp_path, monkeypatch):
+    store = MergeStore(spark, str(tmp_path / "store"), ["k"], lambda r: r.distinct(), buckets=2, fanout=2)
+    frame = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    store.add(frame(1, 2, 3), 0)
+    runs = store.runs()
+    with monkeypatch.context() as broken:
+        broken.setattr("tracehold.sources.merge_store.write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.add(frame(4, 5, 6), 1)
+    assert store.runs() == runs and merged_rows(store.read()) == [(1,), (2,), (3,)]
+    assert store.add(frame(4, 5), 1) and merged_rows(store.read()) == [(k,) for k in range(1, 6)]
+
+
+def test_grown_graph_is_copied_and_grows_on(spark, tmp_path):
+    logs = jobs.load_logs(spark, incoming(tmp_path / "in"), "lines").withColumn("timestamp", F.col("timestamp") + 0)
+    part = lambda k: logs.where(F.pmod(F.hash("timestamp"), F.lit(3)) == k)
+    old, new = str(tmp_path / "graph"), str(tmp_path / "copy")
+    for k in (0, 1):
+        streaming.add_to_graph(part(k), old, k, ["timestamp"], buckets=3)
+    streaming.compact_graph(spark, old, new)
+    for k in (1, 2):
+        streaming.add_to_graph(part(k), new, k, ["timestamp"])
+    nodes, edges = streaming.read_grown_graph(spark, new)
+    text = lambda f: sorted(tuple(map(str, r)) for r in f.collect())
+    assert text(nodes) == text(graph.process_nodes(logs, ["timestamp"])) and text(edges) == text(graph.spawn_edges(logs))
+    assert text(streaming.read_grown_typed_edges(spark, new)) == text(graph.typed_edges(logs))
+
+
 def test_stream_upsert_by_arrival(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -78,9 +78,31 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{getattr(_scope, 'path', None) or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, place = _located(spark, path)
+    system.delete(place, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    system, place = _located(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it is there as a whole or not at all."""
+    system, place = _located(spark, path)
+    part = place.suffix(".part")
+    out = system.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not system.rename(part, place):
+        raise OSError(f"{path} could not be written")
 
 
 @contextmanager

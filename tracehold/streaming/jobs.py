@@ -12,6 +12,7 @@ from tracehold.operators import evaluate, graph, prompts, scoring
 from tracehold.operators.normalize import canonical_logs
 from tracehold.plans.jobs import triage
 from tracehold.session import scratch
+from tracehold.sources.merge_store import MergeStore
 from tracehold.sources.json_logs import INPUT_ORDER, accepted, parse_json, stream_json_lines
 
 
@@ -73,8 +74,8 @@ def upsert_graph(
 ) -> DataStreamWriter:
     """Add each micro-batch to a growing graph.
 
-    A batch writes only its own reduced links, one folder per batch, so the cost
-    is that of the batch and a retry replaces its own folder. Readers merge (``read_grown_graph``); ``compact_graph`` folds the folders into one.
+    A batch is reduced to its links and typed edges, and these are merged into the stores level by level
+    (``MergeStore``): its cost is that of the batch and of the buckets it fills, and a retry changes nothing.
     "Last" is by arrival, or by ``order`` where the logs carry their own order.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -89,26 +90,32 @@ def upsert_graph(
     return logs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
-def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER) -> None:
-    """Write one load's links and typed edges; the same load twice changes nothing."""
-    links = graph.spawn_links(logs, order)
-    links.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    graph.typed_edges(logs).write.mode("overwrite").parquet(f"{_typed(path)}/batch={batch_id}")
+def link_store(spark: SparkSession, path: str, **options) -> MergeStore:
+    """The links of a growing graph, one per (src, dst): the last command by input position wins."""
+    return MergeStore(spark, path, ["src", "dst"], graph.merge_links, **options)
 
 
-def _typed(path: str) -> str:
-    """Where the typed edges of a growing graph are: beside its links."""
-    return f"{path.rstrip('/')}-typed"
+def typed_edge_store(spark: SparkSession, path: str, **options) -> MergeStore:
+    """The distinct typed edges of a growing graph, beside its links."""
+    keys = ["rel", "src", "dst", "port", "timestamp", "type"]
+    return MergeStore(spark, f"{path.rstrip('/')}-typed", keys, lambda rows: rows.distinct(), **options)
+
+
+def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER, **options) -> None:
+    """Merge one load's links and typed edges in; the same load twice changes nothing."""
+    spark = logs.sparkSession
+    link_store(spark, path, **options).add(graph.spawn_links(logs, order), batch_id, merged=True)
+    typed_edge_store(spark, path, **options).add(graph.typed_edges(logs), batch_id, merged=True)
 
 
 def read_grown_typed_edges(spark: SparkSession, path: str) -> DataFrame:
     """Distinct typed edges over all loads so far; file and network nodes come from them."""
-    return spark.read.parquet(_typed(path)).drop("batch").distinct()
+    return typed_edge_store(spark, path).read()
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Links of all loads so far, merged: the last command by input position wins."""
-    return graph.merge_links(spark.read.parquet(path).drop("batch"))
+    """Links of all loads so far."""
+    return link_store(spark, path).read()
 
 
 def read_grown_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +124,7 @@ def read_grown_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return graph.nodes_of(links), graph.edges_of(links)
 
 
-def compact_graph(spark: SparkSession, path: str, new_path: str) -> None:
-    """Fold all loads into batch -1 of a new folder; later loads go on from there."""
-    read_links(spark, path).write.mode("overwrite").parquet(f"{new_path}/batch=-1")
-    read_grown_typed_edges(spark, path).write.mode("overwrite").parquet(f"{_typed(new_path)}/batch=-1")
+def compact_graph(spark: SparkSession, path: str, new_path: str, buckets: int | None = None) -> None:
+    """Copy a growing graph with one run per bucket; later loads go on there."""
+    link_store(spark, path).copy_to(new_path, buckets)
+    typed_edge_store(spark, path).copy_to(f"{new_path.rstrip('/')}-typed", buckets)

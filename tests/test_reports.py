@@ -64,6 +64,19 @@ def test_failed_calls_stay_in_the_denominator(spark):
     assert (row.tp, row.fp, row.tn, row.fn, row.n, row.accuracy) == (1, 1, 1, 0, 4, 0.5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 30, 700, 5000])
+def test_tasks_pass_on_all_that_may_be_in_the_sample(spark, n):
+    rows = spark.range(0, 4000, 1, 5).selectExpr("id", "CAST(id % 7 = 0 AS INT) AS _class", "CAST(pmod(hash(id), 65536) AS INT) AS _range")
+    everything, got = rows.collect(), evaluate._low_rows(rows, n).collect()
+    assert set(got) <= set(everything)
+    for kind in (0, 1):
+        lowest = sorted((r for r in everything if r._class == kind), key=lambda r: r._range)[:n]
+        assert {r._range for r in lowest} <= {r._range for r in got if r._class == kind}
+        assert all(r in got for r in everything if r._class == kind and lowest and r._range <= lowest[-1]._range)
+    if n == 1:
+        assert len(got) < 200
+
+
 def test_balanced_sample(spark):
     logs = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") % 100 == 0).cast("int").alias("is_evil"))
     sample = evaluate.balanced_sample(logs, ["pos"], n=20, seed=1)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracehold.functions import fixed_values as fv
 from tracehold.functions.hashing import sample_key
 from tracehold.functions.numeric import ratio
+from tracehold.session import materialize
 
 Result = TypeVar("Result")
 
@@ -88,28 +91,55 @@ def balanced_sample(
 ) -> DataFrame:
     """min(n, class size) rows per class without replacement, by hashed key.
 
-    Rows are counted per class and hash range; ranges below the one that the n-th row
-    falls into are taken whole, and only that one is ranked. No class ever meets in one
-    task, and the logs are read twice: for the counts, and for the rows.
+    The logs are read once. A task passes on a row only if fewer than n rows of its class that it has seen
+    lie in lower hash ranges; the rows of all tasks that may be among the lowest n are stored. Of these, the hash
+    ranges (65,536) that lie below the n-th row are taken whole, and only the one that it falls into is
+    ranked. No class ever meets in one task, and a task holds counts only, whatever n is.
     """
     columns = [F.col(c) for c in key]
     hashed = logs.withColumn("_class", F.when(F.col(label) == 1, 1).otherwise(0)).withColumn(
         "_key", sample_key(seed, *columns)
-    )
-    ranges = hashed.withColumn("_range", F.substring("_key", 1, 4))  # 65,536 at most
-    before = Window.partitionBy("_class").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    counts = ranges.groupBy("_class", "_range").agg(F.count("*").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    )
-    last = counts.filter(F.col("_before") < n).groupBy("_class").agg(
-        F.max(F.struct("_range", "_before")).alias("_last")
-    )
-    near = ranges.join(F.broadcast(last), "_class").filter(F.col("_range") <= F.col("_last._range"))
-    place = F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_key", *columns))
-    taken = (F.col("_range") < F.col("_last._range")) | (F.col("_rank") <= n - F.col("_last._before"))
-    return near.withColumn("_rank", place).filter(taken).select(*logs.columns)
+    ).withColumn("_range", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
+    ranges = materialize(_low_rows(hashed, n), "sample-candidates")
+    counts = ranges.groupBy("_class", "_range").agg(F.count("*").alias("_n")).collect()  # 2 x 65,536 at most
+    whole, split, left = F.lit(False), F.lit(False), F.lit(0)
+    for kind in (0, 1):
+        at, before = 1 << 16, 0
+        for row in sorted((r for r in counts if r["_class"] == kind), key=lambda r: r["_range"]):
+            if before + row["_n"] > n:
+                at = row["_range"]
+                break
+            before += row["_n"]
+        whole = whole | ((F.col("_class") == kind) & (F.col("_range") < at))
+        split = split | ((F.col("_class") == kind) & (F.col("_range") == at))
+        left = F.when(F.col("_class") == kind, n - before).otherwise(left)
+    place = F.row_number().over(Window.partitionBy("_class").orderBy("_key", *columns))
+    ranked = ranges.filter(split).withColumn("_rank", place).filter(F.col("_rank") <= left)
+    return ranges.filter(whole).unionByName(ranked.drop("_rank")).select(*logs.columns)
+
+
+def _low_rows(hashed: DataFrame, n: int) -> DataFrame:
+    """The rows that may be among the n of their ``_class`` with the lowest ``_range`` (16 bits), task by task.
+
+    Only these two columns go to Python.
+    """
+    @F.pandas_udf("boolean")
+    def may_be_taken(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        seen = np.zeros((2, 1 << 16), dtype=np.int64)
+        limit = [1 << 16, 1 << 16]  # the range in which the n-th row is so far
+        for kinds, ranges in batches:
+            kinds, ranges = kinds.to_numpy(), ranges.to_numpy()
+            keep = np.zeros(len(ranges), dtype=bool)
+            for kind in (0, 1):
+                mine = (kinds == kind) & (ranges <= limit[kind])
+                seen[kind] += np.bincount(ranges[mine], minlength=1 << 16)
+                total = np.cumsum(seen[kind])
+                limit[kind] = int(np.searchsorted(total, n)) if total[-1] >= n else 1 << 16
+                keep |= mine & (ranges <= limit[kind])
+            yield pd.Series(keep)
+
+    kept = may_be_taken.asNondeterministic()("_class", "_range")  # hangs on the rows before, so it is asked once per row
+    return hashed.withColumn("_kept", kept).filter("_kept").drop("_kept")
 
 
 def shuffled(sample: DataFrame, key: Sequence[str], seed: int = 1) -> DataFrame:

@@ -94,12 +94,44 @@ def test_gradient_with_spread_hot_nodes(spark):
     negatives = spark.createDataFrame([(i, (i * 5 + 3) % 12) for i in range(12)], "src long, dst long")
     graph = training.prepare(None, frame, nodes)
     plain = training.gradient(graph, w, negatives, 12)
-    graph.hot_sources, graph.hot_targets = {edges[0][0]: 8}, {edges[0][1]: 8, edges[1][1]: 3}
+    graph = training.prepare(None, frame, nodes, task_rows=1, buckets=5)
+    assert graph.edges.hot and graph.edges.table.select("src", "part").distinct().count() > len({s for s, _ in edges})
     spread = training.gradient(graph, w, negatives, 12)
     assert abs(plain[0] - spread[0]) < 1e-9
     assert all(np.allclose(plain[1][k], spread[1][k]) for k in w)
 
 
+def test_an_epoch_leaves_the_edges_where_they_are(spark):
+    x, edges, nodes, frame = small_graph(spark)
+    graph = training.prepare(None, frame, nodes, buckets=12)
+    embedded = nodes.selectExpr("idx", "1.0D AS scale", *[f"CAST(x{i} AS DOUBLE) AS z{i}" for i in range(16)])
+    drawn = spark.range(20).selectExpr("id AS slot", "id % 12 AS src", "id % 7 AS dst")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        with gcn.copartitioned(spark):
+            for frame in (training.embed(graph, training.initial_weights(0)), training.score_edges(graph, embedded),
+                          graph.edges.spread_sum(embedded, ["z0"], reverse=True), graph.edges.without(drawn)):
+                plan = frame._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+                scans = [k for k, line in enumerate(plan.splitlines()) if "FileScan" in line and "part#" in line and "src#" in line]
+                lines, depth = plan.splitlines(), lambda line: len(line) - len(line.lstrip(" :+-*"))
+                for scan in scans:  # between the edges and their join there is no exchange
+                    above = depth(lines[scan])
+                    for line in reversed(lines[:scan]):
+                        if depth(line) < above:
+                            above = depth(line)
+                            assert "Exchange" not in line
+                            if "Join" in line:
+                                break
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.src, r.dst) for r in graph.edges.without(drawn).collect()) == sorted(
+        {(i % 12, i % 7) for i in range(20)} - set(edges) - {(i, i) for i in range(12)})
+
+
 def test_fit_lowers_loss_and_separates(spark, tmp_path):
     ids = [(f"p{i}", f"cmd{i % 6}") for i in range(40)]
     edges = sorted({(f"p{a}", f"p{(a * 7 + b) % 40}") for a in range(40) for b in (1, 2)})

@@ -9,15 +9,18 @@ side hot nodes are spread by ``lookup``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracehold.functions.hashing import draw
 from tracehold.functions.numeric import bce_with_logits, dot, sigmoid
 from tracehold.functions.text import once
-from tracehold.operators.skew import join_ends, lookup
-from tracehold.session import materialize
+from tracehold.operators.skew import TASK_ROWS, hot_keys, join_ends, lookup
+from tracehold.session import materialize, new_folder
 
 
 def columns(prefix: str, width: int) -> list[str]:
@@ -74,6 +77,13 @@ def spread_sum(
     sent = lookup(edges.select(sender, receiver), sender, table, "_n", "inner", hot).selectExpr(
         f"{receiver} AS idx", *names, *[f"0.0D AS {c}" for c in carry]
     )
+    return _received(sent, values, names, own, carry)
+
+
+def _received(
+    sent: DataFrame, values: DataFrame, names: Sequence[str], own: Sequence[str] | None, carry: Sequence[str]
+) -> DataFrame:
+    """Sums of what nodes are sent and of their own rows."""
     kept = values.selectExpr(
         "idx", *[f"{o} AS {n}" for o, n in zip(own or names, names)], *carry
     )
@@ -98,6 +108,104 @@ def propagate(edges: DataFrame, values: DataFrame, names: Sequence[str]) -> Data
     return sums.select("idx", *[(F.col(c) * F.col("_scale")).alias(c) for c in names])
 
 
+# edges that stay where they are: a part per source, and values sent to the parts that ask for them
+
+
+@contextmanager
+def copartitioned(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile may join on (part, node) rows that lie by part alone, without dealing them anew."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@dataclass
+class PartedEdges:
+    """Edges stored in buckets of ``part``, and for each node the parts that hold it as a source or target.
+
+    All edges of a source lie in one part, those of a hot source (``hot``: tasks by node) in several. A
+    round sends each node's values to its parts, at most ``parts`` copies, and the edges are read in place.
+    """
+
+    table: DataFrame  # part, src, dst
+    routes: DataFrame  # idx, src_parts, dst_parts
+    parts: int
+    buckets: int
+    hot: dict
+
+    @property
+    def straight(self) -> DataFrame:
+        return loopless(self.table)
+
+    def placed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the part that an edge of that kind lies in, dealt by it."""
+        return _with_part(pairs, self.parts, self.hot).repartition(self.buckets, "part")
+
+    def sent(self, values: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
+        """(_part, _n, names): values of nodes at the parts that hold them as ``end``.
+
+        Values that have the columns of ``routes`` already are not joined with them.
+        """
+        if f"{end}_parts" not in values.columns:
+            values = values.join(self.routes.select("idx", f"{end}_parts"), "idx")
+        return values.selectExpr(
+            f"explode({end}_parts) AS _part", "idx AS _n", *[f"{c} AS {n}" for c, n in names.items()])
+
+    def with_ends(self, edges: DataFrame, values: DataFrame, end: str, names: dict[str, str]) -> DataFrame:
+        """Edges with the values of one end under new names."""
+        rows = self.sent(values, end, names)
+        return edges.join(rows, (F.col("part") == F.col("_part")) & (F.col(end) == F.col("_n"))).drop("_part", "_n")
+
+    def spread_sum(self, values: DataFrame, names: Sequence[str], reverse: bool = False,
+                   own: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+        """``spread_sum`` of this module over these edges without their loops."""
+        sender, receiver = ("dst", "src") if reverse else ("src", "dst")
+        moved = self.with_ends(self.straight, values, sender, {c: c for c in names}).selectExpr(
+            f"{receiver} AS idx", *names, *[f"0.0D AS {c}" for c in carry])
+        return _received(moved, values, names, own, carry)
+
+    def without(self, drawn: DataFrame) -> DataFrame:
+        """(slot, src, dst): distinct drawn pairs that are no edge and no self-pair, each with its lowest slot."""
+        pairs = self.placed(loopless(drawn)).groupBy("part", "src", "dst").agg(F.min("slot").alias("slot"))
+        return pairs.join(self.table, ["part", "src", "dst"], "left_anti").select("slot", "src", "dst")
+
+
+def _with_part(pairs: DataFrame, parts: int, hot: dict) -> DataFrame:
+    salt = F.lit(0).cast("long")
+    if hot:
+        known = F.broadcast(pairs.sparkSession.createDataFrame(list(hot.items()), "_hot long, _tasks int"))
+        pairs = pairs.join(known, F.col("src") == F.col("_hot"), "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("_tasks").cast("long")), salt)
+    part = F.pmod(F.xxhash64("src", salt), F.lit(parts)).cast("int")
+    return pairs.withColumn("part", part).drop("_hot", "_tasks")
+
+
+def part_edges(edges: DataFrame, nodes: DataFrame, task_rows: int = TASK_ROWS, buckets: int | None = None) -> PartedEdges:
+    """Store (src, dst) edges by part. Moves them once; a bucket is a task of every later round.
+
+    ``buckets`` is the number of shuffle partitions at least (the planner would deal fewer anew); a part is a
+    quarter of a bucket.
+    """
+    spark = edges.sparkSession
+    buckets = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, hot = 4 * buckets, hot_keys(edges, "src", task_rows)
+    name = f"tracehold_edges_{uuid.uuid4().hex}"
+    rows = _with_part(edges.select("src", "dst"), parts, hot).select("part", "src", "dst")
+    rows.repartition(buckets, "part").write.bucketBy(buckets, "part").option("path", new_folder(spark, "parted-edges")).saveAsTable(name)
+    table = spark.table(name)
+    routes = nodes.select("idx")
+    for end in ("src", "dst"):
+        held = table.groupBy(F.col(end).alias("idx")).agg(F.collect_set("part").alias(f"{end}_parts"))
+        routes = routes.join(held, "idx", "left")
+    none = F.array().cast("array<int>")
+    routes = routes.select("idx", *[F.coalesce(f"{end}_parts", none).alias(f"{end}_parts") for end in ("src", "dst")])
+    return PartedEdges(table, materialize(routes, "edge-routes"), parts, buckets, hot)
+
+
 def edge_scores(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Add ``score`` (dot product of endpoint vectors) and ``anomaly`` to (src, dst) pairs."""
     source = vectors.select(F.col(key).alias("_s"), F.col(vector).alias("_vs"))
@@ -136,11 +244,14 @@ def _without_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.filter(F.col("src") != F.col("dst")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def drawn_pairs(edges: DataFrame, n_nodes: int, slots: int, label: str = "0") -> DataFrame:
+def drawn_pairs(
+    edges: DataFrame, n_nodes: int, slots: int, label: str = "0", without: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(slot, src, dst): distinct random pairs that are no edge and no self-pair.
 
     Pairs are hashes of a label and a slot number, so a retried task draws the
-    same pairs; a pair drawn repeatedly has its lowest slot.
+    same pairs; a pair drawn repeatedly has its lowest slot. ``without`` leaves out edges and self-pairs
+    (``PartedEdges.without``); by default a join with ``edges`` does.
     """
     n = F.lit(n_nodes)
     drawn = edges.sparkSession.range(slots).select(
@@ -148,6 +259,8 @@ def drawn_pairs(edges: DataFrame, n_nodes: int, slots: int, label: str = "0") ->
         draw(f"{label}:src", F.col("id"), n).alias("src"),
         draw(f"{label}:dst", F.col("id"), n).alias("dst"),
     )
+    if without is not None:
+        return without(drawn)
     return _without_edges(drawn.groupBy("src", "dst").agg(F.min("slot").alias("slot")), edges)
 
 
@@ -169,7 +282,8 @@ def all_pairs(edges: DataFrame, n_nodes: int, label: str = "0") -> DataFrame:
 
 
 def enough_pairs(
-    edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0", free: int | None = None
+    edges: DataFrame, n_nodes: int, n_samples: int, label: str = "0", free: int | None = None,
+    without: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, int]:
     """Stored (slot, src, dst) rows that hold at least min(``n_samples``, free pairs) pairs, and that number.
 
@@ -187,7 +301,7 @@ def enough_pairs(
     if 1.1 * share < 0.5:
         slots = int(-total * math.log1p(-1.1 * share)) + 64
         while slots < 2 * total:
-            drawn = materialize(drawn_pairs(edges, n_nodes, slots, label), "drawn-pairs")
+            drawn = materialize(drawn_pairs(edges, n_nodes, slots, label, without), "drawn-pairs")
             if drawn.count() >= wanted:
                 return drawn, wanted
             slots *= 2

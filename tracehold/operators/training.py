@@ -1,7 +1,7 @@
 """Fit the two-layer graph autoencoder with distributed full-batch gradients.
 
-Each epoch is one Spark job over two static tables (nodes with propagated
-features, loopless edges). The driver holds only the 1,072 weights. Propagation
+Each epoch works on static tables: nodes with propagated features, and edges that stay in the
+parts they are stored in, to which values are sent (``gcn.PartedEdges``). The driver holds only the 1,072 weights. Propagation
 is linear, so both forward and backward passes move 16 columns per node:
 
     Z  = P (relu(AX W1 + b1) W2) + b2      AX = P X, computed once
@@ -26,7 +26,7 @@ from tracehold.functions import fixed_values as fv
 from tracehold.functions.numeric import bce_with_logits, sigmoid
 from tracehold.operators import gcn
 from tracehold.operators.features import node_features
-from tracehold.operators.skew import hot_keys, lookup
+from tracehold.operators.skew import TASK_ROWS, join_ends, lookup
 from tracehold.session import materialize
 from tracehold.sources.graph_store import weight_shapes, write_weights
 
@@ -51,24 +51,28 @@ class TrainingGraph:
     """The static tables of a fit."""
 
     nodes: DataFrame  # idx, scale = 1/sqrt(degree), a0.. = propagated features
-    edges: DataFrame  # src, dst without self-loops
-    all_edges: DataFrame  # src, dst as given; the positive pairs
+    edges: gcn.PartedEdges  # all edges as given, in parts that stay in place
     n_nodes: int
     n_edges: int
-    hot_sources: dict
-    hot_targets: dict
     inputs: int
 
+    @property
+    def all_edges(self) -> DataFrame:
+        """(src, dst): the positive pairs."""
+        return self.edges.table.select("src", "dst")
 
-def prepare(index: DataFrame, edges: DataFrame, features: DataFrame | None = None) -> TrainingGraph:
+
+def prepare(
+    index: DataFrame, edges: DataFrame, features: DataFrame | None = None, task_rows: int = TASK_ROWS, buckets: int | None = None
+) -> TrainingGraph:
     """Propagate the features once and store the static tables."""
     features = node_features(index) if features is None else features
     features = materialize(features, "fit-features")
     names = [c for c in features.columns if c != "idx"]
-    all_edges = materialize(edges.select("src", "dst"), "fit-edges")
-    straight = gcn.loopless(all_edges)
-    spread = gcn.propagate(all_edges, features, names)
-    degree = gcn.in_degree(all_edges, features)
+    parted = gcn.part_edges(edges, features, task_rows, buckets)
+    plain = parted.table.select("src", "dst")
+    degree = gcn.in_degree(plain, features)
+    spread = gcn.propagate(plain, features, names)
     nodes = materialize(
         spread.join(degree, "idx").select(
             "idx",
@@ -77,16 +81,8 @@ def prepare(index: DataFrame, edges: DataFrame, features: DataFrame | None = Non
         ),
         "fit-nodes",
     )
-    return TrainingGraph(
-        nodes=nodes,
-        edges=straight,
-        all_edges=all_edges,
-        n_nodes=nodes.count(),
-        n_edges=all_edges.count(),
-        hot_sources=hot_keys(straight, "src"),
-        hot_targets=hot_keys(straight, "dst"),
-        inputs=len(names),
-    )
+    parted.routes = materialize(parted.routes.join(nodes.select("idx", "scale"), "idx"), "edge-routes")
+    return TrainingGraph(nodes=nodes, edges=parted, n_nodes=nodes.count(), n_edges=plain.count(), inputs=len(names))
 
 
 def _hidden_out(nodes: DataFrame, weights: Weights, inputs: int) -> DataFrame:
@@ -120,22 +116,41 @@ def embed(graph: TrainingGraph, weights: Weights) -> DataFrame:
     width = weights["W2"].shape[1]
     g, o, z = (gcn.columns(p, width) for p in "goz")
     out = _hidden_out(graph.nodes, weights, graph.inputs)
-    sums = gcn.spread_sum(
-        graph.edges, out, g, graph.hot_sources, own=o, carry=["scale"]
-    )
+    sums = graph.edges.spread_sum(out, g, own=o, carry=["scale"])
     return sums.selectExpr("idx", "scale", *[f"{a} * scale AS {b}" for a, b in zip(g, z)])
 
 
+def _dot(width: int) -> str:
+    s, t = gcn.columns("s", width), gcn.columns("t", width)
+    return " + ".join(f"{a} * {b}" for a, b in zip(s, t)) + " AS score"
+
+
 def score_pairs(graph: TrainingGraph, embedded: DataFrame, pairs: DataFrame) -> DataFrame:
     """Add both endpoint embeddings (s0.., t0..) and their dot product to (src, dst, y) pairs."""
     width = sum(c.startswith("z") for c in embedded.columns)
     z, s, t = (gcn.columns(p, width) for p in "zst")
     left = embedded.selectExpr("idx AS _s", *[f"{c} AS {n}" for c, n in zip(z, s)])
     right = embedded.selectExpr("idx AS _t", *[f"{c} AS {n}" for c, n in zip(z, t)])
-    one = lookup(pairs, "src", left, "_s", "inner", graph.hot_sources)
-    both = lookup(one, "dst", right, "_t", "inner", graph.hot_targets)
-    dot = " + ".join(f"{a} * {b}" for a, b in zip(s, t))
-    return both.selectExpr("src", "dst", "y", *s, *t, f"{dot} AS score")
+    return join_ends(pairs, left, "_s", right, "_t").selectExpr("src", "dst", "y", *s, *t, _dot(width))
+
+
+def score_edges(graph: TrainingGraph, embedded: DataFrame) -> DataFrame:
+    """``score_pairs`` of all edges (y = 1): the embeddings come to the edges."""
+    width = sum(c.startswith("z") for c in embedded.columns)
+    z, s, t = (gcn.columns(p, width) for p in "zst")
+    one = graph.edges.with_ends(graph.edges.table, embedded, "src", dict(zip(z, s)))
+    both = graph.edges.with_ends(one, embedded, "dst", dict(zip(z, t)))
+    return both.selectExpr("src", "dst", "1.0D AS y", *s, *t, _dot(width))
+
+
+def _score_drawn(embedded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``score_pairs`` of drawn pairs (y = 0); no node is drawn so often as to need spreading."""
+    width = sum(c.startswith("z") for c in embedded.columns)
+    z, s, t = (gcn.columns(p, width) for p in "zst")
+    left = embedded.selectExpr("idx AS _s", *[f"{c} AS {n}" for c, n in zip(z, s)])
+    right = embedded.selectExpr("idx AS _t", *[f"{c} AS {n}" for c, n in zip(z, t)])
+    one = lookup(pairs.select("src", "dst"), "src", left, "_s", "inner", {})
+    return lookup(one, "dst", right, "_t", "inner", {}).selectExpr("src", "dst", "0.0D AS y", *s, *t, _dot(width))
 
 
 def _embedding_gradient(scored: DataFrame, n_positive: int, n_negative: int, width: int) -> DataFrame:
@@ -189,17 +204,14 @@ def gradient(graph: TrainingGraph, weights: Weights, negatives: DataFrame, n_neg
     """Loss and weight gradients of one full batch. Collects 1,073 numbers."""
     width = weights["W2"].shape[1]
     d, q = gcn.columns("d", width), gcn.columns("q", width)
-    embedded = embed(graph, weights).persist(StorageLevel.MEMORY_AND_DISK)
-    pairs = gcn.labelled_edges(graph.all_edges, negatives)
-    scored = score_pairs(graph, embedded, pairs)
+    routed = embed(graph, weights).drop("scale").join(graph.edges.routes, "idx")
+    embedded = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = score_edges(graph, embedded).unionAll(_score_drawn(embedded, negatives))
     by_node = _embedding_gradient(scored, graph.n_edges, n_negative, width)
-    scale = graph.nodes.select("idx", "scale")
-    scaled = by_node.join(scale, "idx").selectExpr(
-        "idx", "loss", *d, *[f"{c} * scale AS {n}" for c, n in zip(d, q)]
+    scaled = by_node.join(graph.edges.routes, "idx").selectExpr(
+        "idx", "dst_parts", "loss", *d, *[f"{c} * scale AS {n}" for c, n in zip(d, q)]
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    back = gcn.spread_sum(
-        graph.edges, scaled, q, graph.hot_targets, reverse=True, carry=[*d, "loss"]
-    )
+    back = graph.edges.spread_sum(scaled, q, reverse=True, carry=[*d, "loss"])
     entries = _weight_gradient(back.join(graph.nodes, "idx"), weights, graph.inputs).collect()
     scaled.unpersist()
     embedded.unpersist()
@@ -255,19 +267,21 @@ def fit(
     weights after each tenth epoch and at the end.
     """
     spark = index.sparkSession
-    graph = prepare(index, edges)
-    weights = initial_weights(seed, graph.inputs, hidden) if weights is None else weights
-    adam, losses = Adam(rate=rate), []
-    free = gcn.free_pairs(graph.all_edges, graph.n_nodes)
-    for epoch in range(1, epochs + 1):
-        drawn, wanted = gcn.enough_pairs(graph.all_edges, graph.n_nodes, graph.n_edges, f"{seed}:{epoch}", free)
-        cut, n_negative = gcn.smallest_cut(drawn, "slot", wanted)
-        negatives = drawn.filter(F.col("slot") < cut)
-        loss, grads = gradient(graph, weights, negatives, n_negative)
-        weights = adam.update(weights, grads)
-        losses.append(loss)
-        if on_epoch:
-            on_epoch(epoch, loss)
-        if weights_path and (epoch % 10 == 0 or epoch == epochs):
-            write_weights(spark, weights, weights_path)
+    with gcn.copartitioned(spark):
+        graph = prepare(index, edges)
+        weights = initial_weights(seed, graph.inputs, hidden) if weights is None else weights
+        adam, losses = Adam(rate=rate), []
+        free = gcn.free_pairs(graph.all_edges, graph.n_nodes)
+        for epoch in range(1, epochs + 1):
+            drawn, wanted = gcn.enough_pairs(
+                graph.all_edges, graph.n_nodes, graph.n_edges, f"{seed}:{epoch}", free, graph.edges.without)
+            cut, n_negative = gcn.smallest_cut(drawn, "slot", wanted)
+            negatives = drawn.filter(F.col("slot") < cut)
+            loss, grads = gradient(graph, weights, negatives, n_negative)
+            weights = adam.update(weights, grads)
+            losses.append(loss)
+            if on_epoch:
+                on_epoch(epoch, loss)
+            if weights_path and (epoch % 10 == 0 or epoch == epochs):
+                write_weights(spark, weights, weights_path)
     return weights, losses

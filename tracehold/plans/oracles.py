@@ -1,8 +1,7 @@
 """SQL equivalents of the registered queries, for DuckDB over the same tables.
 
 Written apart from the DataFrame code: ancestry, for example, joins out all rows
-and ranks them, where the Spark side never builds them. Only the iterative fit has
-no entry.
+and ranks them, where the Spark side never builds them; the fit is written out epoch by epoch.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import hashlib
 import numpy as np
 
 from tracehold.operators import prompts
-from tracehold.operators.training import initial_weights
 
 _LOGS = """
 raw AS (
@@ -275,10 +273,75 @@ non_edges AS (
 )"""
 
 
+def _initial_matrices() -> tuple[np.ndarray, np.ndarray]:
+    """Glorot-uniform 16 x 32 and 32 x 16, drawn one after the other from one seeded stream."""
+    stream = np.random.Generator(np.random.PCG64(0))
+    return tuple(stream.random((rows, columns)) * 2 * (6 / 48) ** 0.5 - (6 / 48) ** 0.5 for rows, columns in ((16, 32), (32, 16)))
+
+
 def _weights() -> str:
     """The initial weight matrices by column; initial biases are zero."""
-    w = initial_weights(0)
-    return f"weights AS (SELECT {_matrix(w['W1'].T)} AS w1, {_matrix(w['W2'].T)} AS w2)"
+    w1, w2 = _initial_matrices()
+    return f"weights AS (SELECT {_matrix(w1.T)} AS w1, {_matrix(w2.T)} AS w2)"
+
+
+def _fit(epochs: int) -> str:
+    """Losses of full-batch Adam steps, forward and backward written out: one set of tables per epoch."""
+    w1, w2 = _initial_matrices()
+    ks, ls = "(SELECT unnest(range(1, 33)) AS k)", "(SELECT unnest(range(1, 17)) AS l)"
+    parts = [f"""
+at0 AS (
+  SELECT name, i, j, CASE name WHEN 'w1' THEN {_matrix(w1.T)}[i][j] WHEN 'w2' THEN {_matrix(w2.T)}[i][j] ELSE 0.0::DOUBLE END AS w,
+    0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+  FROM (SELECT 'w1' AS name, k AS i, l AS j FROM {ks}, {ls} UNION ALL SELECT 'w2', l, k FROM {ks}, {ls}
+        UNION ALL SELECT 'b1', k, 1 FROM {ks} UNION ALL SELECT 'b2', l, 1 FROM {ls})
+)"""]
+    for e in range(1, epochs + 1):
+        matrix = f"(SELECT list(c ORDER BY i) FROM (SELECT i, list(w ORDER BY j) AS c FROM at{e - 1} WHERE name = '%s' GROUP BY i))"
+        vector = f"(SELECT list(w ORDER BY i) FROM at{e - 1} WHERE name = '%s')"
+        parts.append(f"""
+now{e} AS (SELECT {matrix % 'w1'} AS w1, {matrix % 'w2'} AS w2, {vector % 'b1'} AS b1, {vector % 'b2'} AS b2),
+first{e} AS (SELECT idx, x, w2, list_transform(range(1, 33), lambda k: list_dot_product(x, w1[k]) + b1[k]) AS s FROM spread, now{e}),
+hidden{e} AS (SELECT *, list_transform(s, lambda a: greatest(a, 0)) AS h FROM first{e}),
+middle{e} AS (SELECT idx, list_transform(w2, lambda c: list_dot_product(h, c)) AS x FROM hidden{e}),
+summed{e} AS {_spread(f'middle{e}')},
+z{e} AS (SELECT idx, list_transform(range(1, 17), lambda l: x[l] + b2[l]) AS z FROM summed{e}, now{e}),
+non{e} AS (WITH {_negatives(f'0:{e}')} SELECT src, dst FROM non_edges),
+scored{e} AS (
+  SELECT src, dst, y, s.z AS zs, d.z AS zd, list_dot_product(s.z, d.z) AS score, count(*) OVER (PARTITION BY y) AS n
+  FROM (SELECT src, dst, 1.0::DOUBLE AS y FROM pairs UNION ALL SELECT src, dst, 0.0 FROM non{e})
+  JOIN z{e} s ON s.idx = src JOIN z{e} d ON d.idx = dst
+),
+loss{e} AS (SELECT sum((greatest(score, 0.0) + ln(1 + exp(-abs(score))) - y * score) / n) AS loss FROM scored{e}),
+pulled{e} AS (SELECT *, (1 / (1 + exp(-score)) - y) / n AS pull FROM scored{e}),
+back{e} AS (
+  SELECT idx, l, sum(g) AS g FROM (
+    SELECT src AS idx, l, pull * zd[l] AS g FROM pulled{e}, {ls} UNION ALL SELECT dst, l, pull * zs[l] FROM pulled{e}, {ls}
+  ) GROUP BY idx, l
+),
+returned{e} AS (
+  SELECT idx, list(q ORDER BY l) AS q FROM (
+    SELECT e.src AS idx, l, sum(g / sqrt(CAST(s.degree * d.degree AS DOUBLE))) AS q
+    FROM looped e JOIN degree s ON s.idx = e.src JOIN degree d ON d.idx = e.dst JOIN back{e} b ON b.idx = e.dst GROUP BY e.src, l
+  ) GROUP BY idx
+),
+slope{e} AS (
+  SELECT x, h, q, list_transform(range(1, 33), lambda k: CASE WHEN s[k] > 0 THEN
+    list_sum(list_transform(range(1, 17), lambda l: q[l] * w2[l][k])) ELSE 0 END) AS ds FROM hidden{e} JOIN returned{e} USING (idx)
+),
+grads{e} AS (
+  SELECT 'w1' AS name, k AS i, l AS j, sum(x[l] * ds[k]) AS g FROM slope{e}, {ks}, {ls} GROUP BY k, l
+  UNION ALL SELECT 'w2', l, k, sum(h[k] * q[l]) FROM slope{e}, {ks}, {ls} GROUP BY k, l
+  UNION ALL SELECT 'b1', k, 1, sum(ds[k]) FROM slope{e}, {ks} GROUP BY k
+  UNION ALL SELECT 'b2', l, 1, sum(g) FROM back{e} GROUP BY l
+),
+moved{e} AS (
+  SELECT name, i, j, w, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM at{e - 1} JOIN grads{e} USING (name, i, j)
+),
+at{e} AS (
+  SELECT name, i, j, w - 0.01 * (m / (1 - 0.9 ** {e})) / (sqrt(v / (1 - 0.999 ** {e})) + 1e-8) AS w, m, v FROM moved{e}
+)""")
+    return ",".join(parts)
 
 
 def _spread(rows: str) -> str:
@@ -483,16 +546,11 @@ means AS (
 SELECT round(edge_loss, 6) AS edge_loss, round(non_edge_loss, 6) AS non_edge_loss,
   round(edge_loss + non_edge_loss, 6) AS loss FROM means""",
     "negative_edges": f"WITH {_INDEX}, {_negatives('0:1')} SELECT src, dst FROM non_edges",
-    "first_epoch_loss": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}, {_negatives('0:1')},
-logits AS (
-  SELECT y, list_dot_product(s.x, d.x) AS score FROM (
-    SELECT src, dst, 1.0 AS y FROM pairs UNION ALL SELECT src, dst, 0.0 FROM non_edges
-  ) JOIN embedded s ON s.idx = src JOIN embedded d ON d.idx = dst
-),
-losses AS (
-  SELECT y, greatest(score, 0.0) + ln(1 + exp(-abs(score))) - y * score AS loss FROM logits
-)
-SELECT 1 AS epoch, round(avg(loss) FILTER (y = 1.0) + avg(loss) FILTER (y = 0.0), 6) AS loss FROM losses""",
+    "first_epoch_loss": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}, {_fit(1)}
+SELECT 1 AS epoch, round(loss, 6) AS loss FROM loss1""",
+    "fit_losses": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}, {_fit(3)}
+SELECT epoch, round(loss, 6) AS loss FROM (
+  SELECT 1 AS epoch, loss FROM loss1 UNION ALL SELECT 2, loss FROM loss2 UNION ALL SELECT 3, loss FROM loss3)""",
     "dense_negative_edges": """WITH edges AS (
   SELECT DISTINCT user_id % 40 AS src, event_id % 40 AS dst FROM events WHERE ((user_id % 40) * 7 + event_id % 40) % 9 <> 0
 )

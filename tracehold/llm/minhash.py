@@ -30,7 +30,7 @@ from tracehold.session import materialize, new_folder, scratch
 
 BANDS, ROWS = 32, 6
 WORDS = 5
-#: Probability of losing a candidate at or above the threshold by the posterior bound.
+#: Probability of losing a candidate at or above the threshold by the posterior bounds of all looks together.
 MISS = 1e-7
 #: Signature places that are compared before the next decision.
 BATCH = 32
@@ -94,19 +94,22 @@ def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
 
 
 @lru_cache
-def least_matches(n: int, similarity: float, miss: float) -> int:
-    """The fewest of n equal signature places that keep a candidate.
-
-    With a uniform prior the similarity given m of n is Beta(m + 1, n - m + 1); its tail at or
-    above the threshold is a sum of binomial terms. Chance equality of 8-bit places only adds
-    matches, so it never drops a candidate.
+def least_matches(n: int, similarity: float, miss: float, looks: int = 1) -> int:
+    """The fewest of n equal signature places that keep a candidate at one of some looks.
+
+    With a uniform prior the similarity given m of n is Beta(m + 1, n - m + 1); its tail at or above the
+    threshold is P(Binomial(n + 1, s) <= m), which is at most P(Binomial(n, s) <= m), the chance that a pair at
+    the threshold shows so few. A candidate goes where the latter is below ``miss / looks``: so is the
+    posterior tail then, and over all looks a pair at or above the threshold is lost with a probability of at most
+    ``miss``. Chance equality of 8-bit places only adds matches, so it never drops a candidate.
     """
-    def tail(m: int) -> float:  # P(Beta(m+1, n-m+1) >= s) = P(Binomial(n+1, s) <= m)
-        return sum(math.exp(
-            math.lgamma(n + 2) - math.lgamma(k + 1) - math.lgamma(n + 2 - k)
-            + k * math.log(similarity) + (n + 1 - k) * math.log1p(-similarity)) for k in range(m + 1))
-
-    return next((m for m in range(n + 1) if tail(m) >= miss), n)
+    total = 0.0
+    for m in range(n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n + 1 - m)
+                          + m * math.log(similarity) + (n - m) * math.log1p(-similarity))
+        if total >= miss / looks:
+            return m
+    return n
 
 
 def surviving(pairs: DataFrame, percent: int, miss: float = MISS, batch: int = BATCH) -> DataFrame:
@@ -119,10 +122,11 @@ def surviving(pairs: DataFrame, percent: int, miss: float = MISS, batch: int = B
                 continue
             left, right = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1) for c in (2, 3))
             alive, matches = np.arange(rows.num_rows), np.zeros(rows.num_rows, dtype=np.int64)
+            looks = -(-left.shape[1] // batch)
             for at in range(0, left.shape[1], batch):
                 matches[alive] += (left[alive, at:at + batch] == right[alive, at:at + batch]).sum(axis=1)
                 n = min(at + batch, left.shape[1])
-                alive = alive[matches[alive] >= least_matches(n, similarity, miss)]
+                alive = alive[matches[alive] >= least_matches(n, similarity, miss, looks)]
             yield pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(alive)) for c in (0, 1)], ["a", "b"])
 
     return pairs.select("a", "b", "sign_a", "sign_b").mapInArrow(work, "a long, b long")

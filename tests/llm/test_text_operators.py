@@ -1,7 +1,9 @@
 """Operators on documents against brute force, on the smallest tables and on awkward rows."""
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 import hashlib
+from math import comb
 import random
 import re
 import zlib
@@ -360,6 +362,28 @@ def test_labelers_agreeing_win_over_one_that_errs():
     assert right[0] > 0.9 and right[2] > 0.8 and right[3] < 0.6
 
 
+def test_overlapping_spans_are_replaced_whole():
+    text = "at 1.2.3.4 111 1111 1111 1111 now"
+    spans = pii.base_spans(text)
+    assert {k for k, _, _ in spans} == {1, 2} and len(spans) == 2
+    assert pii.replaced(text, spans) == "at <ip><card> now"
+    assert pii.replaced("abcdef", [(0, 1, 5), (1, 2, 4), (2, 5, 6)]) == "a<email><card>"
+    assert pii.replaced("abc", []) == "abc"
+
+
+def test_overlaps_are_decided_among_accepted_candidates():
+    text = "order/555-123-4567 done"
+    kinds = sorted(k for k, _, _ in pii.further_spans(text, []))
+    assert kinds == [4, 5]
+    found = [pii.judged(text, *x)._asdict() for x in pii.further_spans(text, [])]
+    weights = np.zeros(len(pii._encoded(np.zeros(1, dtype=int), np.zeros(1, dtype=int))[0]))
+    for refused, kept in ((4, [5]), (5, [4]), (None, [4])):
+        now = weights.copy()
+        if refused is not None:
+            now[1 + refused] = -1.0
+        assert [k for k, _, _ in pii._decided(found, now)] == kept
+
+
 def test_further_spans_and_redaction(spark, empty):
     rows = [(i, f"note {i} token = \"{hashlib.md5(str(i).encode()).hexdigest()}\" end") for i in range(40)]
     rows += [(100 + i, "version 1234-abcd-longidentifierwithoutmuch plainwordwithoutdigits") for i in range(40)]
@@ -513,8 +537,21 @@ def test_pruning_never_drops_what_reaches_the_threshold():
     rng = np.random.default_rng(13)
     for similarity in (0.85, 0.9, 0.99):
         matches = (rng.random((20_000, 192)) < similarity).cumsum(axis=1)
-        assert all((matches[:, n - 1] >= minhash.least_matches(n, 0.85, minhash.MISS)).all() for n in range(32, 193, 32))
-    assert minhash.least_matches(192, 0.85, minhash.MISS) > 96
+        assert all((matches[:, n - 1] >= minhash.least_matches(n, 0.85, minhash.MISS, 6)).all() for n in range(32, 193, 32))
+    assert minhash.least_matches(192, 0.85, minhash.MISS, 6) > 96
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_all_looks_together_hold_the_miss_probability(percent):
+    at_most = lambda n, m: sum(comb(n, k) * Fraction(percent, 100) ** k * Fraction(100 - percent, 100) ** (n - k) for k in range(m + 1))
+    width, lost = minhash.BANDS * minhash.ROWS, Fraction(0)
+    places = range(minhash.BATCH, width + 1, minhash.BATCH)
+    for n in places:
+        least = minhash.least_matches(n, percent / 100, minhash.MISS, len(places))
+        lost += at_most(n, least - 1)
+        assert at_most(n + 1, least - 1) < minhash.MISS / len(places)  # the posterior tail of what goes
+        assert at_most(n, least) >= minhash.MISS / len(places)  # and nothing more could go
+    assert 0 < lost <= minhash.MISS
 
 
 def test_components_of_paths_stars_and_copies(spark):

@@ -115,7 +115,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def further_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of candidates of other kinds that touch no known span and none another."""
+    """(kind, start, end) of candidates of other kinds that touch no known span; they may overlap each other."""
     found = []
     if _DIGITS.search(text):
         for run in _LONG.finditer(text):
@@ -127,13 +127,12 @@ def further_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
         found += [(5, m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
         found += [(6, m.start(), m.end()) for m in _NATIONAL_ID.finditer(text)]
     taken = sorted((a, b) for _, a, b in known)
-    out, k, end = [], 0, 0
+    out, k = [], 0
     for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if a >= end and (k == len(taken) or taken[k][0] >= b):
+        if k == len(taken) or taken[k][0] >= b:
             out.append((kind, a, b))
-            end = b
     return out
 
 
@@ -289,15 +288,34 @@ def train(candidates: DataFrame) -> np.ndarray:
 
 
 def _decided(candidates: list[dict], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """Base spans, and further candidates that the classifier takes; by kind and start."""
+    """Base spans, and further candidates that the classifier takes; by kind and start.
+
+    Of further ones that it takes and that overlap, the first stays, and of these the longest.
+    """
     out = [(c["kind"], c["start"], c["end"]) for c in candidates if c["kind"] < len(BASE)]
     more = [c for c in candidates if c["kind"] >= len(BASE)]
     if more:
         x = _encoded(np.array([c["kind"] for c in more]), np.array([c["features"] for c in more]))
-        out += [(c["kind"], c["start"], c["end"]) for c, z in zip(more, x @ weights, strict=True) if z >= 0]
+        end = 0
+        for c in sorted((c for c, z in zip(more, x @ weights, strict=True) if z >= 0), key=lambda c: (c["start"], -c["end"])):
+            if c["start"] >= end:
+                out.append((c["kind"], c["start"], c["end"]))
+                end = c["end"]
     return sorted(out)
 
 
+def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text without what any span covers: each stretch is replaced by the kinds of its spans in angle brackets."""
+    parts, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if a >= at:
+            parts += [text[at:a], f"<{KINDS[kind]}>"]
+        elif b > at:
+            parts.append(f"<{KINDS[kind]}>")
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
 def _told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
@@ -332,7 +350,11 @@ def personal_data(documents: DataFrame) -> DataFrame:
 
 
 def redacted(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, with each span replaced by its kind in angle brackets."""
+    """The documents, all columns, with personal data replaced by its kind in angle brackets.
+
+    Spans that overlap are replaced as a whole, by the kinds of all that reach further. Texts without spans, null
+    and empty ones stay as they are; every row stays, repeated rows and rows without a doc_id too.
+    """
     boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
     found, _ = stored(find_candidates(boxed), "pii-candidates")
     weights = train(found)
@@ -342,12 +364,8 @@ def redacted(documents: DataFrame) -> DataFrame:
             rows = batch.column(0)
             texts = []
             for text, one in zip(rows.field("text"), batch.column(1).to_pylist(), strict=True):
-                text, parts, at = text.as_py(), [], 0
-                for kind, a, b in sorted(_decided(one, weights), key=lambda x: (x[1], -x[2])):
-                    if a >= at:
-                        parts += [text[at:a], f"<{KINDS[kind]}>"]
-                        at = b
-                texts.append("".join([*parts, text[at:]]) if parts else text)
+                spans = _decided(one, weights)
+                texts.append(replaced(text.as_py(), spans) if spans else text.as_py())
             yield pa.RecordBatch.from_arrays([rows, pa.array(texts, type=pa.string())], ["_row", "_text"])
 
     schema = StructType([found.schema["_row"]]).add("_text", StringType())

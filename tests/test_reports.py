@@ -1,9 +1,13 @@
+import os
 import threading
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracehold.operators import evaluate, prompts, reports
+from tracehold.operators.answers import AnswerStore
 from tracehold.plans import jobs
 from tracehold.plans.queries import digest_model, rule_analyst
 from tracehold.session import new_folder
@@ -180,3 +184,68 @@ def test_compare_models(spark):
     assert rows["b"].n == 8 and rows["a"].seconds >= 0
     one = jobs.evaluate_model(logs, contexts, rule_analyst, "pos", F.col("args"), n=2).first()
     assert (one.n, one.tp + one.fn, one.fp + one.tn) == (4, 2, 2)
+
+
+def counted_model(folder):
+    """A digest model that leaves a file for each call; it fails where the text says so."""
+    def connect():
+        answer = digest_model()
+
+        def ask(chat):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as file:
+                file.write(chat[-1]["content"])
+            if "fails" in chat[-1]["content"]:
+                raise ValueError("no")
+            return answer(chat)
+
+        return ask
+
+    return connect
+
+
+def test_answers_are_kept_by_content(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    store = AnswerStore(spark, str(tmp_path / "answers"))
+    template = prompts.Template("be brief", "about {what}")
+    frame = lambda *rows: spark.createDataFrame(rows, "id string, what string").select(
+        "id", prompts.messages(template, what=F.col("what")).alias("messages"))
+    ask = lambda f, s=store: {r.id: r for r in s.answer(f, counted_model(str(calls)), "id", attempts=1).collect()}
+    first = ask(frame(("a", "x"), ("b", "x"), ("c", "y"), ("d", "fails")))
+    assert len(os.listdir(calls)) == 3 and first["a"].response == first["b"].response != first["c"].response
+    assert first["d"].response is None and "ValueError" in first["d"].error and first["a"].error is None
+    second = ask(frame(("e", "x"), ("f", "z"), ("g", "fails")), AnswerStore(spark, str(tmp_path / "answers")))
+    assert len(os.listdir(calls)) == 5  # z, and what failed before
+    assert second["e"].response == first["a"].response and second["e"].seconds == 0.0 and second["g"].error
+    other = ask(frame(("e", "x")), AnswerStore(spark, str(tmp_path / "answers"), "other model"))
+    assert len(os.listdir(calls)) == 6 and other["e"].response
+    assert ask(frame(("e", "x")).limit(0)) == {}
+
+
+def test_a_process_is_asked_about_once_over_batches(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    contexts = lambda *ids: spark.createDataFrame([(i, f"context of {i}") for i in ids], "process_id string, context string")
+    store = AnswerStore(spark, str(tmp_path / "answers"))
+    run = lambda *ids: {r.process_id: r.report for r in reports.incident_reports(
+        contexts(*ids), counted_model(str(calls)), store=store).collect()}
+    one, two = run("1", "2"), run("2", "3")
+    assert len(os.listdir(calls)) == 3 * 4 and one["2"] == two["2"]
+    plain = {r.process_id: r.report for r in reports.incident_reports(contexts("1", "2", "3"), digest_model).collect()}
+    assert plain == one | two
+
+
+def test_a_call_that_hangs_is_an_error(spark):
+    def connect():
+        def ask(chat):
+            if "slow" in chat[-1]["content"]:
+                time.sleep(30)
+            return "ok"
+
+        return ask
+
+    frame = spark.createDataFrame([("a", "slow"), ("b", "fast")], "id string, t string").select(
+        "id", prompts.messages(prompts.Template("s", "{t}"), t=F.col("t")).alias("messages"))
+    start = time.monotonic()
+    got = {r.id: r for r in prompts.call_model(frame, connect, "id", attempts=1, timeout=0.5).collect()}
+    assert "TimeoutError" in got["a"].error and got["b"].response == "ok" and time.monotonic() - start < 25

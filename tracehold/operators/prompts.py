@@ -6,7 +6,9 @@ import time
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from queue import Empty, Queue
 from string import Formatter
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -81,6 +83,28 @@ def log_text(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"pretty": "true"})
 
 
+def _within(seconds: float | None, action: Callable[[], str]) -> str:
+    """The action's result; TimeoutError if it takes longer. What hangs is left behind in a daemon thread."""
+    if seconds is None:
+        return action()
+    results: Queue = Queue()
+
+    def run() -> None:
+        try:
+            results.put((action(), None))
+        except Exception as failure:  # noqa: BLE001 - raised again by the caller
+            results.put((None, failure))
+
+    Thread(target=run, daemon=True).start()
+    try:
+        answer, failure = results.get(timeout=seconds)
+    except Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if failure is not None:
+        raise failure
+    return answer
+
+
 def call_model(
     requests: DataFrame,
     connect: Callable[[], Client],
@@ -88,12 +112,13 @@ def call_model(
     tasks: int | None = None,
     concurrency: int = 4,
     attempts: int = 2,
+    timeout: float | None = None,
 ) -> DataFrame:
     """Send (key, messages) rows to a model: (key, response, error, seconds).
 
     ``connect`` runs once per task and returns the client; calls of one task
     overlap up to ``concurrency``. A call that keeps failing gives a row with
-    ``error``. Requests are spread over a fixed number of tasks, since a few slow
+    ``error``; so does one that takes more than ``timeout`` seconds. Requests are spread over a fixed number of tasks, since a few slow
     calls weigh more than many rows. Calls cost money and may have effects, so
     store the result (``materialize``) before using it twice.
     """
@@ -107,7 +132,7 @@ def call_model(
             start, problem = time.monotonic(), None
             for _ in range(attempts):
                 try:
-                    answer = client([dict(m) for m in chat])
+                    answer = _within(timeout, lambda: client([dict(m) for m in chat]))
                     return answer, None, time.monotonic() - start
                 except Exception as failure:  # noqa: BLE001 - reported as a row
                     problem = f"{type(failure).__name__}: {failure}"
@@ -133,14 +158,16 @@ def call_model(
 
 
 def ask_once(
-    rows: DataFrame, key: str, prompt: Column, connect: Callable[[], Client], name: str, **options
+    rows: DataFrame, key: str, prompt: Column, connect: Callable[[], Client], name: str, store=None, **options
 ) -> DataFrame:
     """Add column ``name`` (the model's answer to ``prompt``) to rows unique by ``key``.
 
-    Rows that already carry an ``error`` are not sent. Adds to ``seconds``.
+    Rows that already carry an ``error`` are not sent. Adds to ``seconds``. With a ``store``
+    (``answers.AnswerStore``) equal prompts are one call, and none if it was answered before.
     """
     requests = rows.filter(F.col("error").isNull()).select(key, prompt.alias("messages"))
-    answers = materialize(call_model(requests, connect, key, **options), f"answers-{name}")
+    told = store.answer(requests, connect, key, **options) if store else call_model(requests, connect, key, **options)
+    answers = materialize(told, f"answers-{name}")
     answers = answers.withColumnsRenamed({"response": name, "error": "_error", "seconds": "_s"})
     return (
         rows.join(answers, key, "left")

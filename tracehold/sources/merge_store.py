@@ -109,6 +109,10 @@ class MergeStore:
             return self.spark.createDataFrame([], T.StructType.fromJson(manifest["schema"]))
         return self.merge(self._frame(manifest, manifest["runs"]))
 
+    def loads(self) -> list[int]:
+        """The loads that were added."""
+        return self._manifest()["loads"]
+
     def runs(self) -> list[tuple[int, int, str]]:
         """(bucket, level, folder) of the runs that a reader opens."""
         return [tuple(run) for run in self._manifest()["runs"]]

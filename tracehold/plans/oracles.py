@@ -282,7 +282,18 @@ def _initial_matrices() -> tuple[np.ndarray, np.ndarray]:
 def _weights() -> str:
     """The initial weight matrices by column; initial biases are zero."""
     w1, w2 = _initial_matrices()
-    return f"weights AS (SELECT {_matrix(w1.T)} AS w1, {_matrix(w2.T)} AS w2)"
+    return f"""weights AS (SELECT {_matrix(w1.T)} AS w1, {_matrix(w2.T)} AS w2,
+  {_numbers(np.zeros(32))} AS b1, {_numbers(np.zeros(16))} AS b2)"""
+
+
+def _fitted_weights(epochs: int) -> str:
+    """The weights after so many epochs."""
+    matrix = f"(SELECT list(c ORDER BY i) FROM (SELECT i, list(w ORDER BY j) AS c FROM at{epochs} WHERE name = '%s' GROUP BY i))"
+    vector = f"(SELECT list(w ORDER BY i) FROM at{epochs} WHERE name = '%s')"
+    return f"""weights AS (
+  WITH RECURSIVE {_INDEX}, {_embeddings()}, {_fit(epochs)}
+  SELECT {matrix % 'w1'} AS w1, {matrix % 'w2'} AS w2, {vector % 'b1'} AS b1, {vector % 'b2'} AS b2
+)"""
 
 
 def _fit(epochs: int) -> str:
@@ -371,28 +382,50 @@ middle AS (SELECT idx, list_transform(w2, lambda a: list_dot_product(h, a)) AS x
 embedded AS {_spread('middle')}"""
 
 
-def _pair_scores() -> str:
+def _pair_scores(weights: str) -> str:
     """Scores of table ``pairs`` (p, c) with the vectors ``xp`` and ``xc``, layer by layer."""
     return f"""
-{_weights()},
+{weights},
 layer1 AS (
-  SELECT p, c, w2, list_transform(w1, lambda a: list_dot_product(xp, a)) AS sp,
+  SELECT p, c, w2, b1, b2, list_transform(w1, lambda a: list_dot_product(xp, a)) AS sp,
          list_transform(w1, lambda a: list_dot_product(xc, a)) AS sc FROM pairs, weights
 ),
 hidden AS (
-  SELECT p, c, w2, list_transform(sp, lambda a: greatest(a, 0)) AS hp,
-    list_transform(range(1, 33), lambda k: greatest(sc[k] / 2 + sp[k] / sqrt(2), 0)) AS hc FROM layer1
+  SELECT p, c, w2, b2, list_transform(range(1, 33), lambda k: greatest(sp[k] + b1[k], 0)) AS hp,
+    list_transform(range(1, 33), lambda k: greatest(sc[k] / 2 + sp[k] / sqrt(2) + b1[k], 0)) AS hc FROM layer1
 ),
 layer2 AS (
-  SELECT p, c, list_transform(w2, lambda a: list_dot_product(hp, a)) AS zp,
+  SELECT p, c, b2, list_transform(w2, lambda a: list_dot_product(hp, a)) AS zp,
          list_transform(w2, lambda a: list_dot_product(hc, a)) AS yc FROM hidden
 ),
 pair_scores AS (
   SELECT p, c, 1 / (1 + exp(list_sum(list_transform(range(1, 17), lambda k:
-    zp[k] * (yc[k] / 2 + zp[k] / sqrt(2)))))) AS base_score FROM layer2
+    (zp[k] + b2[k]) * (yc[k] / 2 + zp[k] / sqrt(2) + b2[k]))))) AS base_score FROM layer2
 )"""
 
 
+def _log_scores(weights: str) -> str:
+    return f"""WITH RECURSIVE {_SCORED},
+texts AS (
+  SELECT pos, risky, coalesce(parent_process_id, 'unknown_parent') AS parent_text,
+    coalesce(process_name, 'unknown') || '_' || coalesce(args, '') || '_' || user_id AS child_text
+  FROM scored
+),
+parent_seeds AS (SELECT parent_text, {_seed('parent_text')} AS p FROM (SELECT DISTINCT parent_text FROM texts)),
+child_seeds AS (SELECT child_text, {_seed('child_text')} AS c FROM (SELECT DISTINCT child_text FROM texts)),
+seeds AS (SELECT p AS seed FROM parent_seeds UNION SELECT c FROM child_seeds), {_DRAWS},
+seeded AS (
+  SELECT pos, risky, p, c FROM texts JOIN parent_seeds USING (parent_text) JOIN child_seeds USING (child_text)
+),
+pairs AS (
+  SELECT p, c, a.x AS xp, b.x AS xc FROM (SELECT DISTINCT p, c FROM seeded)
+  JOIN vectors a ON a.seed = p JOIN vectors b ON b.seed = c
+), {_pair_scores(weights)}
+SELECT pos, round(base_score, 6) AS base_score,
+  round(least(0.99, base_score + CASE WHEN risky THEN 0.90 ELSE 0.0 END), 6) AS score
+FROM seeded JOIN pair_scores USING (p, c)"""
+
+
 _VECTORS = """
 n AS (SELECT count(*) AS n FROM embeddings),
 strided AS (SELECT vec_id AS src, (vec_id * 7 + 1) % n AS dst FROM embeddings, n)"""
@@ -561,25 +594,8 @@ seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
 seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}
 SELECT idx, {', '.join(f'CAST(x[{i + 1}] AS FLOAT) AS x{i}' for i in range(16))}
 FROM seeded JOIN vectors USING (seed)""",
-    "log_scores": f"""WITH RECURSIVE {_SCORED},
-texts AS (
-  SELECT pos, risky, coalesce(parent_process_id, 'unknown_parent') AS parent_text,
-    coalesce(process_name, 'unknown') || '_' || coalesce(args, '') || '_' || user_id AS child_text
-  FROM scored
-),
-parent_seeds AS (SELECT parent_text, {_seed('parent_text')} AS p FROM (SELECT DISTINCT parent_text FROM texts)),
-child_seeds AS (SELECT child_text, {_seed('child_text')} AS c FROM (SELECT DISTINCT child_text FROM texts)),
-seeds AS (SELECT p AS seed FROM parent_seeds UNION SELECT c FROM child_seeds), {_DRAWS},
-seeded AS (
-  SELECT pos, risky, p, c FROM texts JOIN parent_seeds USING (parent_text) JOIN child_seeds USING (child_text)
-),
-pairs AS (
-  SELECT p, c, a.x AS xp, b.x AS xc FROM (SELECT DISTINCT p, c FROM seeded)
-  JOIN vectors a ON a.seed = p JOIN vectors b ON b.seed = c
-), {_pair_scores()}
-SELECT pos, round(base_score, 6) AS base_score,
-  round(least(0.99, base_score + CASE WHEN risky THEN 0.90 ELSE 0.0 END), 6) AS score
-FROM seeded JOIN pair_scores USING (p, c)""",
+    "log_scores": _log_scores(_weights()),
+    "fitted_weight_scores": _log_scores(_fitted_weights(3)),
     "node_embeddings": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}
 SELECT idx, {', '.join(f'round(x[{i + 1}], 6) AS z{i}' for i in range(16))} FROM embedded""",
     "edge_anomalies": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}

@@ -502,6 +502,16 @@ def stored_weight_scores(spark, folder):
     return _rounded(scored.select("pos", "base_score", "score"), "base_score", "score")
 
 
+@query
+def fitted_weight_scores(spark, folder):
+    """Weights fitted on the whole graph, stored, read back: the scores they give the logs."""
+    path = new_folder(spark, "weights")
+    index, edges = _indexed_graph(spark, folder)
+    training.fit(index, edges, epochs=3, weights_path=path)
+    scored = scoring.score_logs(process_logs(spark, folder), graph_store.read_weights(spark, path))
+    return _rounded(scored.select("pos", "base_score", "score"), "base_score", "score")
+
+
 @query
 def node_embeddings(spark, folder):
     """Embedding of every node under the initial weights."""

@@ -247,3 +247,30 @@ def test_alert_threshold_is_strict_and_lines(spark):
     assert scored.filter(scoring.is_alert()).count() == 2
     lines = [tuple(r) for r in scoring.alert_lines(scored).collect()]
     assert lines == [("UNKNOWN", "x" * 30, "0.85"), ("UNKNOWN", "unknown", "0.85"), ("UNKNOWN", "cmd", "0.85")]
+
+
+@pytest.mark.parametrize("n, left, wanted", [(30, 100, 20), (30, 100, 50), (30, 100, 51), (30, 100, 99), (30, 100, 100), (2, 1, 1), (300, 7, 3)])
+def test_free_pairs_by_rank(spark, n, left, wanted):
+    """Pairs of a nearly complete graph: exactly so many, distinct, free, the same again."""
+    random = np.random.default_rng(n + left)
+    pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
+    free = {pairs[i] for i in random.choice(len(pairs), left, replace=False)}
+    edges = spark.createDataFrame([p for p in pairs if p not in free] * 2 + [(0, 0)], "src long, dst long")
+    got = [(r.src, r.dst) for r in gcn.dense_free_pairs(edges, n, wanted, left, "a").collect()]
+    assert len(got) == len(set(got)) == wanted and set(got) <= free
+    assert sorted(got) == sorted((r.src, r.dst) for r in gcn.negative_edges(edges, n, wanted, "a").collect())
+
+
+def test_free_gaps_are_ranked_and_cut_by_blocks(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1), (0, 3), (2, 0), (4, 4)], "src long, dst long")
+    taken = {1, 3, 10} | {i * 6 for i in range(5)}
+    free = [p for p in range(25) if p not in taken]
+    gaps = sorted(tuple(r) for r in gcn.free_gaps(edges, 5).collect())
+    assert [p for _, first, length in gaps for p in range(first, first + length)] == free
+    assert [rank for rank, _, _ in gaps] == [free.index(first) for _, first, _ in gaps]
+    monkeypatch.setattr(gcn, "_RUN", 2)  # many blocks and many listings per gap
+    ranks = spark.range(len(free)).selectExpr("id AS rank", "id + 100 AS slot")
+    found = gcn.free_by_rank(gcn.free_gaps(edges, 5), ranks, 5, len(free)).collect()
+    assert sorted((r.slot - 100, r.src * 5 + r.dst) for r in found) == list(enumerate(free))
+    rows = gcn.dense_free_pairs(edges, 5, len(free), len(free)).collect()
+    assert sorted(r.src * 5 + r.dst for r in rows) == free

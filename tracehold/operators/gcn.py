@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tracehold.functions.hashing import draw
 from tracehold.functions.numeric import bce_with_logits, dot, sigmoid
 from tracehold.functions.text import once
+from tracehold.operators.features import dense_index
 from tracehold.operators.skew import TASK_ROWS, hot_keys, join_ends, lookup
 from tracehold.session import materialize, new_folder
 
@@ -264,21 +265,88 @@ def drawn_pairs(
     return _without_edges(drawn.groupBy("src", "dst").agg(F.min("slot").alias("slot")), edges)
 
 
-def all_pairs(edges: DataFrame, n_nodes: int, label: str = "0") -> DataFrame:
-    """(slot, src, dst): every pair that is no edge and no self-pair, in an order set by the label.
+#: Numbers that are listed from one row at a time, and that a block of ranks holds at most.
+_RUN = 1 << 16
 
-    Slots are a shifted multiple of the pair's number modulo their count, which
-    gives each pair a slot of its own.
+
+def free_gaps(edges: DataFrame, n_nodes: int) -> DataFrame:
+    """(rank, first, length): the runs of free pairs, stored.
+
+    The pair (src, dst) has the number ``src * n_nodes + dst``. Taken are edges and self-pairs. Below the i-th
+    taken number k (from 0) there are ``k - i`` free ones, so one range sort of the taken numbers tells the rank at which
+    each gap begins. As the last number is a self-pair, every gap stands before a taken number.
     """
-    total = n_nodes * n_nodes
-    step = next(k for k in range(int(0.618 * total) | 1, 2 * total + 3) if math.gcd(k, total) == 1)
-    shift = F.pmod(F.xxhash64(F.lit(label)), F.lit(total))
-    number = F.col("id").cast("decimal(38,0)")
-    pairs = edges.sparkSession.range(total).select(
-        ((number * step + shift) % total).cast("long").alias("slot"),
-        F.floor(F.col("id") / n_nodes).alias("src"), (F.col("id") % n_nodes).alias("dst"),
+    number = (F.col("src") * F.lit(n_nodes).cast("long") + F.col("dst")).alias("number")
+    own = edges.sparkSession.range(n_nodes).select((F.col("id") * F.lit(n_nodes + 1).cast("long")).alias("number"))
+    taken = loopless(edges).select(number).unionAll(own).distinct()
+    order = dense_index(taken, ["number"], "i")
+    after = order.select((F.col("i") - 1).alias("i"), F.col("number").alias("_next"))
+    gaps = order.join(after, "i").filter(F.col("_next") - F.col("number") > 1).select(
+        (F.col("number") - F.col("i")).alias("rank"),
+        (F.col("number") + 1).alias("first"),
+        (F.col("_next") - F.col("number") - 1).alias("length"),
     )
-    return _without_edges(pairs, edges)
+    return materialize(gaps, "free-gaps")
+
+
+def _counted(frame: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row once per number 0 .. count - 1; no row lists more than ``_RUN`` numbers at once."""
+    runs = frame.selectExpr("*", f"{count} AS _count").selectExpr("*", f"explode(sequence(0L, (_count - 1) div {_RUN})) AS _run")
+    numbers = f"sequence(_run * {_RUN}, least(_run * {_RUN} + {_RUN}, _count) - 1)"
+    return runs.selectExpr("*", f"explode({numbers}) AS {name}").drop("_count", "_run")
+
+
+def _pairs(numbered: DataFrame, n_nodes: int) -> DataFrame:
+    return numbered.selectExpr("slot", f"_number div {n_nodes} AS src", f"_number % {n_nodes}L AS dst")
+
+
+def free_by_rank(gaps: DataFrame, ranks: DataFrame, n_nodes: int, free: int) -> DataFrame:
+    """(slot, src, dst) of distinct (rank, slot) rows: the free pair at each rank.
+
+    Gaps and ranks meet by blocks of ranks. A block is about as long as the mean gap, so a rank is compared with about
+    one gap, and gaps are cut into at most twice as many pieces (or one per ``_RUN`` ranks).
+    """
+    width = max(1, min(_RUN, -(-free // max(1, gaps.count()))))
+    pieces = gaps.withColumnRenamed("rank", "_rank").selectExpr(
+        "*", f"_rank div {width} AS _low", f"(_rank + length - 1) div {width} AS _high")
+    pieces = _counted(pieces, "_high - _low + 1", "_at").selectExpr("_low + _at AS _block", "_rank", "first", "length")
+    found = ranks.selectExpr("*", f"rank div {width} AS _block").join(pieces, "_block").filter(
+        (F.col("rank") >= F.col("_rank")) & (F.col("rank") < F.col("_rank") + F.col("length")))
+    return _pairs(found.selectExpr("slot", "first + rank - _rank AS _number"), n_nodes)
+
+
+def drawn_ranks(spark: SparkSession, free: int, wanted: int, label: str) -> DataFrame:
+    """(rank, slot): exactly ``wanted`` different numbers below ``free``, those of the lowest slots.
+
+    Meant for at most half of them; a number drawn repeatedly has its lowest slot.
+    """
+    slots = int(-free * math.log1p(-1.1 * wanted / free)) + 64
+    while True:
+        numbers = spark.range(slots).select(
+            draw(f"{label}:rank", F.col("id"), F.lit(free)).alias("rank"), F.col("id").alias("slot"))
+        drawn = materialize(numbers.groupBy("rank").agg(F.min("slot").alias("slot")), "drawn-ranks")
+        if drawn.count() >= wanted:
+            cut, _ = smallest_cut(drawn, "slot", wanted)
+            return drawn.filter(F.col("slot") < cut)
+        slots *= 2
+
+
+def dense_free_pairs(edges: DataFrame, n_nodes: int, wanted: int, free: int, label: str = "0") -> DataFrame:
+    """(slot, src, dst): exactly ``wanted`` (1 to ``free``) pairs that are no edge and no self-pair.
+
+    Up to half of the free pairs are drawn by their ranks. Of more, the ranks to leave out are drawn and the others listed.
+    No pair is tried in vain: the cost follows the edges and the wanted pairs.
+    """
+    if free > 1 << 52:
+        raise ValueError("ranks are drawn from 52 bits; a graph with more free pairs is not dense")
+    spark, gaps = edges.sparkSession, free_gaps(edges, n_nodes)
+    if 2 * wanted <= free:
+        return free_by_rank(gaps, drawn_ranks(spark, free, wanted, label), n_nodes, free)
+    listed = _counted(gaps, "length", "_at").selectExpr("rank + _at AS slot", "first + _at AS _number")
+    if wanted < free:
+        left_out = drawn_ranks(spark, free, free - wanted, label).select(F.col("rank").alias("slot"))
+        listed = listed.join(left_out, "slot", "left_anti")
+    return _pairs(listed, n_nodes)
 
 
 def enough_pairs(
@@ -288,9 +356,9 @@ def enough_pairs(
     """Stored (slot, src, dst) rows that hold at least min(``n_samples``, free pairs) pairs, and that number.
 
     As many slots are drawn as are expected to reach a tenth more than wanted, and twice as many
-    where they did not. Where that is more than half of all pairs, all pairs are listed instead:
-    then the edges and the wanted pairs together are of that order as well. ``free`` is
-    ``free_pairs``, counted here if not given.
+    where they did not. Where most pairs are edges, or about half of the free ones are wanted, most draws would
+    be in vain: there free pairs are taken by rank (``dense_free_pairs``). ``free`` is ``free_pairs``, counted here
+    if not given.
     """
     free = free_pairs(edges, n_nodes) if free is None else free
     wanted = min(n_samples, free)
@@ -298,14 +366,14 @@ def enough_pairs(
         return materialize(drawn_pairs(edges, max(n_nodes, 1), 0, label), "drawn-pairs"), 0
     total = n_nodes * n_nodes
     share = wanted / free
-    if 1.1 * share < 0.5:
+    if 1.1 * share < 0.5 and 2 * free >= total:
         slots = int(-total * math.log1p(-1.1 * share)) + 64
         while slots < 2 * total:
             drawn = materialize(drawn_pairs(edges, n_nodes, slots, label, without), "drawn-pairs")
             if drawn.count() >= wanted:
                 return drawn, wanted
             slots *= 2
-    return materialize(all_pairs(edges, n_nodes, label), "all-pairs"), wanted
+    return materialize(dense_free_pairs(edges, n_nodes, wanted, free, label), "free-pairs"), wanted
 
 
 def smallest_cut(frame: DataFrame, column: str, n: int, buckets: int = 1024) -> tuple[int, int]:

@@ -273,6 +273,30 @@ non_edges AS (
 )"""
 
 
+# Free pairs of the square of events, numbered by (src, dst).
+_DENSE = """
+width AS (SELECT CAST(floor(sqrt(coalesce(max(event_id), 0))) AS BIGINT) + 1 AS n FROM events),
+dense AS (SELECT DISTINCT event_id // n AS src, event_id % n AS dst FROM events, width WHERE (user_id * 7 + event_id) % 9 <> 0),
+ends AS (SELECT unnest(range(0, n)) AS node FROM width),
+free AS (
+  SELECT s.node AS src, t.node AS dst, row_number() OVER (ORDER BY s.node, t.node) - 1 AS rank
+  FROM ends s, ends t WHERE s.node <> t.node AND NOT EXISTS (SELECT 1 FROM dense d WHERE d.src = s.node AND d.dst = t.node)
+)"""
+
+
+def _ranks(wanted: str) -> str:
+    """Table ``ranks`` (rank): so many drawn ranks of the free pairs."""
+    return f"""
+room AS (SELECT total, {wanted} AS wanted FROM (SELECT count(*) AS total FROM free)),
+slots AS (
+  SELECT unnest(range(0, CAST(floor(-total * ln(1 - 1.1::DOUBLE * wanted / total)) AS BIGINT) + 64)) AS slot, total FROM room
+),
+ranks AS (
+  SELECT rank FROM (SELECT {_draw('dense:rank', 'total')} AS rank, min(slot) AS slot FROM slots GROUP BY 1)
+  QUALIFY row_number() OVER (ORDER BY slot) <= (SELECT wanted FROM room)
+)"""
+
+
 def _initial_matrices() -> tuple[np.ndarray, np.ndarray]:
     """Glorot-uniform 16 x 32 and 32 x 16, drawn one after the other from one seeded stream."""
     stream = np.random.Generator(np.random.PCG64(0))
@@ -584,11 +608,9 @@ SELECT 1 AS epoch, round(loss, 6) AS loss FROM loss1""",
     "fit_losses": f"""WITH RECURSIVE {_INDEX}, {_embeddings()}, {_fit(3)}
 SELECT epoch, round(loss, 6) AS loss FROM (
   SELECT 1 AS epoch, loss FROM loss1 UNION ALL SELECT 2, loss FROM loss2 UNION ALL SELECT 3, loss FROM loss3)""",
-    "dense_negative_edges": """WITH edges AS (
-  SELECT DISTINCT user_id % 40 AS src, event_id % 40 AS dst FROM events WHERE ((user_id % 40) * 7 + event_id % 40) % 9 <> 0
-)
-SELECT a AS src, b AS dst FROM range(40) x(a), range(40) y(b)
-WHERE a <> b AND (a, b) NOT IN (SELECT (src, dst) FROM edges)""",
+    "dense_negative_edges": f"WITH {_DENSE} SELECT src, dst FROM free",
+    "dense_negative_sample": f"WITH {_DENSE}, {_ranks('total // 3')} SELECT src, dst FROM free JOIN ranks USING (rank)",
+    "dense_negative_rest": f"WITH {_DENSE}, {_ranks('total - total * 3 // 4')} SELECT src, dst FROM free ANTI JOIN ranks USING (rank)",
     "node_features": f"""WITH RECURSIVE {_INDEX},
 seeded AS (SELECT idx, {_seed('cmd_line')} AS seed FROM idx),
 seeds AS (SELECT DISTINCT seed FROM seeded), {_DRAWS}

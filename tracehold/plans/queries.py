@@ -6,6 +6,7 @@ Each reads whole tables. Column names match those of ``plans.oracles``.
 from __future__ import annotations
 
 import hashlib
+import math
 
 from collections.abc import Callable
 
@@ -478,13 +479,34 @@ def negative_edges(spark, folder):
     return gcn.negative_edges(edges, index.count(), edges.count(), "0:1")
 
 
+def _dense_graph(spark, folder):
+    """Events as cells of a square that is as wide as the root of their number; eight of nine are edges."""
+    events = table(spark, folder, "events")
+    n = math.isqrt(events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]) + 1
+    cells = events.where("(user_id * 7 + event_id) % 9 != 0").select(
+        F.expr(f"event_id div {n}").alias("src"), (F.col("event_id") % n).alias("dst"))
+    return materialize(cells.distinct(), "dense-edges"), n
+
+
 @query
 def dense_negative_edges(spark, folder):
-    """All but a few of the pairs that a nearly complete graph leaves: users by rest of their purchases."""
-    events = table(spark, folder, "events").select((F.col("user_id") % 40).alias("src"), (F.col("event_id") % 40).alias("dst"))
-    edges = materialize(events.distinct().where("(src * 7 + dst) % 9 != 0"), "dense-edges")
-    free = gcn.free_pairs(edges, 40)
-    return gcn.negative_edges(edges, 40, free + 100, "dense")
+    """All pairs that a nearly complete graph leaves free."""
+    edges, n = _dense_graph(spark, folder)
+    return gcn.negative_edges(edges, n, gcn.free_pairs(edges, n) + 100, "dense")
+
+
+@query
+def dense_negative_sample(spark, folder):
+    """A third of the pairs that a nearly complete graph leaves free, drawn by their ranks."""
+    edges, n = _dense_graph(spark, folder)
+    return gcn.negative_edges(edges, n, gcn.free_pairs(edges, n) // 3, "dense")
+
+
+@query
+def dense_negative_rest(spark, folder):
+    """Three quarters of these pairs: those that are not left out by a draw."""
+    edges, n = _dense_graph(spark, folder)
+    return gcn.negative_edges(edges, n, gcn.free_pairs(edges, n) * 3 // 4, "dense")
 
 
 @query

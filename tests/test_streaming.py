@@ -1,12 +1,14 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracehold.operators import graph, scoring, training
+from tracehold.operators import figures, graph, scoring, training
 from tracehold.plans import jobs
 from tracehold.plans.queries import digest_model
+from tracehold.sources.id_numbers import IdNumbers
 from tracehold.sources.merge_store import MergeStore
 from tracehold.streaming import jobs as streaming
 
@@ -176,3 +178,65 @@ def test_scratch_tables_are_deleted(spark):
         assert frame.count() == 5
     assert not os.path.exists(folder)
     assert "/scratch-" not in session.new_folder(spark, "x")
+
+
+def test_numbers_stay_while_a_graph_grows(spark, tmp_path, monkeypatch):
+    numbers = IdNumbers(spark, str(tmp_path / "numbers"), buckets=2)
+    frame = lambda *ids: spark.createDataFrame([(i, 0) for i in ids], "id string, idx long")
+    held, start = {}, 0
+    for load in range(12):  # each load repeats ids of earlier ones, and itself
+        new = [f"n{(load * 7 + k) % 10}-{load}" for k in range(load % 4)]
+        assert numbers.add(frame(None, *new, *new, *list(held)[:3]), load)
+        assert not numbers.add(frame("late"), load)
+        held |= {i: start + k for k, i in enumerate(sorted(new))}
+        start += len(new)
+        assert load % 4 != 3 or {r.id: r.idx for r in numbers.read().collect()} == held
+    assert numbers.read().count() == len(held) and sorted(held.values()) == list(range(len(held)))
+    assert len(numbers.store.runs()) <= 2 * 3 * 3  # buckets, runs of a level, levels
+    with monkeypatch.context() as broken:
+        broken.setattr("tracehold.sources.merge_store.write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            numbers.add(frame("x", "y"), 12)
+    assert numbers.add(frame("y"), 12)
+    assert {r.id: r.idx for r in numbers.read().collect()} == held | {"y": start}
+
+
+def test_figures_of_a_run(spark, tmp_path):
+    path = incoming(tmp_path / "in")
+    rows = jobs.score_files(spark, path, str(tmp_path / "out"), with_scores, "lines").collect()
+    got = {(r.stage, r.measure): r.value for r in rows}
+    assert got.pop(("run", "seconds")) > 0
+    assert got == {("read", "records"): 124, ("parse", "rejected"): 4, ("logs", "logs"): 120, ("logs", "malicious"): 24,
+                   ("logs", "benign"): 96, ("score", "alerts"): 40}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    empty = figures.Figures(spark)
+    with empty.timed("nothing"):
+        empty.watch(spark.range(0), "none", rows=F.count("*"), top=F.max("id")).collect()
+    assert {(r.stage, r.measure): r.value for r in empty.table().collect() if r.measure != "seconds"} == {
+        ("none", "rows"): 0, ("none", "top"): 0}
+    failed = figures.Figures(spark)
+    with pytest.raises(Exception, match="no such"), failed.timed("bad"):
+        failed.watch(spark.range(3), "rows", rows=F.count("*")).select(F.raise_error(F.lit("no such"))).collect()
+    assert failed.table().count() == 0
+
+
+def test_figures_of_a_stream(spark, tmp_path):
+    path, out = incoming(tmp_path / "in"), str(tmp_path / "figures")
+    listener = figures.StreamFigures(spark, out, ("scored",))
+    assert figures.read_stream_figures(spark, out).count() == 0
+    logs = figures.watch_stream(streaming.stream_logs(spark, path, maxFilesPerTrigger=1), "logs", logs=F.count("*"))
+    scored = figures.watch_stream(with_scores(logs), "score", alerts=F.count_if(scoring.is_alert()))
+    spark.streams.addListener(listener)
+    try:
+        run(streaming.alerts_to_files(scored, str(tmp_path / "alerts"), str(tmp_path / "c")).queryName("scored"))
+        wanted = {("batch", "rows"): 124, ("logs", "logs"): 120, ("score", "alerts"): 40}
+        for _ in range(100):  # events arrive after the batch
+            rows = figures.read_stream_figures(spark, out).collect()
+            got = {k: sum(r.value for r in rows if (r.stage, r.measure) == k) for k in wanted}
+            if got == wanted:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert got == wanted and len({r.batch for r in rows}) == 4
+    assert all(r.value > 0 for r in rows if r.measure == "seconds")

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracehold.functions import fixed_values as fv
 from tracehold.operators import ancestry, evaluate, features, graph, prompts, reports, scoring
+from tracehold.operators.figures import Figures
 from tracehold.operators.normalize import canonical_logs, process_key
 from tracehold.operators.skew import lookup
 from tracehold.operators.training import fit
 from tracehold.session import materialize, new_folder
-from tracehold.sinks.logs import write_logs
+from tracehold.sinks.logs import write_alerts, write_logs
 from tracehold.sources import archives, graph_store
-from tracehold.sources.json_logs import INPUT_ORDER, file_errors, good_records, read_logs
+from tracehold.sources.json_logs import (
+    INPUT_ORDER, accepted, file_errors, good_records, parse_json, read_json_files, read_json_lines, read_json_objects, read_logs,
+)
 from tracehold.sources.labelled_csv import read_labelled_splits
 
 
@@ -95,6 +98,36 @@ def index_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFram
     return graph_store.read_nodes(spark, path), graph_store.read_edges(spark, path)
 
 
+def score_files(
+    spark: SparkSession,
+    path,
+    out: str,
+    score: Callable[[DataFrame], DataFrame],
+    layout: str = "files",
+    threshold: float = fv.ALERT_THRESHOLD,
+) -> DataFrame:
+    """Score the logs of files and write the alerts to ``out``; returns (stage, measure, value) figures of the run.
+
+    One pass: records, unreadable files, rejected records, logs and alerts are counted as they go by. A file
+    that is not read whole gives its good part and an error.
+    """
+    figures = Figures(spark)
+    if layout == "files":
+        decoded = figures.watch(read_json_files(spark, path), "read", records=F.count("record"), errors=F.count("error"))
+        records = good_records(decoded)
+    else:
+        reader = {"lines": read_json_lines, "objects": read_json_objects}[layout]
+        records = figures.watch(reader(spark, path), "read", records=F.count("record"))
+    parsed = figures.watch(parse_json(records), "parse", rejected=F.count("rejected"))
+    logs = figures.watch(
+        canonical_logs(accepted(parsed)), "logs", logs=F.count("*"),
+        malicious=F.count_if(F.col("is_evil") == 1), benign=F.count_if(~F.col("is_evil").eqNullSafe(1)))
+    alerts = figures.watch(score(logs).filter(scoring.is_alert(threshold)), "score", alerts=F.count("*"))
+    with figures.timed("run"):
+        write_alerts(alerts, out, "overwrite")
+    return figures.table()
+
+
 def triage(
     scored: DataFrame,
     nodes: DataFrame,

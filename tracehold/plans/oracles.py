@@ -284,6 +284,31 @@ free AS (
 )"""
 
 
+# Nodes of five loads (by pos % 5), numbered load by load in id order.
+_NUMBERED = _GRAPH + """,
+born AS (
+  SELECT id, min(load) AS load FROM (
+    SELECT process_id AS id, pos % 5 AS load FROM named
+    UNION ALL SELECT parent, pos % 5 FROM named WHERE parent IS NOT NULL
+  ) GROUP BY id
+),
+numbered AS (
+  SELECT id, cmd_line, row_number() OVER (ORDER BY load, id) - 1 AS idx FROM nodes JOIN born USING (id)
+)"""
+
+
+def _figures(bad: str, errors: bool) -> str:
+    """Counts of a scoring run in which the logs that ``bad`` tells cannot be read."""
+    read = [("read", "records", "count_if(NOT bad)"), ("read", "errors", "count_if(bad)"), ("parse", "rejected", "count(*) * 0")] if errors else [
+        ("read", "records", "count(*)"), ("parse", "rejected", "count_if(bad)")]
+    rows = [*read, ("logs", "logs", "count_if(NOT bad)"), ("logs", "malicious", "count_if(NOT bad AND is_evil = 1)"),
+            ("logs", "benign", "count_if(NOT bad AND is_evil = 0)"),
+            ("score", "alerts", "count_if(NOT bad AND (risky OR is_evil = 1))"), ("run", "seconds", "count(*) * 0 + 1")]
+    tables = " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{name}' AS measure, CAST({value} AS BIGINT) AS value FROM seen"
+                                for stage, name, value in rows)
+    return f"WITH {_SCORED}, seen AS (SELECT *, {bad} AS bad FROM scored) {tables}"
+
+
 def _ranks(wanted: str) -> str:
     """Table ``ranks`` (rank): so many drawn ranks of the free pairs."""
     return f"""
@@ -573,6 +598,11 @@ texts AS (
 SELECT pos, {_seed('parent_text')} AS parent_seed, {_seed('child_text')} AS child_seed FROM texts""",
     "node_index": f"WITH {_INDEX} SELECT id, idx, {_seed('cmd_line')} AS seed FROM idx",
     "edge_index": f"WITH {_INDEX} SELECT src, dst FROM pairs",
+    "grown_node_index": f"WITH {_NUMBERED} SELECT id, idx, {_seed('cmd_line')} AS seed FROM numbered",
+    "grown_edge_index": f"""WITH {_NUMBERED}
+SELECT s.idx AS src, d.idx AS dst FROM edges e JOIN numbered s ON s.id = e.src JOIN numbered d ON d.id = e.dst""",
+    "run_figures": _figures("timestamp_ns % 17 = 0", errors=False),
+    "file_run_figures": _figures("pos % 13 IN (3, 7) AND pos = max(pos) OVER (PARTITION BY pos % 13)", errors=True),
     "in_degree": f"WITH {_INDEX} SELECT idx, degree FROM degree",
     "edge_weights": f"""WITH {_INDEX}
 SELECT src, dst, round(1.0 / sqrt(CAST(s.degree * d.degree AS DOUBLE)), 6) AS weight

@@ -350,6 +350,32 @@ def rejected_lines(spark, folder):
         F.col("timestamp_ns").cast("long").alias("timestamp_ns"), F.lit(0).alias("rejected")))
 
 
+def _figures(spark, folder, write, layout):
+    """Figures of a scoring run; seconds differ from run to run, so only their presence is shown."""
+    path = new_folder(spark, "scored-files")
+    write(path)
+    base = F.col("is_suspicious") * 0.5 + F.col("is_evil") * 0.4
+    figures = jobs.score_files(spark, path, new_folder(spark, "alerts"), lambda logs: scoring.with_score(logs, base), layout)
+    value = F.when(F.col("measure") == "seconds", (F.col("value") > 0).cast("double")).otherwise(F.col("value"))
+    return figures.select("stage", "measure", value.cast("long").alias("value"))
+
+
+@query
+def run_figures(spark, folder):
+    """Counts of one pass over log lines of which every 17th is cut short."""
+    rows = _camel_records(spark, folder)
+    line = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.pmod(F.col("timestamp_ns").cast("long"), F.lit(17)) == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line"))
+    lines = rows.withColumn("line", line).select(cut)
+    return _figures(spark, folder, lambda path: lines.write.text(path), "lines")
+
+
+@query
+def file_run_figures(spark, folder):
+    """Counts of one pass over array files of which two end inside a log."""
+    return _figures(spark, folder, lambda path: _array_files(spark, folder, path, _cut_files()), "files")
+
+
 @query
 def csv_mixed_headers_logs(spark, folder):
     """Labelled CSV files with columns in other orders and one left out, read by their own headers."""
@@ -413,6 +439,28 @@ def edge_index(spark, folder):
     return _indexed_graph(spark, folder)[1]
 
 
+def _numbered_graph(spark, folder):
+    path = new_folder(spark, "numbered")
+    logs = process_logs(spark, folder)
+    for load in (0, 1, 2, 2, 3, 4):
+        part = materialize(logs.filter(F.col("pos") % 5 == load), "load")
+        streaming.add_to_graph(part, path, load, POS)
+        streaming.number_nodes(part, path, load, POS)
+    return streaming.read_grown_index(spark, path)
+
+
+@query
+def grown_node_index(spark, folder):
+    """Five loads, the third one twice: nodes are numbered load by load and keep their numbers."""
+    return _numbered_graph(spark, folder)[0]
+
+
+@query
+def grown_edge_index(spark, folder):
+    """The edges of the five loads under these numbers."""
+    return _numbered_graph(spark, folder)[1]
+
+
 @query
 def node_features(spark, folder):
     return features.node_features(features.node_index(_stored_graph(spark, folder)[0]))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tracehold.functions import fixed_values as fv
-from tracehold.operators import evaluate, graph, prompts, scoring
+from tracehold.functions.hashing import feature_seed
+from tracehold.operators import evaluate, features, graph, prompts, scoring
 from tracehold.operators.normalize import canonical_logs
 from tracehold.plans.jobs import triage
 from tracehold.session import scratch
+from tracehold.sources.id_numbers import IdNumbers
 from tracehold.sources.merge_store import MergeStore
 from tracehold.sources.json_logs import INPUT_ORDER, accepted, parse_json, stream_json_lines
 
@@ -108,6 +110,25 @@ def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str]
     typed_edge_store(spark, path, **options).add(graph.typed_edges(logs), batch_id, merged=True)
 
 
+def node_numbers(spark: SparkSession, path: str, **options) -> IdNumbers:
+    """The stable numbers of a growing graph's nodes, beside its links."""
+    return IdNumbers(spark, f"{path.rstrip('/')}-numbers", **options)
+
+
+def number_nodes(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER, **options) -> None:
+    """Number the nodes that one load brings anew; nodes of earlier loads keep theirs."""
+    nodes = graph.nodes_of(graph.spawn_links(logs, order))
+    node_numbers(logs.sparkSession, path, **options).add(nodes, batch_id)
+
+
+def read_grown_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, idx, seed) of all nodes and their edges by number, under numbers that later loads do not change."""
+    nodes, edges = read_grown_graph(spark, path)
+    numbers = node_numbers(spark, path).read()
+    index = nodes.join(numbers, "id").select("id", "idx", feature_seed(F.col("cmd_line")).alias("seed"))
+    return index, features.edge_index(edges, numbers)
+
+
 def read_grown_typed_edges(spark: SparkSession, path: str) -> DataFrame:
     """Distinct typed edges over all loads so far; file and network nodes come from them."""
     return typed_edge_store(spark, path).read()

@@ -266,9 +266,11 @@ def _indexed(filed: DataFrame, window: int) -> DataFrame:
     """(gram, content, begin, end, band): spans of distinct segments or bands that match elsewhere.
 
     Rows come sorted by shard, which has a bounded number of them; so many bytes are indexed at once, whole shards only.
+    Rows that repeat a doc_id and its text file the same segments: one of them is held.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes, bool]] = []
+        seen: set[tuple[int, int, int]] = set()  # of the last shard
         size = 0
 
         def answer(rows: list) -> pa.RecordBatch:
@@ -284,6 +286,11 @@ def _indexed(filed: DataFrame, window: int) -> DataFrame:
                 if size >= INDEX_BYTES and held[-1][0] != row[0]:
                     yield answer(held)
                     held, size = [], 0
+                if not held or held[-1][0] != row[0]:
+                    seen.clear()
+                if row[1:4] in seen:
+                    continue
+                seen.add(row[1:4])
                 held.append(row)
                 size += len(row[4])
         if held:
@@ -371,12 +378,13 @@ def repeated_strings(documents: DataFrame, window: int = 200, gram: int = GRAM)
     drop_stored(documents.sparkSession, filed_path)
     marks = marks.unionByName(distinct.where("n > 1").select(
         "gram", "content", F.lit(0).alias("begin"), F.col("one.length").alias("end")))
-    marks = marks.groupBy("gram", "content").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    marks = marks.groupBy("gram", "content").agg(F.collect_set(F.struct("begin", "end")).alias("marks"))
     # one more key than marks are grouped by: the join deals both sides itself and can split a segment of very many copies
     both = F.xxhash64("gram", "content")
     unlike = several.withColumn("_both", both).join(marks.withColumn("_both", both), ["_both", "gram", "content"]).select(*owner, F.transform("marks", lambda m: F.struct(
         (F.col("start") + m["begin"]).alias("begin"), (F.col("start") + m["end"]).alias("end"))).alias("spans"))
-    removed = alike.unionByName(unlike).groupBy(*owner).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # rows that repeat a doc_id and its text mark the same spans: a set, so that k such rows do not get the marks of all k each
+    removed = alike.unionByName(unlike).groupBy(*owner).agg(F.flatten(F.collect_set("spans")).alias("spans"))
     return _owned(rows, removed, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(
         "array<struct<begin:bigint,end:bigint>>")).alias("spans"))
 

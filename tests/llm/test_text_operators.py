@@ -108,6 +108,19 @@ def check_removed(frame, rows, window):
     assert Counter(tuple(r) for r in frame.collect()) == expected
 
 
+def test_marks_of_repeated_rows_do_not_add_up(spark):
+    """Rows that repeat a doc_id and text are each marked once, however many there are."""
+    rng = random.Random(16)
+    body = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(400))
+    counts = []
+    for copies in (5, 40):
+        rows = [(7, body)] * copies + [(None, body[::-1])] * copies + [(8, body[:900] + "!")]
+        found = suffix.repeated_strings(data.documents(spark, rows))
+        counts.append(max(len(r.spans) for r in found.select("spans").collect()))
+        check_removed(suffix.removed_digest(suffix.repeated_strings(data.documents(spark, rows))), rows, 200)
+    assert counts[0] == counts[1]
+
+
 @pytest.mark.parametrize("wide", [200, 1])
 def test_removed_strings(spark, small, strange, monkeypatch, wide):
     monkeypatch.setattr(suffix, "WIDE_GRAM", wide)
@@ -483,6 +496,45 @@ def test_decontamination_against_plain_tiling(spark, small):
     assert {r.doc_id for r in got if r.contaminated} == expected and expected
 
 
+def found_in(items, text):
+    """{item: (share, tiles)} of all items that tiles cover in part."""
+    index = tiling.index_items(*zip(*items, strict=True))
+    sieve = np.ones(1, dtype=bool)
+    data_ = np.frombuffer(text.encode(), np.uint8)
+    words, _ = word_hashes(data_, np.array([0, len(data_)]), MARKS)
+    if len(words) < tiling.TILE:
+        return {}
+    return {int(index.ids[k]): (share, found) for k, share, found in
+            tiling.matches(words, sequence_hashes(words, tiling.TILE), index, sieve, 0.01)}
+
+
+def test_maximal_matches_give_the_greedy_tiles():
+    """Whole texts of few words, so that seeds repeat and matches overlap, with items that share seeds."""
+    rng = random.Random(15)
+    for alphabet in ("a", "ab", "abc") * 25:
+        items = [(i, " ".join(rng.choice(alphabet) for _ in range(rng.randrange(4, 24)))) for i in range(4)]
+        items += [(9, "a " * 70), (10, "a b " * 40)]
+        text = " ".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60)))
+        if rng.random() < 0.3:
+            text += " a" * 90
+        expected = {}
+        for i, item in items:
+            found = plain_tiles(item.split(), text.split(), tiling.TILE)
+            if sum(t[2] for t in found) >= 0.01 * len(item.split()) and found:
+                expected[i] = (sum(t[2] for t in found) / len(item.split()), found)
+        assert found_in(items, text) == expected
+
+
+def test_repetitive_texts_list_few_matches(monkeypatch):
+    """20,000 equal words and an item of 2,000 have 40 million equal seeds, and 22,000 maximal matches."""
+    listed, lengths = [], tiling._lengths
+    monkeypatch.setattr(tiling, "_lengths", lambda *a: listed.append(len(a[-1])) or lengths(*a))
+    got = found_in([(1, "la " * 2000), (2, "la lu " * 1000)], "la " * 20_000)
+    assert got == {1: (1.0, [(0, 0, 2000)])} and sum(listed) < 30_000
+    got = found_in([(1, "la " * 2000), (2, "la lu li " * 700)], "la lu li " * 6_000)
+    assert got == {2: (1.0, [(0, 0, 2100)])} and sum(listed) < 60_000
+
+
 def test_nothing_to_search(spark, strange, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in tiling.report(strange, none).collect()} == {False}

@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are sequences of words. Hashes of a few words, rolled along a text,
-find the items' seeds; seeds on one diagonal join to maximal matches. The longest match whose
+find the items' seeds. Of the equal seeds of a text and an item only those are listed that begin a maximal match, where
+the words before differ: a repetitive text has few of these, however many seeds are equal. The longest match whose
 words are all free is marked again and again, as a tile; what is left of an overlapped match is
 cut to its free part. Tiles may stand in any order, so an item is found in a reordered passage
 too. A text is contaminated by an item if tiles cover enough of the item's words.
@@ -39,9 +40,10 @@ class Items(NamedTuple):
     ids: np.ndarray
     words: np.ndarray  # of all items, one after another
     first: np.ndarray  # first word of each item, one more at the end
-    seeds: np.ndarray  # sorted hashes of TILE words
+    seeds: np.ndarray  # hashes of TILE words, sorted by them, then by the word before (an item's first seed has none)
     item: np.ndarray  # of each seed
     place: np.ndarray  # of each seed in its item
+    before: np.ndarray  # the word before each seed; any, where place is 0
 
 
 def tiles(item: np.ndarray, text: np.ndarray, at_item: np.ndarray, at_text: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
@@ -55,17 +57,25 @@ def tiles(item: np.ndarray, text: np.ndarray, at_item: np.ndarray, at_text: np.n
     new[1:] = (b[1:] - a[1:] != b[:-1] - a[:-1]) | (a[1:] != a[:-1] + 1)
     heads = np.flatnonzero(new)
     lengths = np.diff(np.append(heads, len(a))) + least - 1
-    queue = list(zip((-lengths).tolist(), a[heads].tolist(), b[heads].tolist(), strict=True))
+    return marked(len(item), len(text), a[heads], b[heads], lengths, least)
+
+
+def marked(
+    item_words: int, text_words: int, at_item: np.ndarray, at_text: np.ndarray, lengths: np.ndarray, least: int = TILE
+) -> list[tuple[int, int, int]]:
+    """Greedy tiles from all maximal matches (place in item, place in text, length)."""
+    queue = list(zip((-lengths).tolist(), at_item.tolist(), at_text.tolist(), strict=True))
     heapq.heapify(queue)
-    free_item, free_text = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool)
-    out = []
-    while queue:
+    free_item, free_text = np.ones(item_words, dtype=bool), np.ones(text_words, dtype=bool)
+    out, left = [], item_words
+    while queue and left >= least:
         length, x, y = heapq.heappop(queue)
         length = -length
         free = free_item[x:x + length] & free_text[y:y + length]
         if free.all():
             free_item[x:x + length] = free_text[y:y + length] = False
             out.append((x, y, length))
+            left -= length
             continue
         edge = np.diff(np.concatenate(([0], free.astype(np.int8), [0])))
         for p, q in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -86,18 +96,47 @@ def index_items(ids: list[int], texts: list[str | None]) -> Items:
     first = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(w) for w in parts], out=first[1:])
     every = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-    order = np.argsort(every, kind="stable")
+    place = np.concatenate([*[np.arange(len(x)) for x in seeds], np.zeros(0, np.int64)]).astype(np.int64)
+    before = np.concatenate([*[np.append(w[:1], w)[:len(x)] for w, x in zip(parts, seeds, strict=True)], np.zeros(0, np.uint64)])
+    order = np.lexsort((before, place > 0, every))
     return Items(
         np.array([ids[k] for k in some], dtype=np.int64), np.concatenate([*parts, np.zeros(0, np.uint64)]), first, every[order],
-        np.repeat(np.arange(len(parts)), [len(s) for s in seeds])[order],
-        np.concatenate([*[np.arange(len(s)) for s in seeds], np.zeros(0, np.int64)]).astype(np.int64)[order])
+        np.repeat(np.arange(len(parts)), [len(x) for x in seeds])[order], place[order], before[order])
+
+
+def _bound(items: Items, low: np.ndarray, high: np.ndarray, word: np.ndarray, beyond: bool) -> np.ndarray:
+    """In each range of equal seeds the first one whose word before is ``word`` or more (``beyond``: more)."""
+    low, high = low.copy(), high.copy()
+    while len(some := np.flatnonzero(low < high)):
+        middle = (low[some] + high[some]) // 2
+        less = items.before[middle] <= word[some] if beyond else items.before[middle] < word[some]
+        less |= items.place[middle] == 0
+        low[some[less]] = middle[less] + 1
+        high[some[~less]] = middle[~less]
+    return low
+
+
+def _lengths(one: np.ndarray, other: np.ndarray, at_one: np.ndarray, at_other: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Equal words from the places on, at most ``room`` (1 or more)."""
+    out = np.zeros(len(room), dtype=np.int64)
+    for begin in range(0, len(room), 1 << 14):
+        alive, done, step = np.arange(begin, min(begin + (1 << 14), len(room))), 0, 2 * TILE
+        while len(alive):
+            ahead = done + np.arange(step)
+            inside = ahead < room[alive, None]
+            i, j = np.minimum(at_one[alive, None] + ahead, len(one) - 1), np.minimum(at_other[alive, None] + ahead, len(other) - 1)
+            equal = (one[i] == other[j]) & inside
+            stop = ~equal.all(axis=1)
+            out[alive[stop]] = done + equal[stop].argmin(axis=1)
+            alive, done, step = alive[~stop], done + step, 64
+    return out
 
 
-def _covered(places: np.ndarray, length: int) -> int:
-    """Words of an item that some seed covers."""
-    hit = np.zeros(length + 1, dtype=np.int64)
+def _covered(places: np.ndarray, lengths: np.ndarray, words: int) -> int:
+    """Words of an item that some match covers."""
+    hit = np.zeros(words + 1, dtype=np.int64)
     np.add.at(hit, places, 1)
-    np.add.at(hit, np.minimum(places + TILE, length), -1)
+    np.add.at(hit, places + lengths, -1)
     return int((np.cumsum(hit[:-1]) > 0).sum())
 
 
@@ -106,23 +145,30 @@ def matches(words: np.ndarray, seeds: np.ndarray, items: Items, sieve: np.ndarra
     maybe = np.flatnonzero(sieve[(seeds & np.uint64(len(sieve) - 1)).astype(np.int64)])
     low = np.searchsorted(items.seeds, seeds[maybe], side="left")
     high = np.searchsorted(items.seeds, seeds[maybe], side="right")
-    count = high - low
-    if not count.any():
+    maybe, low, high = (x[low < high] for x in (maybe, low, high))
+    if not len(maybe):
         return
-    text_at = np.repeat(maybe, count)
-    entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    # a match begins where the words before differ: of the equal seeds, those below and above the text's word before
+    word, begins = words[maybe - 1], maybe == 0
+    below = np.where(begins, high, _bound(items, low, high, word, False))
+    above = np.where(begins, high, _bound(items, low, high, word, True))
+    start, stop, text_at = np.concatenate([low, above]), np.concatenate([below, high]), np.concatenate([maybe, maybe])
+    count = stop - start
+    text_at = np.repeat(text_at, count)
+    entry = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
     number, item_at = items.item[entry], items.place[entry]
-    # the hashes found them, the words must agree
-    same = (items.words[(items.first[number] + item_at)[:, None] + np.arange(TILE)] == words[text_at[:, None] + np.arange(TILE)]).all(axis=1)
-    number, item_at, text_at = number[same], item_at[same], text_at[same]
+    room = np.minimum(items.first[number + 1] - items.first[number] - item_at, len(words) - text_at)
+    lengths = _lengths(items.words, words, items.first[number] + item_at, text_at, room)
+    same = lengths >= TILE  # the hashes found them, the words must agree
+    number, item_at, text_at, lengths = number[same], item_at[same], text_at[same], lengths[same]
     order = np.argsort(number, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else []:
         k = int(number[part[0]])
-        a, b = int(items.first[k]), int(items.first[k + 1])
-        if _covered(np.unique(item_at[part]), b - a) < coverage * (b - a):
-            continue  # tiles cover no more than seeds do
-        found = tiles(items.words[a:b], words, item_at[part], text_at[part])
-        share = sum(x[2] for x in found) / (b - a)
+        size = int(items.first[k + 1] - items.first[k])
+        if _covered(item_at[part], lengths[part], size) < coverage * size:
+            continue  # tiles cover no more than matches do
+        found = marked(size, len(words), item_at[part], text_at[part], lengths[part])
+        share = sum(x[2] for x in found) / size
         if share >= coverage:
             yield k, share, found
 

@@ -199,6 +199,11 @@ def test_toxicity_catches_planted_words_and_spares_the_rest(spark):
     assert kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def word_name(word):
+    (hashed,) = word_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), MARKS)[0]
+    return hashed
+
+
 def test_shared_counts_do_not_saturate(spark):
     rng = random.Random(15)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
@@ -207,11 +212,112 @@ def test_shared_counts_do_not_saturate(spark):
     for _, text in rows:
         own = words_of(text)
         for left, right in zip(own, own[1:], strict=False):
-            (hashed,) = word_hashes(np.frombuffer(right.encode(), np.uint8), np.array([0, len(right)]), MARKS)[0].tolist()
-            before[hashed >> (64 - toxicity.SHARED_BITS)].add(left)
-    got = {r.bucket: r.contexts for r in toxicity.shared_counts(data.documents(spark, rows)).collect()}
-    assert got == {bucket: len(lefts) for bucket, lefts in before.items()}
-    assert max(got.values()) > 2900
+            before[right].add(left)
+    sampled = sorted({"hub", "absent", *words[::3]})
+    names = toxicity.Names(np.array([word_name(w) for w in sampled]))
+    got = {r.word: r.contexts for r in toxicity.shared_counts(data.documents(spark, rows), names).collect()}
+    place = dict(zip(sampled, names.places(np.array([word_name(w) for w in sampled])).tolist(), strict=True))
+    expected = {place[w]: len(before[w]) for w in sampled if before[w]}
+    expected[names.size] = sum(len(lefts) for w, lefts in before.items() if w not in place)
+    assert got == expected
+    assert got[place["hub"]] > 2900
+
+
+def test_names_find_every_known_hash_and_no_other():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50_000):
+        known = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        if n == 2:
+            known = np.array([0, (1 << 64) - 1], dtype=np.uint64)
+        if n == 50_000:  # neighbours share a slot
+            known = np.unique(np.append(known, np.arange(40, dtype=np.uint64) + known[100]))
+        names = toxicity.Names(known)
+        assert (names.places(known) == np.arange(len(known))).all()
+        others = np.setdiff1d(rng.integers(0, 1 << 64, 1000, dtype=np.uint64), known)
+        assert (names.places(others) == len(known)).all()
+
+
+def kneser_ney(corpus, sample, texts):
+    """Log-likelihood ratios per word, of whole texts and of their most toxic two words, by dictionaries of strings."""
+    shared_before = defaultdict(set)
+    for text in corpus:
+        own = words_of(text)
+        for left, right in zip(own, own[1:], strict=False):
+            shared_before[right].add(left)
+    vocabulary = {w for text, _ in sample for w in words_of(text)}
+    total = sum(len(x) for x in shared_before.values()) + len(vocabulary) + 1
+    word, stem, pair = ([defaultdict(set), defaultdict(set)] for _ in range(3))
+    for text, toxic in sample:
+        own = words_of(text)
+        for k, w in enumerate(own):
+            left = own[k - 1] if k else None
+            word[1 - toxic][w].add(left)
+            stem[1 - toxic][w.encode()[:toxicity.STEM]].add(left)
+            if k:
+                pair[1 - toxic][left, w].add(own[k - 2] if k > 1 else None)
+
+    def discounted(counts):
+        n = max(1, sum(counts.values()))
+        shares = {k: max(0, x - toxicity.DISCOUNT) / n for k, x in counts.items()}
+        return shares, 1 - sum(shares.values())
+
+    def first_words(c):
+        seen, cut = defaultdict(float), defaultdict(float)
+        for (left, _), x in pair[c].items():
+            seen[left] += len(x)
+            cut[left] += min(len(x), toxicity.DISCOUNT)
+        return {left: (n, cut[left]) for left, n in seen.items() if cut[left] < n}
+
+    words = [discounted({w: len(x) for w, x in word[c].items()}) for c in (0, 1)]
+    stems = [discounted({w: len(x) for w, x in stem[c].items()}) for c in (0, 1)]
+    heads = [first_words(c) for c in (0, 1)]
+    of_all = {k: sum(len(stem[c].get(k, ())) / max(1, sum(map(len, stem[c].values()))) for c in (0, 1)) / 2 for k in {*stem[0], *stem[1]}}
+
+    def likelihood(c, left, w):
+        key = w.encode()[:toxicity.STEM]
+        factor = (stems[c][0].get(key, 0) + stems[c][1] * of_all[key]) / of_all[key] if key in of_all else 1
+        known = len(shared_before.get(w, ())) if w in vocabulary else 0
+        p = words[c][0].get(w, 0) + words[c][1] * factor * (1 + known) / total
+        if left in heads[c]:
+            seen, cut = heads[c][left]
+            p = (max(0, len(pair[c].get((left, w), ())) - toxicity.DISCOUNT) + cut * p) / seen
+        return p
+
+    out = []
+    for text in texts:
+        own = words_of(text)
+        ratios = [np.log(likelihood(0, own[k - 1] if k else None, w) / likelihood(1, own[k - 1] if k else None, w)) for k, w in enumerate(own)]
+        passages = [sum(ratios[k:k + toxicity.PASSAGE]) / min(toxicity.PASSAGE, len(own)) for k in range(len(own))]
+        out.append((np.mean(ratios), max(passages)) if own else (0.0, 0.0))
+    return out
+
+
+def test_models_equal_kneser_ney_over_strings(spark):
+    rng = random.Random(23)
+    words = ["ab", "abcd", "abcdef", "é", "中文x", "b", "bc", "snarkle", "snarking", "grob"]
+    texts = [" ".join(rng.choice(words[:7 + 3 * (i % 3 == 0)]) for _ in range(rng.randrange(1, 60))) for i in range(150)]
+    sample = [(t, int(i % 3 == 0)) for i, t in enumerate(texts)]
+    others = ["new words, AB new snarklish", None, "", "  ", "snarkle grob snarkle grob", "unheard", "ab unheard grob", texts[0]]
+    rows = [(i, t) for i, t in enumerate(texts + others)]
+    frame = spark.createDataFrame(sample, "text string, toxic int")
+    model = toxicity.fit_models(data.documents(spark, rows), frame)
+    assert model.pair.any() and model.seen.any()
+    asked = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.whole, r.passage) for r in toxicity._scored(asked, model, "whole", "passage").collect()}
+    expected = kneser_ney([t for _, t in rows], sample, [t for _, t in rows])
+    assert len(got) == len(rows)
+    for i, pair in enumerate(expected):
+        assert got[i] == pytest.approx(pair, rel=1e-4, abs=1e-5), rows[i]
+
+
+def test_both_classes_fit_the_score_when_one_is_rare(spark):
+    rows = [(i, f"plain words number{i % 7} and more") for i in range(300)]
+    toxic = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5][:12]
+    for count in (1, 2, 12):
+        texts = [(i, "snarkle grobbit snarkle" if i in toxic[:count] else t) for i, t in rows]
+        labels = spark.createDataFrame([(i, int(i in toxic[:count])) for i, _ in rows], "doc_id long, toxic int")
+        scores = {r.doc_id: r.score for r in toxicity.toxicity(data.documents(spark, texts), labels).collect()}
+        assert min(scores[i] for i in toxic[:count]) > max(s for i, s in scores.items() if i not in toxic[:count])
 
 
 def test_toxicity_without_labels_or_classes(spark, strange, empty):

@@ -19,15 +19,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tracehold.llm.common import MARKS, drop_stored, mix, slices, stored, word_hashes
 
-WORD_BITS, PAIR_BITS, SHARED_BITS = 20, 21, 18
-#: Bits of a word before that count as its name, and parts that pairs of words are dealt to.
-BEFORE_BITS, PART_BITS = 30, 12
+#: Bits of a word before that count as its name, bits more for a pair of words of which the sample lacks the second, and
+#: parts that pairs of words are dealt to.
+BEFORE_BITS, OTHER_BITS, PART_BITS = 30, 18, 12
 #: Pairs of words that a task holds before it sends them.
 HELD_CODES = 1 << 21
 #: Labelled rows that the models and the score are fitted on, about so many of each class at most.
@@ -38,17 +38,39 @@ DISCOUNT = 6
 STEM = 4
 #: Words of a passage.
 PASSAGE = 2
-#: Every fifth labelled row fits the score, the others the models.
+#: Every fifth labelled row of a class fits the score, the others the models.
 SCORE_FOLDS = 5
 
 
+class Names:
+    """Places of known 64-bit hashes in ascending order; all others have the place after the last."""
+
+    def __init__(self, known: np.ndarray):
+        known = np.unique(known.astype(np.uint64))
+        bits = max(1, (2 * len(known)).bit_length())
+        self.size, self.shift = len(known), np.uint64(64 - bits)
+        self.starts = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
+        self.known = np.append(known, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.starts[hashes >> self.shift]
+        behind = np.flatnonzero(self.known[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.known[at[behind]] < hashes[behind]]
+        return np.where(self.known[at] == hashes, at, self.size)
+
+
 class Model(NamedTuple):
-    """Tables of fixed size; index 0 toxic, 1 ordinary."""
+    """Tables of the sample's words, pairs and stems, and one more place for all others; index 0 toxic, 1 ordinary."""
 
+    words: Names
+    stems: Names
+    pairs: Names
     word: np.ndarray  # 2 x words: discounted share of the contexts
     rest: np.ndarray  # 2: what the discount took
     stem: np.ndarray  # 2 x stems: how much likelier than in both classes together
-    shared: np.ndarray  # shared buckets: the shared distribution
+    shared: np.ndarray  # words: the shared distribution
     seen: np.ndarray  # 2 x words: times as a first word
     cut: np.ndarray  # 2 x words: what the discount took from the counts after it
     pair: np.ndarray  # 2 x pairs: discounted count
@@ -56,16 +78,15 @@ class Model(NamedTuple):
 
 
 def _words(batch: pa.RecordBatch, column: int):
-    """(row range, word buckets, first word of each row, stem buckets) step by step."""
+    """(row range, word hashes, first word of each row, stem hashes) step by step."""
     for i, j, data, offsets in slices(batch.column(column)):
         words, first, stems = word_hashes(data, offsets, MARKS, STEM)
-        yield (i, j, (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), first,
-               (stems >> np.uint64(64 - SHARED_BITS)).astype(np.int64))
+        yield i, j, words, first, stems
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    both = (left.astype(np.uint64) << np.uint64(WORD_BITS)) | right.astype(np.uint64)
-    return (mix(both) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """A name of each pair of places; different pairs have different names."""
+    return mix((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64))
 
 
 def _followers(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -75,36 +96,56 @@ def _followers(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def shared_counts(documents: DataFrame) -> DataFrame:
-    """(bucket, contexts): how many different words stand before those of a bucket, over all documents.
+def vocabulary(sample: DataFrame) -> tuple[Names, Names]:
+    """The different words, and stems, of a bounded sample of texts."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words, _, stems in _words(batch, 0):
+                for stem, some in ((False, words), (True, stems)):
+                    some = np.unique(some).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), stem)), pa.array(some)], ["stem", "name"])
+
+    rows = sample.select("text").mapInArrow(work, "stem boolean, name long").distinct().toArrow()
+    stem, name = rows["stem"].to_numpy().astype(bool), rows["name"].to_numpy().astype(np.int64).view(np.uint64)
+    return Names(name[~stem]), Names(name[stem])
+
+
+def shared_counts(documents: DataFrame, words: Names) -> DataFrame:
+    """(word, contexts): how many different words stand before a word, over all documents, by the word's place.
 
-    Words before are told apart by ``BEFORE_BITS`` bits of their hashes, so n of them are counted too low by a
-    share of n / 2**(BEFORE_BITS + 1). A task sends its different pairs once, sorted and as differences, dealt to
-    parts of even size.
+    Words that ``words`` lacks are counted together under the place after the last: all their pairs with a
+    word before. Words before are told apart by ``BEFORE_BITS`` bits of their hashes, so n of them are counted too
+    low by a share of n / 2**(BEFORE_BITS + 1); the pairs that are counted together are told apart by
+    ``BEFORE_BITS + OTHER_BITS`` bits of a hash of both. A task sends its different pairs once, sorted and as differences, dealt to parts of even size.
     """
     low, parts = np.int64((1 << BEFORE_BITS) - 1), np.int64((1 << PART_BITS) - 1)
-    part_shift, bucket_shift = np.uint64(64 - SHARED_BITS), np.int64(BEFORE_BITS - PART_BITS)
+    known, bucket_shift = words.size, np.int64(BEFORE_BITS - PART_BITS)
+    bucket_bits = (known + (1 << OTHER_BITS)).bit_length()
+    sent = _sent(documents.sparkSession, words)
 
     def packed(codes: np.ndarray) -> pa.RecordBatch:
-        edges = np.searchsorted(codes >> (SHARED_BITS + bucket_shift), np.arange(parts + 2))
+        edges = np.searchsorted(codes >> (bucket_bits + bucket_shift), np.arange(parts + 2))
         some = np.flatnonzero(np.diff(edges))
         blobs = []
         for i in some.tolist():
-            gaps = np.diff(codes[edges[i]:edges[i + 1]], prepend=i << int(SHARED_BITS + bucket_shift))
+            gaps = np.diff(codes[edges[i]:edges[i + 1]], prepend=i << int(bucket_bits + bucket_shift))
             blobs.append((b"\x04" + gaps.astype("<u4").tobytes()) if gaps.max() < 1 << 32 else b"\x08" + gaps.astype("<u8").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], ["part", "codes"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        names, held, size = _unpacked(sent), [], 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 words, first = word_hashes(data, offsets, MARKS)
                 at = _followers(words, first)
-                bucket = (words[at] >> part_shift).astype(np.int64)
-                before = (words[at - 1] >> np.uint64(64 - BEFORE_BITS)).astype(np.int64)
+                place = names.places(words[at])
+                both = np.where(place < known, words[at - 1], mix(words[at] + mix(words[at - 1])))
+                other = ((both >> np.uint64(64 - BEFORE_BITS - OTHER_BITS)) & np.uint64((1 << OTHER_BITS) - 1)).astype(np.int64)
+                bucket = np.where(place < known, place, known + other)
+                before = (both >> np.uint64(64 - BEFORE_BITS)).astype(np.int64)
                 # a part, a bucket and the upper bits tell the lower bits of the word before
                 part = (before ^ mix(bucket.astype(np.uint64)).view(np.int64)) & parts
-                held.append(np.unique((((part << SHARED_BITS) | bucket) << bucket_shift) | ((before & low) >> PART_BITS)))
+                held.append(np.unique((((part << bucket_bits) | bucket) << bucket_shift) | ((before & low) >> PART_BITS)))
                 size += len(held[-1])
                 if size > HELD_CODES:
                     held = [np.unique(np.concatenate(held))]
@@ -120,7 +161,10 @@ def shared_counts(documents: DataFrame) -> DataFrame:
 
         def answer() -> pa.RecordBatch:
             bucket, n = np.unique((np.unique(np.concatenate(held)) >> bucket_shift), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(bucket & np.int64((1 << SHARED_BITS) - 1)), pa.array(n)], ["bucket", "contexts"])
+            bucket = bucket & np.int64((1 << bucket_bits) - 1)
+            own = bucket < known
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.append(bucket[own], known)), pa.array(np.append(n[own], n[~own].sum()))], ["word", "contexts"])
 
         for batch in batches:
             for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -139,64 +183,74 @@ def shared_counts(documents: DataFrame) -> DataFrame:
 
     rows = documents.select(F.col("text").cast("string").alias("text"))
     dealt = rows.mapInArrow(work, "part long, codes binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(counted, "bucket long, contexts long").groupBy("bucket").agg(F.sum("contexts").alias("contexts"))
+    return dealt.mapInArrow(counted, "word long, contexts long").groupBy("word").agg(F.sum("contexts").alias("contexts"))
 
 
-def _counts(sample: DataFrame, of_stems: bool = False) -> DataFrame:
-    """(toxic, left, right, n) over rows (text, toxic): the different words before a pair of words.
+def _counts(sample: DataFrame, words: Names, stems: Names | None = None) -> DataFrame:
+    """(toxic, left, right, n) over rows (text, toxic): the different words before a pair of words, by places.
 
-    left is -1 where right begins a text. Or (toxic, stem, n): the different words before a stem.
+    left is -1 where right begins a text. Or with ``stems`` (toxic, stem, n): the different words before a stem.
+    Words before a pair are told apart by the hash bits that two places leave of 62.
     """
+    sent = _sent(sample.sparkSession, (words, stems))
+    bits = (words.size + 1).bit_length()
+    last_bits = stems.size.bit_length() if stems else bits
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, stems = _unpacked(sent)
         for batch in batches:
             toxic = batch.column(1).to_numpy().astype(np.int64)
-            for i, j, words, first, stems in _words(batch, 0):
-                if not len(words):
+            for i, j, hashes, first, stem_hashes in _words(batch, 0):
+                if not len(hashes):
                     continue
                 size = np.diff(first)
-                left = np.append(0, words[:-1] + 1)
+                place = words.places(hashes)
+                left = np.append(0, place[:-1] + 1)
                 left[first[:-1][size > 0]] = 0
-                before = np.append(0, left[:-1])
-                before[left == 0] = 0
-                code = (before << (2 * WORD_BITS + 1)) | (left << WORD_BITS) | words
-                if of_stems:
-                    code = (left << WORD_BITS) | stems
+                if stems:
+                    code = (left << last_bits) | stems.places(stem_hashes)
+                else:
+                    before = np.append(0, left[:-1])
+                    before[left == 0] = 0
+                    before = (mix(before.astype(np.uint64)) >> np.uint64(2 + 2 * bits)).astype(np.int64)
+                    code = (before << (2 * bits)) | (left << bits) | place
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.unique(code | (np.repeat(toxic[i:j], size) << 62)))], ["code"])
 
     codes = sample.select("text", "toxic").mapInArrow(work, "code long").distinct()
-    low = F.lit((1 << WORD_BITS) - 1)
-    if of_stems:
-        return codes.groupBy(
-            F.shiftright("code", 62).cast("int").alias("toxic"),
-            F.col("code").bitwiseAND(low).cast("int").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
-    return codes.groupBy(
-        F.shiftright("code", 62).cast("int").alias("toxic"),
-        (F.shiftright("code", WORD_BITS).bitwiseAND(F.lit((1 << (WORD_BITS + 1)) - 1)) - 1).cast("int").alias("left"),
-        F.col("code").bitwiseAND(low).cast("int").alias("right")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _dense(frame: DataFrame, key: str, value: str, bits: int) -> np.ndarray:
-    """A bounded table (one row for each class and key at most) as an array."""
-    out = np.zeros((2, 1 << bits))
+    toxic = F.shiftright("code", 62).cast("int").alias("toxic")
+    last = F.col("code").bitwiseAND(F.lit((1 << last_bits) - 1)).cast("int")
+    if stems:
+        return codes.groupBy(toxic, last.alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+    left = (F.shiftright("code", bits).bitwiseAND(F.lit((1 << bits) - 1)) - 1).cast("int").alias("left")
+    return codes.groupBy(toxic, left, last.alias("right")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dense(frame: DataFrame, key: str, value: str, size: int) -> np.ndarray:
+    """A table of the sample (one row for each class and place at most) as an array, with the place of all others."""
+    out = np.zeros((2, size + 1))
     rows = frame.select((1 - F.col("toxic")).alias("c"), F.col(key).cast("int").alias("k"), F.col(value).cast("float").alias("v")).toArrow()
     np.add.at(out, (rows["c"].to_numpy(), rows["k"].to_numpy()), rows["v"].to_numpy())
     return out
 
 
 def fit_models(documents: DataFrame, sample: DataFrame) -> Model:
-    """The models from all documents' shared counts and a bounded sample (text, toxic) of labelled rows."""
-    shared = shared_counts(documents).toArrow()  # at most 2**SHARED_BITS rows
-    contexts = np.ones(1 << SHARED_BITS)  # words never seen have one context
-    contexts[shared["bucket"].to_numpy()] += shared["contexts"].to_numpy()
-    # a bucket's share is dealt evenly to the word buckets in it
-    backoff = contexts / contexts.sum() / (1 << (WORD_BITS - SHARED_BITS))
-
-    pairs, pairs_path = stored(_counts(sample), "pair-counts")
+    """The models from all documents' shared counts and a bounded sample (text, toxic) of labelled rows.
+
+    Tables have the size of the sample's vocabulary. A word that the sample lacks has only its shared share,
+    which is the same in both classes and leaves their ratio alone: the counts of such words enter the total only.
+    """
+    names, stem_names = vocabulary(sample)
+    shared = shared_counts(documents, names).toArrow()  # one row per word of the sample, and one
+    contexts = np.ones(names.size + 1)  # words never seen have one context
+    contexts[shared["word"].to_numpy()] += shared["contexts"].to_numpy()
+    backoff = contexts / contexts.sum()
+
+    pairs, pairs_path = stored(_counts(sample, names), "pair-counts")
     words = pairs.groupBy("toxic", F.col("right").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    contexts_of = _dense(words, "word", "n", WORD_BITS)
+    contexts_of = _dense(words, "word", "n", names.size)
     word, rest = _discounted(contexts_of)
-    stems = _dense(_counts(sample, of_stems=True), "stem", "n", SHARED_BITS)
+    stems = _dense(_counts(sample, names, stem_names), "stem", "n", stem_names.size)
     stem, stem_rest = _discounted(stems)
     both = (stems / np.maximum(stems.sum(axis=1, keepdims=True), 1)).mean(axis=0)
     stem = np.where(both > 0, (stem + stem_rest[:, None] * both) / np.maximum(both, 1e-300), 1.0)
@@ -206,10 +260,11 @@ def fit_models(documents: DataFrame, sample: DataFrame) -> Model:
     heads = inner.groupBy("toxic", "left").agg(F.sum("n").alias("n"), F.sum(kept).alias("kept")).where("kept > 0").select(
         "toxic", "left", "n", (F.col("n") - F.col("kept")).alias("cut"))
     heads, heads_path = stored(heads, "first-words")
+    pair_names, pair = _pairs(inner.select("toxic", "left", "right", kept.alias("n")).where("n > 0"))
     model = Model(
-        word.astype(np.float32), rest, stem.astype(np.float32), backoff.astype(np.float32),
-        _dense(heads, "left", "n", WORD_BITS).astype(np.float32), _dense(heads, "left", "cut", WORD_BITS).astype(np.float32),
-        _pairs(inner.select("toxic", "left", "right", kept.alias("n")).where("n > 0")), np.zeros(0))
+        names, stem_names, pair_names, word.astype(np.float32), rest, stem.astype(np.float32), backoff.astype(np.float32),
+        _dense(heads, "left", "n", names.size).astype(np.float32), _dense(heads, "left", "cut", names.size).astype(np.float32),
+        pair.astype(np.float32), np.zeros(0))
     drop_stored(documents.sparkSession, pairs_path, heads_path)
     return model
 
@@ -221,16 +276,14 @@ def _discounted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shares, 1 - shares.sum(axis=1)
 
 
-def _pairs(counts: DataFrame) -> np.ndarray:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, left, right, n = (c.to_numpy() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic), pa.array(_pair(left, right)), pa.array(n)], ["toxic", "bucket", "n"])
-
-    hashed = counts.mapInArrow(work, "toxic int, bucket long, n double")
-    hashed = hashed.groupBy("toxic", "bucket").agg(F.sum("n").alias("n"))
-    return _dense(hashed, "bucket", "n", PAIR_BITS).astype(np.float32)
+def _pairs(counts: DataFrame) -> tuple[Names, np.ndarray]:
+    """Names of the sample's pairs of which the discount leaves something, and what it leaves."""
+    rows = counts.toArrow()
+    toxic, left, right, n = (rows[x].to_numpy() for x in ("toxic", "left", "right", "n"))
+    names = Names(_pair(left, right))
+    out = np.zeros((2, names.size + 1))
+    np.add.at(out, (1 - toxic, names.places(_pair(left, right))), n)
+    return names, out
 
 
 def _features(model: Model, words: np.ndarray, first: np.ndarray, stems: np.ndarray) -> np.ndarray:
@@ -238,11 +291,12 @@ def _features(model: Model, words: np.ndarray, first: np.ndarray, stems: np.ndar
     n = len(words)
     ratio = np.zeros(n)
     if n:
-        shared = model.shared[words >> (WORD_BITS - SHARED_BITS)].astype(np.float64)
+        words, stems = model.words.places(words), model.stems.places(stems)
+        shared = model.shared[words].astype(np.float64)
         p = model.word[:, words] + model.rest[:, None] * model.stem[:, stems] * shared
         at = _followers(words, first)
         left, right = words[at - 1], words[at]
-        pair = model.pair[:, _pair(left, right)]
+        pair = model.pair[:, model.pairs.places(_pair(left, right))]
         seen = model.seen[:, left]
         p[:, at] = np.where(seen > 0, (np.minimum(pair, seen) + model.cut[:, left] * p[:, at]) / np.maximum(seen, 1), p[:, at])
         ratio = np.log(p[0]) - np.log(p[1])
@@ -260,26 +314,31 @@ def _features(model: Model, words: np.ndarray, first: np.ndarray, stems: np.ndar
     return out
 
 
-_models: dict[int, Model] = {}
+_received: dict[int, object] = {}
+
+
+def _sent(spark: SparkSession, value: object) -> Broadcast:
+    """A model or vocabulary, of the size of the sample's vocabulary, for all workers."""
+    return spark.sparkContext.broadcast(zlib.compress(pickle.dumps(value), 1))
 
 
-def _unpacked(shared: Broadcast) -> Model:
-    """The worker's copy of the model that it got last."""
-    name = zlib.crc32(shared.value)
-    if name not in _models:
-        _models.clear()
-        _models[name] = pickle.loads(zlib.decompress(shared.value))
-    return _models[name]
+def _unpacked(sent: Broadcast):
+    """The worker's copy of what it got last."""
+    name = zlib.crc32(sent.value)
+    if name not in _received:
+        _received.clear()
+        _received[name] = pickle.loads(zlib.decompress(sent.value))
+    return _received[name]
 
 
 def _scored(rows: DataFrame, model: Model, *wanted: str) -> DataFrame:
     """Rows (text, ...) with the wanted columns, features or a score, in place of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+    sent = _sent(rows.sparkSession, model)
     schema = StructType([*(f for f in rows.schema if f.name != "text"), *(StructField(x, DoubleType()) for x in wanted)])
     columns = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unpacked(shared)
+        model = _unpacked(sent)
         for batch in batches:
             names = batch.schema.names
             at = names.index("text")
@@ -320,21 +379,28 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, o
 
     ``labels`` has doc_id and toxic (1 or 0; other values and nulls are no labels). Of each class
     a sample drawn by a hash of doc_id, of about ``toxic_rows`` and ``ordinary_rows`` at most, is
-    used (it is broadcast); shared counts come from all documents. With one class only, or no
-    labels, every score is that class's share (0 without labels).
+    used (its ids and vocabulary are broadcast); shared counts come from all documents. Every fifth of a
+    class's rows with a text fits the score, the first one always; the only row of a class serves the models too. With
+    one class only, or no labels, every score is that class's share (0 without labels).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = {1: min(1.0, toxic_rows / max(1, counts.get(1, 0))), 0: min(1.0, ordinary_rows / max(1, counts.get(0, 0)))}
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / float(1 << 53)
-    drawn = known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])).withColumn(
-        "fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(SCORE_FOLDS)).cast("int"))
+    drawn = known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
-        "text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "fold")
+        "text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
     sample, path = stored(sample, "toxicity-sample")
-    model = fit_models(documents, sample.where("fold > 0"))
-    rows = _scored(sample.where("fold = 0"), model, "whole", "passage").toArrow()  # bounded by the sample
+    # ids of the sample only, which is bounded
+    of_class = Window.partitionBy("toxic")
+    folds = sample.select("doc_id", "toxic").distinct().select(
+        "doc_id", F.row_number().over(of_class.orderBy(F.xxhash64("doc_id", F.lit("fold")), "doc_id")).alias("turn"),
+        F.count(F.lit(1)).over(of_class).alias("size")).select(
+        "doc_id", (F.col("turn") % SCORE_FOLDS == 1).alias("scores"), ((F.col("turn") % SCORE_FOLDS != 1) | (F.col("size") == 1)).alias("models"))
+    sample = sample.join(F.broadcast(folds), "doc_id").select("text", "toxic", "scores", "models")
+    model = fit_models(documents, sample.where("models").select("text", "toxic"))
+    rows = _scored(sample.where("scores").select("text", "toxic"), model, "whole", "passage").toArrow()  # bounded by the sample
     drop_stored(documents.sparkSession, path)
     x = np.column_stack([np.ones(len(rows)), rows["whole"].to_numpy(), rows["passage"].to_numpy()])
     y = rows["toxic"].to_numpy().astype(float)
@@ -346,7 +412,13 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, o
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from a score of 0.5) of every row."""
+    """doc_id, held_out, score and predicted (1 from a score of 0.5) of every row.
+
+    Null, empty and wordless texts have the score of a text without evidence. Equal texts score alike; rows that
+    repeat a doc_id, or lack one, are scored each; a null doc_id is held out as the empty text is by its crc32.
+    Texts are read whole in steps of bounded size, a longer text in one. Other columns are not read.
+    An empty table gives no rows.
+    """
     model = fit(documents, labels)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _scored(rows, model, "score").select(
@@ -354,7 +426,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, all columns, whose score is below 0.5."""
+    """The rows, all columns whatever their names, whose score is below 0.5; see ``toxicity`` for nulls and empty texts."""
     model = fit(documents, labels)
     columns = documents.columns
     boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("text"))

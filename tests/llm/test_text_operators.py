@@ -223,6 +223,13 @@ def test_shared_counts_do_not_saturate(spark):
     assert got[place["hub"]] > 2900
 
 
+def test_gaps_come_back():
+    for gaps in ([], [0], [1 << 32], [5, (1 << 32) - 1, 1 << 32, (1 << 50) + 7, 0, 3], list(range(1000))):
+        blob = toxicity._packed_gaps(np.array(gaps, dtype=np.int64))
+        assert toxicity._gaps(blob).tolist() == gaps
+        assert len(blob) == 4 + 4 * len(gaps) + 8 * sum(g >= 1 << 32 for g in gaps)
+
+
 def test_names_find_every_known_hash_and_no_other():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50_000):

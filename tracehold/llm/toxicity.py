@@ -96,6 +96,20 @@ def _followers(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
+def _packed_gaps(gaps: np.ndarray) -> bytes:
+    """Differences as 32 low bits each, then places and high bits of the few that have more, then how many these are."""
+    long = np.flatnonzero(gaps >> 32)
+    return b"".join(x.astype("<u4").tobytes() for x in (gaps & 0xFFFFFFFF, long, gaps[long] >> 32, np.array([len(long)])))
+
+
+def _gaps(blob: bytes) -> np.ndarray:
+    numbers = np.frombuffer(blob, "<u4").astype(np.int64)
+    n = numbers[-1]
+    gaps, long, high = np.split(numbers[:-1], [len(numbers) - 1 - 2 * n, len(numbers) - 1 - n])
+    gaps[long] += high << 32
+    return gaps
+
+
 def vocabulary(sample: DataFrame) -> tuple[Names, Names]:
     """The different words, and stems, of a bounded sample of texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +143,7 @@ def shared_counts(documents: DataFrame, words: Names) -> DataFrame:
         blobs = []
         for i in some.tolist():
             gaps = np.diff(codes[edges[i]:edges[i + 1]], prepend=i << int(bucket_bits + bucket_shift))
-            blobs.append((b"\x04" + gaps.astype("<u4").tobytes()) if gaps.max() < 1 << 32 else b"\x08" + gaps.astype("<u8").tobytes())
+            blobs.append(_packed_gaps(gaps))
         return pa.RecordBatch.from_arrays([pa.array(some), pa.array(blobs, pa.binary())], ["part", "codes"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,7 @@ def shared_counts(documents: DataFrame, words: Names) -> DataFrame:
                     yield answer()
                     held, size = [], 0
                 part = now
-                gaps = np.frombuffer(blob, "<u4" if blob[0] == 4 else "<u8", offset=1).astype(np.int64)
+                gaps = _gaps(blob)
                 held.append(np.cumsum(gaps))
                 size += len(gaps)
                 if size > HELD_CODES:

@@ -1,5 +1,6 @@
 """Randomised checks of the small helpers against plain Python."""
 
+import ast
 import hashlib
 import json
 from contextlib import suppress
@@ -14,6 +15,7 @@ from tracehold.sources import json_blocks
 from tracehold.sources.json_logs import ObjectCutter
 
 import pandas as pd
+import pytest
 
 def objects_of(text):
     """Log objects of a text that comes in pieces, cut at closing braces as the reader does."""
@@ -147,3 +149,32 @@ def test_blocks_give_what_the_whole_text_gives(values, layout, places, edit):
     whole, (found, bad) = cut_whole(text), cut_by_blocks(text, places)
     assert found == whole[:len(found)] and (bad or found == whole)
     assert (found, bad) == cut_by_blocks(text, [])
+
+
+def test_plain_literals_are_not_evaluated(monkeypatch):
+    values = [{"a": n, "b": [None, True, -1.5], "c": {"d": "True, {x}"}} for n in range(100)]
+    monkeypatch.setattr(json_blocks.ast, "literal_eval", lambda text: pytest.fail(f"evaluated: {text}"))
+    assert [json.loads(json_blocks.as_json(repr(v))) for v in values] == values
+
+
+LITERALS = st.recursive(
+    st.one_of(st.none(), st.booleans(), st.integers(), st.floats(), st.text(max_size=6), st.binary(max_size=2)),
+    lambda v: st.one_of(st.lists(v, max_size=3), st.tuples(v), st.dictionaries(st.one_of(st.text(max_size=3), st.integers()), v, max_size=3)))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.dictionaries(st.text(max_size=4), LITERALS, max_size=4), st.text("'\"\\#T{}[],:1e- \n", max_size=2), st.integers(0, 60))
+def test_literals_become_what_they_say(value, more, place):
+    text = repr(value)
+    text = text[:place] + more + text[place:]
+    try:
+        json.loads(text)
+        expected = text
+    except ValueError:
+        try:
+            expected = json.dumps(ast.literal_eval(text), ensure_ascii=False, default=str)
+        except (ValueError, SyntaxError, TypeError) as problem:
+            with pytest.raises(type(problem)):
+                json_blocks.as_json(text)
+            return
+    assert json_blocks.as_json(text) == expected

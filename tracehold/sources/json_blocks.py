@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracehold.session import materialize
@@ -38,14 +39,45 @@ _BETWEEN = re.compile(
     r"(?:[\s,\[\]﻿]|[-+]?[0-9][0-9.eE+-]*|true|false|null|True|False|None"
     r"|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')*", re.DOTALL)
 
+_QUOTED = re.compile(rf"({_STRINGS})", re.DOTALL)
+#: What may stand between the strings of a literal that JSON says in the same way, but for the words.
+_MARKS = re.compile(r"(?:[\s{}\[\],:']++|-?[0-9][0-9.eE+-]*+|True|False|None)*+")
+#: Openings that neither parser minds.
+_SHALLOW = 50
+_ENCODE = json.JSONEncoder(ensure_ascii=False, default=str).encode
+
+
+def _literal(text: str) -> object:
+    """The value of a Python literal.
+
+    Where only marks, numbers, strings and the three words stand in it, its strings and words are written as those of JSON
+    and the JSON parser tells the value, in a small part of the time; whatever it does not take is evaluated as it is.
+    """
+    plain = "\"" not in text and "\\" not in text
+    parts = text.split("'") if plain else _QUOTED.split(text)
+    marks = "'".join(parts[::2])
+    if _MARKS.fullmatch(marks) and text.count("{") + text.count("[") <= _SHALLOW:
+        try:
+            if not plain:
+                parts[1::2] = [
+                    _ENCODE(ast.literal_eval(s)) if "\\" in s or "\"" in s[1:-1] else f'"{s[1:-1]}"' for s in parts[1::2]]
+            if "T" in marks or "F" in marks or "N" in marks:
+                parts[::2] = [p.replace("True", "true").replace("False", "false").replace("None", "null") for p in parts[::2]]
+            return json.loads(("\"" if plain else "").join(parts))
+        except (ValueError, SyntaxError):
+            pass
+    return ast.literal_eval(text)
+
 
 def as_json(text: str) -> str:
     """An object's own text if it is JSON, else the Python literal that it is, as JSON."""
-    try:
-        json.loads(text)
-        return text
-    except ValueError:
-        return json.dumps(ast.literal_eval(text), ensure_ascii=False, default=str)
+    if not text.startswith("{'"):  # no JSON begins so
+        try:
+            json.loads(text)
+            return text
+        except ValueError:
+            pass
+    return _ENCODE(_literal(text))
 
 
 def check_between(text: str) -> None:
@@ -217,27 +249,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, str, int,
     The pieces of a block (src_file, src_block, piece, ...) follow each other. The brace after a block's last
     piece is counted, but not in the text.
     """
-    at, row, held, chars, size = None, {}, [], 0, 0
+    at, row, held, size, begun = None, {}, [], 0, ""
+
+    def text() -> str:
+        return begun + b"}".join(held).decode("utf-8", errors="replace")
+
     for batch in batches:
-        files, starts, pieces = (batch.column(k) for k in range(3))
-        for k in range(batch.num_rows):
-            now = (starts[k].as_py(), files[k].as_py())
+        files, starts = batch.column(0), batch.column(1)
+        for low, high in _stretches(files, starts):
+            now = (starts[low].as_py(), files[low].as_py())
             if now != at:
                 if at is not None:
-                    yield row, "".join(held), size, True
-                at, held, chars, size = now, [], 0, 0
-                row = {n: batch.column(c)[k].as_py() for c, n in enumerate(batch.schema.names) if c != 2}
-            elif chars > CHUNK:
-                yield row, "".join(held), size, False
-                held, chars, size = ["}"], 0, 0
-            else:
-                held.append("}")
-            body = pieces[k].as_py()
-            held.append(body.decode("utf-8", errors="replace"))
-            chars += len(body) + 1
-            size += len(body) + 1
+                    yield row, text(), size, True
+                at, held, size, begun = now, [], 0, ""
+                row = {n: batch.column(c)[low].as_py() for c, n in enumerate(batch.schema.names) if c != 2}
+            for body in batch.column(2).slice(low, high - low).to_pylist():
+                if size > CHUNK:
+                    yield row, text(), size, False
+                    held, size, begun = [], 0, "}"
+                held.append(body)
+                size += len(body) + 1
     if at is not None:
-        yield row, "".join(held), size, True
+        yield row, text(), size, True
+
+
+def _stretches(files: pa.Array, starts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where the pieces of one block begin and end among the rows of a batch."""
+    count = len(files)
+    if not count:
+        return
+    changes = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(starts[1:], starts[:-1]))
+    edges = [0, *(pc.indices_nonzero(changes).to_numpy() + 1).tolist(), count]
+    yield from zip(edges[:-1], edges[1:], strict=True)
 
 
 def summaries(pieces: DataFrame) -> DataFrame:

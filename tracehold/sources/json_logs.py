@@ -43,6 +43,7 @@ DECODED = (
 )
 #: Not blank, and not only the marks that an array has between its objects.
 _MORE_THAN_MARKS = r"[^\s,\[\]]"
+_SPACE = " \t\n\x0b\f\r"
 
 
 def _text_records(texts: DataFrame, row: Column) -> DataFrame:
@@ -169,13 +170,14 @@ def parse_json(records: DataFrame, schema: T.StructType = RAW_LOG_SCHEMA) -> Dat
     # Parsed as an array of one, so that text after the object makes it invalid; the
     # parser alone would stop at the object's end and drop the rest unseen. Around it
     # stand what parts the objects of an array.
-    body = F.regexp_replace("record", r"^[\s,\[]+|[\s,\]]+$", "")
+    begun = F.ltrim("record", F.lit(_SPACE + ",["))
+    body = F.rtrim(begun, F.lit(_SPACE + ",]"))
     values = F.from_json(
         F.concat(F.lit("["), body, F.lit("]")),
         T.ArrayType(schema),
         {"allowSingleQuotes": "false"},
     )
-    is_object = F.col("record").rlike(r"^[\s,\[]*\{")
+    is_object = begun.startswith("{")
     return records.select(
         *INPUT_ORDER, "record", once(F.when(is_object, values)).alias("_values")
     ).select(

@@ -240,3 +240,30 @@ def test_figures_of_a_stream(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert got == wanted and len({r.batch for r in rows}) == 4
     assert all(r.value > 0 for r in rows if r.measure == "seconds")
+
+
+def test_each_bucket_is_written_by_a_task_of_its_own(spark, tmp_path):
+    store = MergeStore(spark, str(tmp_path / "store"), ["a", "b"], lambda r: r.distinct(), buckets=16)
+    for load in range(5):  # the first four runs become one of the next level
+        store.add(spark.range(2000).select(F.col("id").alias("a"), F.concat(F.lit(f"{load % 3}-"), "id").alias("b")), load)
+    assert {level for _, level, _ in store.runs()} == {0, 1} and store.read().count() == 6000
+    for level in (0, 1):
+        names = [f.name for b, n, folder in store.runs() if n == level for f in (tmp_path / "store" / folder).glob("*.parquet")]
+        assert len(names) == 16 and len({n.split("-")[1] for n in names}) == 16
+
+
+def test_a_load_is_numbered_by_the_links_it_adds(spark, tmp_path, monkeypatch):
+    logs = jobs.load_logs(spark, incoming(tmp_path / "in"), "lines")
+    one, two, read = str(tmp_path / "one"), str(tmp_path / "two"), []
+    links = graph.spawn_links
+    for load in (0, 1, 1, 2):
+        part = logs.filter(F.pmod(F.col("timestamp").cast("long"), F.lit(3)) == load)
+        streaming.add_to_graph(part, one, load)
+        streaming.number_nodes(part, one, load)
+        with monkeypatch.context() as counted:
+            counted.setattr(graph, "spawn_links", lambda *a: read.append(a) or links(*a))
+            streaming.add_links(part, two, load, numbered=True)
+    assert len(read) == 4
+    for a, b in zip(streaming.read_grown_index(spark, one), streaming.read_grown_index(spark, two), strict=True):
+        assert merged_rows(a) == merged_rows(b) and a.count() > 5
+    assert streaming.node_numbers(spark, two).store.loads() == [0, 1, 2]

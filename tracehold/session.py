@@ -105,6 +105,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file, without a job."""
+    system, place = _located(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialized by this thread meanwhile are deleted at the end.

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tracehold.session import delete_folder, list_folder, write_text
+from tracehold.session import delete_folder, list_folder, read_text, write_text
 
 _BUCKET = "_bucket"
 
@@ -39,8 +39,7 @@ class MergeStore:
         versions = self._versions() if version is None else [version]
         if not versions:
             return {"version": 0, "buckets": self.buckets, "schema": None, "loads": [], "runs": []}
-        text = self.spark.read.text(f"{self.path}/manifest-{versions[-1]}.json", wholetext=True).first()
-        return json.loads(text.value)
+        return json.loads(read_text(self.spark, f"{self.path}/manifest-{versions[-1]}.json"))
 
     def _commit(self, manifest: dict) -> None:
         """Name the new runs; the runs of the manifest before stay for its readers, older ones go."""
@@ -58,11 +57,12 @@ class MergeStore:
     # runs
 
     def _bucket(self, count: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(count)).cast("int")
+        """The task that ``repartition(count, *keys)`` sends a row to, so that a task has the rows of one bucket."""
+        return F.pmod(F.hash(*self.keys), F.lit(count)).cast("int")
 
     def _write(self, rows: DataFrame, folder: str, level: int, count: int) -> list[list]:
-        """Write merged rows as one run per bucket; returns the runs."""
-        dealt = rows.withColumn(_BUCKET, self._bucket(count)).repartition(count, _BUCKET)
+        """Write merged rows, dealt by their keys, as one run per bucket; returns the runs."""
+        dealt = rows.withColumn(_BUCKET, self._bucket(count))
         dealt.write.partitionBy(_BUCKET).mode("overwrite").parquet(f"{self.path}/{folder}")
         names = [n for n in list_folder(self.spark, f"{self.path}/{folder}") if n.startswith(f"{_BUCKET}=")]
         return [[int(n.split("=")[1]), level, f"{folder}/{n}"] for n in names]
@@ -79,7 +79,7 @@ class MergeStore:
         rows = rows if merged else self.merge(rows)
         number, count = manifest["version"] + 1, manifest["buckets"]
         manifest["schema"] = manifest["schema"] or json.loads(rows.schema.json())
-        made = self._write(rows, f"run-{number}-0", 0, count)
+        made = self._write(rows.repartition(count, *self.keys), f"run-{number}-0", 0, count)
         manifest["runs"] += made
         level = 0
         while True:
@@ -91,7 +91,9 @@ class MergeStore:
             if not due:
                 break
             level += 1
-            new = self._write(self.merge(self._frame(manifest, due)), f"run-{number}-{level}", level, count)
+            # a key is in few runs of a level, so rows go to their buckets first and are merged there, in one shuffle
+            dealt = self._frame(manifest, due).repartition(count, *self.keys)
+            new = self._write(self.merge(dealt), f"run-{number}-{level}", level, count)
             manifest["runs"] = [run for run in manifest["runs"] if run not in due] + new
             made += new
         self._commit({**manifest, "version": number, "loads": [*manifest["loads"], load]})
@@ -123,6 +125,6 @@ class MergeStore:
         count = buckets or manifest["buckets"]
         other = MergeStore(self.spark, path, self.keys, self.merge, count, self.fanout)
         level = max((run[1] for run in manifest["runs"]), default=0)
-        runs = other._write(rows, "run-1-0", level, count)
+        runs = other._write(rows.repartition(count, *self.keys), "run-1-0", level, count)
         other._commit({"version": 1, "buckets": count, "schema": manifest["schema"], "loads": manifest["loads"], "runs": runs})
         return other

@@ -12,7 +12,7 @@ from tracehold.functions.hashing import feature_seed
 from tracehold.operators import evaluate, features, graph, prompts, scoring
 from tracehold.operators.normalize import canonical_logs
 from tracehold.plans.jobs import triage
-from tracehold.session import scratch
+from tracehold.session import materialize, scratch
 from tracehold.sources.id_numbers import IdNumbers
 from tracehold.sources.merge_store import MergeStore
 from tracehold.sources.json_logs import INPUT_ORDER, accepted, parse_json, stream_json_lines
@@ -103,11 +103,26 @@ def typed_edge_store(spark: SparkSession, path: str, **options) -> MergeStore:
     return MergeStore(spark, f"{path.rstrip('/')}-typed", keys, lambda rows: rows.distinct(), **options)
 
 
+def add_links(
+    logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER, numbered: bool = False, **options
+) -> None:
+    """Merge one load's links in, for a graph whose typed edges nobody reads; the same load twice changes nothing.
+
+    ``numbered``: number its new nodes too, as ``number_nodes`` does, from the same links.
+    """
+    spark, links = logs.sparkSession, graph.spawn_links(logs, order)
+    numbers = node_numbers(spark, path, **options)
+    if numbered and batch_id not in numbers.store.loads():
+        links = materialize(links, "load-links")
+    link_store(spark, path, **options).add(links, batch_id, merged=True)
+    if numbered:
+        numbers.add(graph.nodes_of(links), batch_id)
+
+
 def add_to_graph(logs: DataFrame, path: str, batch_id: int, order: Sequence[str] = INPUT_ORDER, **options) -> None:
     """Merge one load's links and typed edges in; the same load twice changes nothing."""
-    spark = logs.sparkSession
-    link_store(spark, path, **options).add(graph.spawn_links(logs, order), batch_id, merged=True)
-    typed_edge_store(spark, path, **options).add(graph.typed_edges(logs), batch_id, merged=True)
+    add_links(logs, path, batch_id, order, **options)
+    typed_edge_store(logs.sparkSession, path, **options).add(graph.typed_edges(logs), batch_id, merged=True)
 
 
 def node_numbers(spark: SparkSession, path: str, **options) -> IdNumbers:

@@ -4,8 +4,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 import hashlib
 from math import comb
+from pathlib import Path
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -17,7 +20,7 @@ from tokenizers import Tokenizer
 
 from tracehold.llm import minhash, orc_tokens, packing, pii, queries, sharding, suffix, tiling, tokens, toxicity
 from tracehold.llm.components import components
-from tracehold.llm.common import MARKS, sequence_hashes, word_hashes
+from tracehold.llm.common import MARKS, distinct, sequence_hashes, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -230,6 +233,50 @@ def test_gaps_come_back():
         assert len(blob) == 4 + 4 * len(gaps) + 8 * sum(g >= 1 << 32 for g in gaps)
 
 
+def test_distinct_numbers_take_little_memory():
+    rng = np.random.default_rng(8)
+    for dtype in (np.int64, np.uint64):
+        some = [rng.integers(0, 500, n).astype(dtype) for n in (0, 3000, 1, 700)]
+        assert distinct(*some).tolist() == sorted({x for a in some for x in a.tolist()})
+        assert distinct(some[0]).dtype == dtype and distinct(*some).dtype == dtype
+    kept = some[1].copy()
+    distinct(some[1])
+    assert (some[1] == kept).all()
+    # a fresh process, whose peak is that of this step; a hash set of so many numbers takes more than 100 MB
+    code = """
+import re, sys
+import numpy as np
+from tracehold.llm.common import distinct
+held = [np.random.default_rng(i).integers(0, 1 << 62, 1 << 18) for i in range(8)]
+def peak(): return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1])
+before = peak()
+assert len(distinct(*held)) > 2_000_000
+print((peak() - before) // 1024)
+"""
+    ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(ran.stdout) < 48  # MB; the numbers are 16, and are there twice
+
+
+def test_accepted_sends_each_text_once(spark, monkeypatch):
+    sent, scored = [], toxicity._scored
+    monkeypatch.setattr(toxicity, "_scored", lambda rows, *a, **b: (sent.append(rows), scored(rows, *a, **b))[1])
+    rows = [(i, f"only text number {i} here") for i in range(40)]
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.accepted(data.documents(spark, rows), labels)
+    assert all(str(r.asDict(recursive=True)).count("only text") == 1 for r in sent[-1].collect())
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, data.documents(spark, rows).collect()))
+    # any names and types, also of the text; the order and types of the columns stay
+    named = data.documents(spark, rows).selectExpr(
+        "doc_id", "1 as score", "2 as column0", "array(named_struct('text', 3)) as `a.b`", "text", "4 as _row", "5 as `a.b`")
+    kept = toxicity.accepted(named, labels)
+    assert kept.dtypes == named.dtypes
+    assert sorted(map(str, kept.collect())) == sorted(map(str, named.collect()))
+    for coded in (named.selectExpr("doc_id", "cast(text as binary) as text"), named.selectExpr("doc_id", "text as TEXT", "4 as column1")):
+        kept = toxicity.accepted(coded, labels)
+        assert kept.dtypes == coded.dtypes
+        assert sorted(map(str, kept.collect())) == sorted(map(str, coded.collect()))
+
+
 def test_names_find_every_known_hash_and_no_other():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50_000):

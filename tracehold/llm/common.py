@@ -47,6 +47,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(*arrays: np.ndarray) -> np.ndarray:
+    """The different numbers of some arrays in ascending order.
+
+    One copy is sorted in place. From version 2.3 on ``np.unique`` fills a hash set instead, which takes several
+    times the memory of the numbers (and of the time), and leaves the process's memory in small pieces.
+    """
+    numbers = np.concatenate(arrays)
+    numbers.sort()
+    if len(numbers):
+        first = np.empty(len(numbers), dtype=bool)
+        first[0] = True
+        np.not_equal(numbers[1:], numbers[:-1], out=first[1:])
+        numbers = numbers[first]
+    return numbers
+
+
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -21,15 +21,17 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tracehold.llm.common import MARKS, drop_stored, mix, slices, stored, word_hashes
+from tracehold.llm.common import MARKS, STEP_BYTES, distinct, drop_stored, mix, slices, stored, word_hashes
 
 #: Bits of a word before that count as its name, bits more for a pair of words of which the sample lacks the second, and
 #: parts that pairs of words are dealt to.
 BEFORE_BITS, OTHER_BITS, PART_BITS = 30, 18, 12
 #: Pairs of words that a task holds before it sends them.
 HELD_CODES = 1 << 21
+#: Bytes of text that one step of scoring works on; the counts take longer steps, which drop more of what repeats.
+SHORT_STEP = 1 << 18
 #: Labelled rows that the models and the score are fitted on, about so many of each class at most.
 TOXIC_ROWS, ORDINARY_ROWS = 8_000, 16_000
 #: Contexts of a word or of a pair of words that are left to the backoff.
@@ -46,7 +48,7 @@ class Names:
     """Places of known 64-bit hashes in ascending order; all others have the place after the last."""
 
     def __init__(self, known: np.ndarray):
-        known = np.unique(known.astype(np.uint64))
+        known = distinct(known.astype(np.uint64))
         bits = max(1, (2 * len(known)).bit_length())
         self.size, self.shift = len(known), np.uint64(64 - bits)
         self.starts = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
@@ -77,9 +79,9 @@ class Model(NamedTuple):
     weights: np.ndarray  # of the logistic function
 
 
-def _words(batch: pa.RecordBatch, column: int):
+def _words(batch: pa.RecordBatch, column: int, limit: int = STEP_BYTES):
     """(row range, word hashes, first word of each row, stem hashes) step by step."""
-    for i, j, data, offsets in slices(batch.column(column)):
+    for i, j, data, offsets in slices(batch.column(column), limit):
         words, first, stems = word_hashes(data, offsets, MARKS, STEM)
         yield i, j, words, first, stems
 
@@ -116,7 +118,7 @@ def vocabulary(sample: DataFrame) -> tuple[Names, Names]:
         for batch in batches:
             for _, _, words, _, stems in _words(batch, 0):
                 for stem, some in ((False, words), (True, stems)):
-                    some = np.unique(some).view(np.int64)
+                    some = distinct(some).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), stem)), pa.array(some)], ["stem", "name"])
 
     rows = sample.select("text").mapInArrow(work, "stem boolean, name long").distinct().toArrow()
@@ -159,22 +161,22 @@ def shared_counts(documents: DataFrame, words: Names) -> DataFrame:
                 before = (both >> np.uint64(64 - BEFORE_BITS)).astype(np.int64)
                 # a part, a bucket and the upper bits tell the lower bits of the word before
                 part = (before ^ mix(bucket.astype(np.uint64)).view(np.int64)) & parts
-                held.append(np.unique((((part << bucket_bits) | bucket) << bucket_shift) | ((before & low) >> PART_BITS)))
+                held.append(distinct((((part << bucket_bits) | bucket) << bucket_shift) | ((before & low) >> PART_BITS)))
                 size += len(held[-1])
                 if size > HELD_CODES:
-                    held = [np.unique(np.concatenate(held))]
+                    held = [distinct(*held)]
                     size = len(held[0])
                     if size > HELD_CODES // 2:
                         yield packed(held[0])
                         held, size = [], 0
         if size:
-            yield packed(np.unique(np.concatenate(held)))
+            yield packed(distinct(*held))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, size = None, [], 0
 
         def answer() -> pa.RecordBatch:
-            bucket, n = np.unique((np.unique(np.concatenate(held)) >> bucket_shift), return_counts=True)
+            bucket, n = np.unique(distinct(*held) >> bucket_shift, return_counts=True)
             bucket = bucket & np.int64((1 << bucket_bits) - 1)
             own = bucket < known
             return pa.RecordBatch.from_arrays(
@@ -190,7 +192,7 @@ def shared_counts(documents: DataFrame, words: Names) -> DataFrame:
                 held.append(np.cumsum(gaps))
                 size += len(gaps)
                 if size > HELD_CODES:
-                    held = [np.unique(np.concatenate(held))]
+                    held = [distinct(*held)]
                     size = 0  # so many more before the next time
         if held:
             yield answer()
@@ -229,7 +231,7 @@ def _counts(sample: DataFrame, words: Names, stems: Names | None = None) -> Data
                     before = (mix(before.astype(np.uint64)) >> np.uint64(2 + 2 * bits)).astype(np.int64)
                     code = (before << (2 * bits)) | (left << bits) | place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.unique(code | (np.repeat(toxic[i:j], size) << 62)))], ["code"])
+                    [pa.array(distinct(code | (np.repeat(toxic[i:j], size) << 62)))], ["code"])
 
     codes = sample.select("text", "toxic").mapInArrow(work, "code long").distinct()
     toxic = F.shiftright("code", 62).cast("int").alias("toxic")
@@ -345,10 +347,10 @@ def _unpacked(sent: Broadcast):
     return _received[name]
 
 
-def _scored(rows: DataFrame, model: Model, *wanted: str) -> DataFrame:
-    """Rows (text, ...) with the wanted columns, features or a score, in place of the text."""
+def _scored(rows: DataFrame, model: Model, *wanted: str, keep_text: bool = False) -> DataFrame:
+    """Rows (text, ...) with the wanted columns, features or a score, in place of the text or, with ``keep_text``, behind all."""
     sent = _sent(rows.sparkSession, model)
-    schema = StructType([*(f for f in rows.schema if f.name != "text"), *(StructField(x, DoubleType()) for x in wanted)])
+    schema = StructType([*(f for f in rows.schema if keep_text or f.name != "text"), *(StructField(x, DoubleType()) for x in wanted)])
     columns = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +358,13 @@ def _scored(rows: DataFrame, model: Model, *wanted: str) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             at = names.index("text")
-            for i, j, words, first, stems in _words(batch, at):
+            for i, j, words, first, stems in _words(batch, at, SHORT_STEP):
                 features = _features(model, words, first, stems)
                 if len(model.weights):
                     new = [pa.array(1 / (1 + np.exp(-np.clip(features @ model.weights, -500, 500))))]
                 else:
                     new = [pa.array(features[:, k]) for k in (1, 2)]
-                kept = [batch.column(k).slice(i, j - i) for k in range(len(names)) if k != at]
+                kept = [batch.column(k).slice(i, j - i) for k in range(len(names)) if keep_text or k != at]
                 yield pa.RecordBatch.from_arrays([*kept, *new], columns)
 
     return rows.mapInArrow(work, schema)
@@ -442,6 +444,13 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows, all columns whatever their names, whose score is below 0.5; see ``toxicity`` for nulls and empty texts."""
     model = fit(documents, labels)
-    columns = documents.columns
-    boxed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").cast("string").alias("text"))
-    return _scored(boxed, model, "score").where("score < 0.5").select("_row.*")
+    columns, texts = documents.columns, [k for k, f in enumerate(documents.schema) if f.name == "text" and f.dataType == StringType()]
+    # by place, so that names may hold or repeat anything; a text is sent to the workers once
+    names = [f"column{k}" for k in range(len(columns))]
+    if len(texts) == 1:
+        names[texts[0]] = "text"
+        rows = documents.toDF(*names)
+    else:  # of another type, or of a name in other letters
+        rows = documents.select("*", F.col("text").cast("string").alias("text")).toDF(*names, "text")
+    return _scored(rows, model, "score", keep_text=len(texts) == 1).where("score < 0.5").select(
+        *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
